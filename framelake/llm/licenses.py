@@ -67,8 +67,18 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return out.select("license", "t", "n", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int").alias("cls"))
 
 
-def _signature(window: Column) -> list[Column]:
-    return [F.array_min(F.transform(window, lambda x, k=k: F.xxhash64(F.lit(k), x))) for k in range(BANDS)]
+def _signature(shingles: Column) -> list[Column]:
+    """Least hash of the shingles under each of BANDS hash functions."""
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(k), x)))
+
+    return [least(k) for k in range(BANDS)]
+
+
+def _windows(c: int) -> Column:
+    """Windows of 2c shingles that overlap by c."""
+    return F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(c)), lambda i: F.struct(F.lit(c).alias("cls"), F.slice("sh", i + 1, F.lit(2 * c)).alias("win")))
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -80,7 +90,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     texts = texts.where(F.arrays_overlap("sh", F.lit(every).cast("array<bigint>")))
     # all sizes of windows in one pass: (class, window)
     sizes = sorted({r.cls for r in known})
-    windows = F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(c)), lambda i, c=c: F.struct(F.lit(c).alias("cls"), F.slice("sh", i + 1, F.lit(2 * c)).alias("win"))) for c in sizes)))
+    windows = F.flatten(F.array(*(_windows(c) for c in sizes)))
     own = F.lit(every).cast("array<bigint>")
     cut = texts.select("doc_id", "sh", F.explode(windows).alias("w")).where(F.arrays_overlap("w.win", own))
     bands = lambda signature: F.posexplode(F.array(*signature)).alias("band", "value")
