@@ -7,8 +7,8 @@ total and document total of the source), so both totals stay exact until only a
 
 The flight runs in chunks of about CHUNK documents of one source, dealt by a hash of the id, so a hot source is
 many tasks. Each chunk leaves at most LEFT fractional documents; these meet in further flights, CHUNK times
-fewer at each level, until a source's rest is one landing problem. Documents are visited from large to small,
-so the rest are small documents and the totals miss their targets by little.
+fewer at each level, until a source's rest is one landing problem. Documents are visited from large to small
+and a reserve of each source stays out of the flights, so that the landing can make up for what rounding misses.
 
 Edge cases: null texts and texts without words have size 0, belong to no constraint and are taken floor(r) times;
 a null source is a source of its own, last in order; a source without words has target 0; repeated rows are
@@ -32,7 +32,9 @@ CHUNK = 4096
 LEFT = 2
 #: Sources up to this number are joined by broadcast; beyond, by a shuffle.
 BROADCAST_SOURCES = 50_000
-UNIT = "u string, size long, p double"
+UNIT = "u string, size long, p double, reserve boolean"
+#: Units of a source, of those no larger than its mean, that only the landing decides (all of a small source's).
+RESERVE = 512
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -100,14 +102,32 @@ def flight(sizes: list[int], p: list[float], seed: str) -> list[float]:
     return p
 
 
-def landing(sizes: list[int], p: list[float], seed: str) -> list[float]:
-    """Decides the last units: the whole-number choice whose token total is nearest, then whose count is."""
-    p = [round(x) if x <= 1e-9 or x >= 1 - 1e-9 else x for x in flight(sizes, p, seed)]
-    left = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    tokens_due, count_due = sum(sizes[i] * p[i] for i in left), sum(p[i] for i in left)
-    best = min(range(1 << len(left)), key=lambda m: (round(abs(sum(sizes[i] for j, i in enumerate(left) if m >> j & 1) - tokens_due), 6), round(abs(m.bit_count() - count_due), 6), m))
+def landing(sizes: list[int], p: list[float], reserve: list[bool], seed: str) -> list[float]:
+    """Decides a source's last units; the token total misses its target by about the smallest of them.
+
+    The flight runs over all but the reserve; the two units that it can leave take the whole-number choice nearest in
+    tokens. What that misses is spread over the undecided reserve: from large to small, each reserve unit is
+    taken with its probability plus the share of the miss per token that is still to be decided.
+    """
+    first = [i for i, r in enumerate(reserve) if not r]
+    p = [float(round(x)) if x <= 1e-9 or x >= 1 - 1e-9 else x for x in p]
+    for i, x in zip(first, flight([sizes[i] for i in first], [p[i] for i in first], seed)):
+        p[i] = x
+    left = [i for i in first if 0.0 < p[i] < 1.0]
+    miss, few = sum(sizes[i] * p[i] for i in left), sum(p[i] for i in left)
+    best = min(range(1 << len(left)), key=lambda m: (round(abs(sum(sizes[i] for j, i in enumerate(left) if m >> j & 1) - miss), 6), round(abs(m.bit_count() - few), 6), m))
     for j, i in enumerate(left):
         p[i] = float(best >> j & 1)
+        miss -= sizes[i] * p[i]
+    last = sorted((i for i, r in enumerate(reserve) if r and 0.0 < p[i] < 1.0), key=lambda i: (-sizes[i], i))
+    draws = np.random.default_rng(int(_uniform(seed + "landing") * 2**53)).random(len(last))
+    rest = float(sum(sizes[i] for i in last))
+    for i, u in zip(last, draws.tolist()):
+        due = p[i] + miss / rest
+        taken = 1.0 if u < due else 0.0
+        miss += sizes[i] * (p[i] - taken)
+        rest -= sizes[i]
+        p[i] = taken
     return p
 
 
@@ -118,10 +138,11 @@ def _level(units: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         s, m, chunk = (k.as_py() for k in key)
-        rows = sorted(table.select(["u", "size", "p"]).to_pylist(), key=lambda r: r["u"])
-        p = (landing if m == 1 else flight)([r["size"] for r in rows], [r["p"] for r in rows], f"{s}:{m}:{chunk}")
+        rows = sorted(table.select(["u", "size", "p", "reserve"]).to_pylist(), key=lambda r: r["u"])
+        sizes, p, seed = [r["size"] for r in rows], [r["p"] for r in rows], f"{s}:{m}:{chunk}"
+        p = landing(sizes, p, [r["reserve"] for r in rows], seed) if m == 1 else flight(sizes, p, seed)
         n = len(rows)
-        return pa.table({"s": pa.array([s] * n, pa.string()), "m": pa.array([m] * n, pa.int64()), "u": pa.array([r["u"] for r in rows], pa.string()), "size": pa.array([r["size"] for r in rows], pa.int64()), "p": pa.array(p, pa.float64())})
+        return pa.table({"s": pa.array([s] * n, pa.string()), "m": pa.array([m] * n, pa.int64()), "u": pa.array([r["u"] for r in rows], pa.string()), "size": pa.array([r["size"] for r in rows], pa.int64()), "p": pa.array(p, pa.float64()), "reserve": pa.array([r["reserve"] for r in rows], pa.bool_())})
 
     return units.groupBy("s", "m", "chunk").applyInArrow(run, "s string, m long, " + UNIT)
 
@@ -142,9 +163,12 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     u = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
     rows = rows.withColumn("base", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0))).withColumn("s", s).withColumn("u", u)
     # repeated rows share a unit; the unit's multiplicity is in its size, so they are decided together
-    units = rows.where("size > 0 and p > 1e-9").groupBy("s", "u").agg(F.sum("size").alias("size"), F.first("p").alias("p"), F.first("n_docs").alias("n_docs"))
+    units = rows.where("size > 0 and p > 1e-9").groupBy("s", "u").agg(F.sum("size").alias("size"), F.first("p").alias("p"), F.first("n_docs").alias("n_docs"), F.first("source_size").alias("source_size"))
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("long")
-    units = units.withColumn("m", chunks(F.col("n_docs")))
+    part = F.ceil(F.col("n_docs") / RESERVE)
+    units = units.withColumn("reserve", (F.pmod(F.xxhash64(F.lit(5), "u"), part) == 0) & (F.col("size") * F.col("n_docs") <= F.col("source_size"))).withColumn("m", chunks(F.col("n_docs")))
+    held = units.where("reserve and m > 1").withColumn("m", F.lit(1).cast("long"))
+    units = units.where("not reserve or m = 1")
     decided, level, most = None, 0, largest or 0
     while True:
         flown = stage(spark, _level(units.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11 + level), "u"), F.col("m")))), f"flight{level}")
@@ -152,8 +176,14 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
         decided = done if decided is None else decided.unionByName(done)
         if most <= CHUNK:
             break
+        # sources that are one chunk now meet their reserve, which then takes part in the landing
         most = -(-most // CHUNK) * LEFT
-        units = flown.where("p > 0 and p < 1").withColumn("m", chunks(F.col("m") * LEFT))
+        before = F.col("m") * LEFT
+        units = flown.where("p > 0 and p < 1").withColumn("m", chunks(before)).select("s", "m", "u", "size", "p", "reserve")
+        waiting = held.withColumn("was", chunks(F.col("n_docs")))
+        for _ in range(level + 1):
+            waiting = waiting.withColumn("past", F.col("was")).withColumn("was", chunks(F.col("was") * LEFT))
+        units = units.unionByName(waiting.where("was = 1 and past > 1").select("s", "m", "u", "size", "p", "reserve"))
         level += 1
     extra = decided.where("p = 1").select("s", "u", F.lit(1).alias("extra"))
     out = rows.join(extra, ["s", "u"], "left")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, langid, licenses, mixing, quality, simhash, substring, token_counts, toxicity
+from framelake.llm import decontam, langid, licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity
 from framelake.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(spark, documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(spark, documents(spark, sf_dir))
 
@@ -46,6 +50,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)}
 
 ORACLE_SQL = {"op3_licenses": licenses.oracle()}

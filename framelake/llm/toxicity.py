@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the lower-cased words of a text and their first PREFIX letters. At most PER_LABEL examples of each
+Terms are the lower-cased words of a text and their first PREFIX letters; those whose presence in the examples
+depends on the label are indexed. At most PER_LABEL examples of each
 label (outside fold 0, in hash order of their ids) form a block-max inverted index that is broadcast; every
 document of the corpus is a query for its K nearest examples. Their votes, weighted by cosine, give a raw
 score; a logistic curve fitted on leave-one-out votes of the examples calibrates it. The nearest examples are
@@ -28,6 +29,8 @@ PER_LABEL = 1500
 K = 15
 PREFIX = 5
 BLOCK = 50
+#: Least chi-square of an indexed term: far beyond what chance gives, copies among the examples included.
+CHI = 30.0
 
 
 def term_counts(text: str | None) -> Counter:
@@ -74,15 +77,30 @@ class Model:
         return self.calibrated(self.vote(near, cosine)), self.ids[near[:3]].tolist(), cosine[:3].tolist()
 
 
-def fit(examples: list[tuple[int, int, Counter]]) -> Model:
-    """examples: label, id and term counts."""
+def telling(examples: list[tuple[int, int, Counter]]) -> list[bytes]:
+    """Terms whose presence depends on the label: chi-square with one degree of freedom of at least CHI."""
+    examples = list({(e[0], frozenset(e[2])): e for e in examples}.values())  # copies say nothing more
+    df = Counter(t for e in examples for t in e[2])
+    n, n_toxic = len(examples), sum(e[0] for e in examples)
+    toxic = Counter(t for e in examples if e[0] for t in e[2])
+    out = []
+    for t, d in df.items():
+        a = toxic[t]
+        off = a * (n - n_toxic) - (d - a) * n_toxic
+        if d > 2 and d < n and n * off * off >= CHI * d * (n - d) * n_toxic * (n - n_toxic):
+            out.append(t)
+    return out
+
+
+def fit(examples: list[tuple[int, int, Counter]], share: float | None = None) -> Model:
+    """examples: label, id and term counts; share: of toxic among all that is labelled (None: as in the examples)."""
     examples = sorted(examples, key=lambda e: (e[0], e[1]))
     labels = np.array([e[0] for e in examples], float)
     ids = np.array([e[1] for e in examples], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model({}, np.zeros(0), None, ids, labels, default=float(labels.mean()) if len(labels) else 0.0)
     df = Counter(t for e in examples for t in e[2])
-    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n > 1))}
+    vocabulary = {t: i for i, t in enumerate(sorted(telling(examples)))}
     idf = np.zeros(max(1, len(vocabulary)))
     for t, i in vocabulary.items():
         idf[i] = np.log((1 + len(examples)) / (1 + df[t]))
@@ -98,13 +116,13 @@ def fit(examples: list[tuple[int, int, Counter]]) -> Model:
         near, cosine = model.index.top(*q, K + 3)
         other = (near != i) & (cosine < 1 - 1e-9)
         votes[i] = model.vote(near[other][:K], cosine[other][:K])
-    model.slope, model.offset = logistic(votes, labels)
+    model.slope, model.offset = logistic(votes, labels, labels.mean() if share is None else share)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Newton's method for one slope and offset, lightly regularised; both classes weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:
+    """Newton's method for one slope and offset, lightly regularised; the classes weigh as in all that is labelled."""
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum())) * len(y)
     a = np.stack([x, np.ones_like(x)], axis=1)
     beta = np.zeros(2)
     for _ in range(rounds):
@@ -121,7 +139,9 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Reads at most ``per_label`` labelled documents of either label; each is brought back as its term counts."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = sample_ids(labelled, "toxic", per_label, ~held_out(F.col("doc_id")))
+    learn = ~held_out(F.col("doc_id"))
+    share = labelled.where(learn).agg(F.avg("toxic")).first()[0]
+    ids = sample_ids(labelled, "toxic", per_label, learn)
 
     def run(batches):
         import pyarrow as pa
@@ -136,7 +156,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: in
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = text.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic int, terms array<binary>, n array<int>").toArrow()
-    return fit([(r["toxic"], r["doc_id"], Counter(dict(zip(r["terms"], r["n"])))) for b in rows.to_batches() for s in slices(b) for r in s.to_pylist()])
+    examples = [(r["toxic"], r["doc_id"], Counter(dict(zip(r["terms"], r["n"])))) for b in rows.to_batches() for s in slices(b) for r in s.to_pylist()]
+    return fit(examples, share)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
