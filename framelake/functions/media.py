@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from framelake.functions.text import extension
 
@@ -112,7 +113,7 @@ def similarity_fit(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "a", "b", F.expr("(u - a*x + b*y)/n").alias("tx"), F.expr("(v - b*x - a*y)/n").alias("ty"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wav_pack(samples: pd.Series) -> pd.Series:
     """Mono 16 kHz 16-bit WAV from float samples, clamped to ±1."""
 

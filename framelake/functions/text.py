@@ -81,7 +81,7 @@ def duration_text(ms: Column) -> Column:
 def size_text(size: Column) -> Column:
     """B, KB, MB or GB with at most one decimal."""
     i = F.when(size < 1024, 0).when(size < 1024**2, 1).when(size < 1024**3, 2).otherwise(3)
-    number = F.format_number(F.floor(size / F.pow(F.lit(1024.0), i) * 10 + 0.5) / 10, "0.#")
+    number = F.call_function("format_number", F.floor(size / F.pow(F.lit(1024.0), i) * 10 + 0.5) / 10, F.lit("0.#"))
     return F.when(size.isNull() | (size == 0), "0 B").otherwise(F.concat_ws(" ", number, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), i + 1)))
 
 
@@ -91,7 +91,7 @@ def span_text(ms: Column) -> Column:
     return (
         F.when(ms < 60_000, F.concat(F.greatest(F.lit(1), F.floor(ms / 1000 + 0.5)).cast("string"), F.lit(" s")))
         .when(ms < 3_600_000, F.concat(whole(ms / 60_000), F.lit(" min")))
-        .otherwise(F.concat(F.format_number(ms / 3_600_000, "0.0"), F.lit(" h")))
+        .otherwise(F.concat(F.call_function("format_number", ms / 3_600_000, F.lit("0.0")), F.lit(" h")))
     )
 
 

@@ -16,7 +16,7 @@ from framelake.functions.media import kind_of
 
 def watched(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """New files below a folder as a stream: path, modificationTime, length, kind; unsupported files are left out."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     path = F.col("path")
     hidden = path.rlike(r"/\.[^/]+|/node_modules/")
     return files.where(~hidden).select("path", "modificationTime", "length", kind_of(path).alias("kind"), F.md5("content").alias("file_hash")).where("kind is not null")
