@@ -9,6 +9,8 @@ The flight runs in chunks of about CHUNK documents of one source, dealt by a has
 many tasks. Each chunk leaves at most LEFT fractional documents; these meet in further flights, CHUNK times
 fewer at each level, until a source's rest is one landing problem. Documents are visited from large to small
 and a reserve of each source stays out of the flights, so that the landing can make up for what rounding misses.
+Documents that are a large part of their source are decided before, in a flight and landing of their own; what that
+misses is added to the ratio of the source's other documents.
 
 Edge cases: null texts and texts without words have size 0, belong to no constraint and are taken floor(r) times;
 a null source is a source of its own, last in order; a source without words has target 0; repeated rows are
@@ -35,6 +37,8 @@ BROADCAST_SOURCES = 50_000
 UNIT = "u string, size long, p double, reserve boolean"
 #: Units of a source, of those no larger than its mean, that only the landing decides (all of a small source's).
 RESERVE = 512
+#: A document of more than this part of its source is decided first (so a source has fewer than GIANT of them).
+GIANT = 50
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -161,19 +165,30 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     s = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
     u = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    rows = rows.withColumn("base", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0))).withColumn("s", s).withColumn("u", u)
+    rows = rows.withColumn("ratio", ratio).withColumn("s", s).withColumn("u", u).withColumn("giant", F.col("size") * GIANT > F.col("source_size"))
+    hint = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
     # repeated rows share a unit; the unit's multiplicity is in its size, so they are decided together
-    units = rows.where("size > 0 and p > 1e-9").groupBy("s", "u").agg(F.sum("size").alias("size"), F.first("p").alias("p"), F.first("n_docs").alias("n_docs"), F.first("source_size").alias("source_size"))
+    shared = rows.where("size > 0").groupBy("s", "u").agg(F.sum("size").alias("size"), *[F.first(c).alias(c) for c in ("ratio", "n_docs", "source_size", "giant")])
+    turn = lambda df: df.withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0)))
+    # giants are decided first; what rounding them misses moves the ratio of the source's other documents
+    giants = turn(shared.where("giant")).select("s", "u", "size", "p", F.lit(False).alias("reserve"), F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("chunk"))
+    decided = stage(spark, _level(giants), "giants")
+    due = giants.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("due"), F.sum("size").alias("giant_size"))
+    miss = due.join(decided.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("got")), "s")
+    miss = stage(spark, miss.select("s", (F.col("due") - F.col("got")).alias("miss"), "giant_size"), "miss")
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(float(MOST)), F.col("ratio") + F.coalesce(F.col("miss") / F.nullif(F.col("source_size") - F.col("giant_size"), F.lit(0)), F.lit(0.0))))
+    settle = lambda df: turn(df.join(hint(miss), "s", "left").withColumn("ratio", F.when(F.col("giant"), F.col("ratio")).otherwise(moved))).drop("miss", "giant_size")
+    rows = settle(rows)
+    units = settle(shared).where("not giant and p > 1e-9")
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("long")
     part = F.ceil(F.col("n_docs") / RESERVE)
     units = units.withColumn("reserve", (F.pmod(F.xxhash64(F.lit(5), "u"), part) == 0) & (F.col("size") * F.col("n_docs") <= F.col("source_size"))).withColumn("m", chunks(F.col("n_docs")))
     held = units.where("reserve and m > 1").withColumn("m", F.lit(1).cast("long"))
     units = units.where("not reserve or m = 1")
-    decided, level, most = None, 0, largest or 0
+    level, most = 0, largest or 0
     while True:
         flown = stage(spark, _level(units.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11 + level), "u"), F.col("m")))), f"flight{level}")
-        done = flown.where("p = 0 or p = 1")
-        decided = done if decided is None else decided.unionByName(done)
+        decided = decided.unionByName(flown.where("p = 0 or p = 1"))
         if most <= CHUNK:
             break
         # sources that are one chunk now meet their reserve, which then takes part in the landing
@@ -192,10 +207,14 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it (column ``copy`` from 1)."""
+    """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it.
+
+    A further column ``copy`` (with underscores if ``docs`` has that name) counts a row's turns from 1. Rows that share an
+    id are taken alike, as often as the most taken of them.
+    """
     name = "copy"
     while name in docs.columns:
         name += "_"
-    chosen = mix(spark, docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return out.withColumn(name, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_id", "_copies")
+    chosen = mix(spark, docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    out = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"])).alias(name))
