@@ -54,12 +54,13 @@ def pooled_sample(own: DataFrame, other: DataFrame) -> DataFrame:
     return own.unionByName(borrowed)
 
 
-def rrf(ranked: DataFrame, item: str = "file_hash", k: int = RRF_K) -> DataFrame:
+def rrf(ranked: DataFrame, item: str = "file_hash", k: int = RRF_K, extra: tuple[Column, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of rows (channel, item, rank from 0): score and first place by item.
 
-    Repeats of an item within one channel add again. ``first`` orders ties by channel, then rank.
+    Repeats of an item within one channel add again. ``first`` orders ties by channel, then rank. ``extra`` are further
+    aggregates by item.
     """
-    return ranked.groupBy(item).agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("score"), F.min(F.struct("channel", "rank")).alias("first"))
+    return ranked.groupBy(item).agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("score"), F.min(F.struct("channel", "rank")).alias("first"), *extra)
 
 
 def fusion_order(item: str = "file_hash") -> list[Column]:
@@ -115,7 +116,7 @@ def channels(lib: Library, q: Query) -> DataFrame:
     always = F.lit(True).alias("passed")
     if q.kind != "audio":
         one = lib.texts.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(q.text).alias("text"))
-        parts.append(textsearch.bm25(lib.texts, one, wide).select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
+        parts.append(textsearch.bm25(lib.texts, one, wide, few=True).select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
     named = textsearch.by_file_name(lib.media, q.text, wide)
     rank = F.row_number().over(Window.orderBy("id")) - 1
     parts.append(named.select(F.lit(3).alias("channel"), "file_hash", rank.alias("rank"), always, *span))
@@ -133,17 +134,16 @@ def search(lib: Library, q: Query) -> DataFrame:
     """
     if not q.text.strip():
         return _browse(lib, q)
-    found = channels(lib, q)
-    alone = found.agg((F.coalesce(F.sum(F.col("passed").cast("int")), F.lit(0)) == 0).alias("low_confidence"))
-    found = found.crossJoin(F.broadcast(alone)).where("passed or (low_confidence and rank < 12)")  # one row
-    # contents that a segment stands for leave the image channel, or the video would count twice
-    segments = found.where("channel = 1").select("file_hash")
-    found = found.where("channel = 0").join(segments, "file_hash", "left_anti").select(found.columns).unionByName(found.where("channel <> 0"))
-    rank = F.row_number().over(Window.partitionBy("channel").orderBy("rank")) - 1
-    found = found.withColumn("rank", rank)
-    extra = found.groupBy("file_hash").agg(F.collect_set("channel").alias("set"), F.max("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("low_confidence").alias("low_confidence"))
+    # windows over the few candidates rather than joins, so that the channels are computed once
     everything = Window.partitionBy(F.lit(1))
-    fused = rrf(found).withColumn("score", F.col("score") / F.max("score").over(everything)).join(extra, "file_hash")
+    found = channels(lib, q).withColumn("low_confidence", F.max(F.col("passed").cast("int")).over(everything) == 0)
+    found = found.where(F.col("passed") | (F.col("low_confidence") & (F.col("rank") < FALLBACK)))
+    # contents that a segment stands for leave the image channel, or the video would count twice
+    in_segments = F.max((F.col("channel") == 1).cast("int")).over(Window.partitionBy("file_hash"))
+    found = found.withColumn("in_segments", in_segments).where("channel <> 0 or in_segments = 0")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy("rank")) - 1)
+    extra = (F.collect_set("channel").alias("set"), F.max("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("low_confidence").alias("low_confidence"))
+    fused = rrf(found, extra=extra).withColumn("score", F.col("score") / F.max("score").over(everything))
     out = fused.join(representatives(lib.media).select("file_hash", "id", "kind", "video_id", "taken_at"), "file_hash")
     if q.folder_id is not None:
         inside = lib.media.where(~F.col("deleted") & (F.col("folder_id") == q.folder_id)).select("file_hash")
