@@ -201,3 +201,48 @@ def covers(faces: DataFrame, k: int = 3) -> DataFrame:
     """The k best faces of each person."""
     rank = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("quality"), F.desc("confidence"), "face_id"))
     return faces.where("person_id is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("person_id", "face_id", "rank")
+
+
+def dirty_pairs(people: DataFrame, least: float = MERGE) -> DataFrame:
+    """Pairs of clusters of which one at least has changed (columns person_id, centroid, changed), closest first."""
+    changed = people.select(F.col("person_id").alias("id"), "changed")
+    pairs = V.close_pairs(people, "person_id", least)
+    pairs = pairs.join(changed.withColumnsRenamed({"id": "a", "changed": "ca"}), "a").join(changed.withColumnsRenamed({"id": "b", "changed": "cb"}), "b")
+    return pairs.where("ca or cb").select("a", "b", "similarity")
+
+
+def renamed(people: DataFrame, names: DataFrame) -> DataFrame:
+    """New names (person_id, new_name); an empty name becomes null."""
+    out = people.join(names.withColumn("given", F.lit(True)), "person_id", "left")
+    return out.withColumn("name", F.when(F.col("given"), F.nullif(F.trim("new_name"), F.lit(""))).otherwise(F.col("name"))).select(people.columns)
+
+
+def hidden(people: DataFrame, ids: DataFrame, value: bool = True) -> DataFrame:
+    mark = ids.select("person_id").distinct().withColumn("mark", F.lit(True))
+    return people.join(mark, "person_id", "left").withColumn("hidden", F.when(F.col("mark"), F.lit(value)).otherwise(F.col("hidden"))).select(people.columns)
+
+
+def rejected(faces: DataFrame, rejections: DataFrame, face_person: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces leave the person they were put to, and the pair (face_id, person_id) becomes a constraint."""
+    mark = face_person.select("face_id", F.col("person_id").alias("refused"))
+    out = faces.join(mark, "face_id", "left")
+    out = out.withColumn("person_id", F.when(F.col("person_id") == F.col("refused"), None).otherwise(F.col("person_id"))).select(faces.columns)
+    return out, rejections.unionByName(face_person.select("face_id", "person_id")).distinct()
+
+
+def assigned(faces: DataFrame, rejections: DataFrame, face_person: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces that a user puts to a person; a rejection of that pair is lifted."""
+    to = face_person.select("face_id", F.col("person_id").alias("to"))
+    out = faces.join(to, "face_id", "left").withColumn("person_id", F.coalesce("to", "person_id")).select(faces.columns)
+    return out, rejections.join(face_person, ["face_id", "person_id"], "left_anti")
+
+
+def moved_constraints(rejections: DataFrame, dismissed: DataFrame, from_id: int, into_id: int) -> tuple[DataFrame, DataFrame]:
+    """After a merge: rejections follow the person; dismissed pairs of the one that is gone are dropped."""
+    person = F.when(F.col("person_id") == from_id, F.lit(into_id).cast("long")).otherwise(F.col("person_id"))
+    return rejections.withColumn("person_id", person).distinct(), dismissed.where((F.col("a") != from_id) & (F.col("b") != from_id))
+
+
+def dismiss(dismissed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs that are not one person, smaller id first."""
+    return dismissed.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()

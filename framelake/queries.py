@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import media as M
+from framelake.functions import sequence as S
 from framelake.functions import text as T
 from framelake.functions import vector as X
 from framelake.operators import browse, doctor, people, queue, search, state, textsearch, vectors
@@ -608,3 +609,113 @@ def similarity_fit(spark, sf_dir):
     pts = e.select("label", x.alias("sx"), y.alias("sy"), (2 * x + 1).alias("dx"), (2 * y - 3).alias("dy"))
     return M.similarity_fit(pts, ["label"]).select("label", F.round("a", 6).alias("a"), F.abs(F.round("b", 6)).alias("b"))
 
+
+
+# ---------------------------------------------------------------- order-dependent steps, boxes, edits
+
+
+@query("SELECT event_id, last_value(CASE WHEN value < 50 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS value FROM events")
+def forward_fill(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.when(F.col("value") < 50, F.col("value")).alias("value"))
+    return S.forward_filled(e, "event_type", "event_id", "value").select("event_id", "value")
+
+
+@query("SELECT event_id, round(greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000.0 - 1000), 3)::DOUBLE AS lag_ms FROM events")
+def loop_lag(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "id")
+    return S.lags(e, "user_id", "ts", 1000.0).select(F.col("id").alias("event_id"), F.round("lag_ms", 3).alias("lag_ms"))
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) WHERE after IS NULL OR NOT starts_with(after, text)")
+def search_history(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    return S.collapsed_history(c, "conv_id", "turn", "text")
+
+
+BOXES = """WITH bx AS (SELECT label AS image, vec_id, abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y, abs(embedding[3]::DOUBLE) + 0.05 AS w, abs(embedding[4]::DOUBLE) + 0.05 AS h FROM embeddings)
+"""
+
+
+@query(BOXES + "SELECT a.vec_id AS a, b.vec_id AS b, round(i / (a.w * a.h + b.w * b.h - i + 1e-6), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i FROM bx a JOIN bx b ON a.image = b.image AND b.vec_id = a.vec_id + 10) t")
+def box_overlap(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    one = b.select("image", "vec_id", F.struct("x", "y", "w", "h").alias("p"))
+    two = b.select("image", (F.col("vec_id") - 10).alias("vec_id"), F.col("vec_id").alias("b"), F.struct("x", "y", "w", "h").alias("q"))
+    return one.join(two, ["image", "vec_id"]).select(F.col("vec_id").alias("a"), "b", F.round(M.iou("p", "q"), 6).alias("iou"))
+
+
+@query("SELECT vec_id, round(x, 6) AS x, round(least(1, x + w) - x, 6) AS w FROM (SELECT vec_id, greatest(0, bx - bw * 0.2) AS x, bx + bw * 1.2 - greatest(0, bx - bw * 0.2) AS w FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) AS bx, abs(embedding[3]::DOUBLE) + 0.05 AS bw FROM embeddings))")
+def crop_boxes(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("vec_id", F.struct("x", "y", "w", "h").alias("box"))
+    return b.select("vec_id", M.crop_box("box").alias("c")).select("vec_id", F.round("c.x", 6).alias("x"), F.round("c.w", 6).alias("w"))
+
+
+@query("SELECT vec_id, round(greatest(0, least(1, (320 - e[1] * 8) / 0.5 / 1280)), 6) AS x, round(greatest(0, least(1, (320 + e[3] * 8) / 0.5 / 1280)) - greatest(0, least(1, (320 - e[1] * 8) / 0.5 / 1280)), 6) AS w FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def box_decode(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("e", F.col("embedding").cast("array<double>"))
+    n = lambda v: F.lit(float(v))
+    b = e.select("vec_id", S.decoded_box(n(320), n(320), F.col("e"), n(8), n(0.5), n(1280), n(960)).alias("b"))
+    return b.select("vec_id", F.round("b.x", 6).alias("x"), F.round("b.w", 6).alias("w"))
+
+
+@query("SELECT vec_id, round(abs(((e[5] - (e[1] + e[3]) / 2) * (e[3] - e[1]) + (e[6] - (e[2] + e[4]) / 2) * (e[4] - e[2])) / ((e[3] - e[1]) * (e[3] - e[1]) + (e[4] - e[2]) * (e[4] - e[2]))), 4) AS yaw, 1 / (1 + exp(20 * e[1] - 20 * e[2])) > 0.9 AS turned FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def pose_and_flip(spark, sf_dir):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", F.round(S.yaw(at(0), at(2), at(4), at(1), at(3), at(5)), 4).alias("yaw"), S.turned(20 * at(0), 20 * at(1)).alias("turned"))
+
+
+@query(E.sql("SELECT a.person_id AS a, b.person_id AS b, round(list_inner_product(a.centroid, b.centroid), 5) AS similarity FROM people a, people b WHERE a.person_id < b.person_id AND list_inner_product(a.centroid, b.centroid) >= -0.1 AND (a.n > 25 OR b.n > 25)", E.FACES, PEOPLE))
+def dirty_cluster_pairs(spark, sf_dir):
+    rows = people.person_centroids(E.faces(spark, sf_dir)).withColumn("changed", F.col("n") > 25)
+    return people.dirty_pairs(rows, -0.1).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(E.sql("SELECT face_id, CASE WHEN face_id = 1 THEN 9 WHEN person_id = 3 AND quality < 0.7 THEN NULL WHEN person_id = 8 THEN 7 ELSE person_id END AS person_id FROM faces", E.FACES))
+def people_edits(spark, sf_dir):
+    faces = E.faces(spark, sf_dir)
+    none = spark.range(0).select(F.col("id").alias("face_id"), F.col("id").alias("person_id"))
+    faces, refused = people.rejected(faces, none, faces.where("person_id = 3 and quality < 0.7").select("face_id", "person_id"))
+    faces = people.merged(faces, spark.range(1).select(F.lit(8).cast("long").alias("from_id"), F.lit(7).cast("long").alias("into_id")))
+    faces, _ = people.assigned(faces, refused, spark.range(1).select(F.lit(1).cast("long").alias("face_id"), F.lit(9).cast("long").alias("person_id")))
+    return faces.select("face_id", "person_id")
+
+
+@query(E.sql("SELECT id, slot, round((slot + 0.5::DOUBLE) / 12 * duration_ms, 3) AS at_ms FROM videos, (SELECT unnest(range(0, 12)) AS slot)", E.MEDIA, VIDEOS))
+def sprite_slots(spark, sf_dir):
+    v = videos(spark, sf_dir).select("id", F.posexplode(M.sprite_times(F.col("duration_ms"))).alias("slot", "at"))
+    return v.select("id", F.col("slot").cast("long").alias("slot"), F.round("at", 3).alias("at_ms"))
+
+
+@query(E.sql("SELECT id, md5(file_hash || '_' || 0 || '_' || 32000) AS segment_hash, sha256('v1|' || file_size || '|7|' || file_hash) AS light FROM media", E.MEDIA))
+def content_hashes(spark, sf_dir):
+    m = E.media(spark, sf_dir)
+    light = M.light_hash(F.col("file_size"), F.lit(7), F.col("file_hash").cast("binary"))
+    return m.select("id", M.segment_hash(F.col("file_hash"), F.lit(0), F.lit(32000)).alias("segment_hash"), light.alias("light"))
+
+
+@query(E.sql("SELECT DISTINCT file_hash FROM media WHERE video_id IS NOT NULL AND NOT deleted AND file_hash NOT IN (SELECT file_hash FROM media WHERE id IN (SELECT face_id FROM faces WHERE person_id < 5))", E.MEDIA, E.FACES))
+def face_rescan(spark, sf_dir):
+    names = spark.range(10).select(F.col("id").alias("person_id"), F.when(F.col("id") < 5, F.concat(F.lit("person "), F.col("id").cast("string"))).alias("name"))
+    return state.rescan(E.media(spark, sf_dir), E.faces(spark, sf_dir), names)
+
+
+@query(E.sql("SELECT file_path FROM media WHERE folder_id <> 3 AND (deleted OR file_size > 2000)", E.MEDIA))
+def changed_files(spark, sf_dir):
+    m = E.media(spark, sf_dir)
+    listing = m.where("folder_id <> 3").select("file_path", F.when(F.col("file_size") > 2000, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"))
+    return state.changed_files(m, listing).select("file_path")
+
+
+@query("WITH " + STATS + " SELECT count(*) AS n FROM samp")
+def gate_pooled(spark, sf_dir):
+    e = search.baseline(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
+    few = e.limit(0).withColumn("sample_id", F.col("sample_id"))
+    return search.pooled_sample(few, e).agg(F.count("*").alias("n"))
+
+
+@query()
+def recognised_lines(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    text = F.concat(F.lit(" w"), F.col("vec_id").cast("string"))
+    return S.lines_text(b.select("image", "x", (F.col("y") * 300).alias("y"), "w", "h", text.alias("text"), (F.col("confidence") * 4).alias("score")), "image")

@@ -390,3 +390,59 @@ def test_listing(spark, tmp_path):
     (tmp_path / "x" / "b.txt").write_bytes(b"2")
     got = tables.listing(spark, str(tmp_path)).collect()
     assert [(r.file_name, r.kind, r.file_size) for r in got] == [("a.JPG", "image", 1)]
+
+
+# ---- order-dependent steps, edits
+
+
+def test_reading_order(spark):
+    from framelake.functions import sequence as S
+
+    rows = [("i", 50.0, 3.0, 9.0, 4.0, "b", 0.9), ("i", 1.0, 5.0, 9.0, 4.0, " a ", 0.9), ("i", 0.0, 40.0, 9.0, 4.0, "c", 0.6), ("i", 0.0, 60.0, 9.0, 4.0, "bad", 0.4), ("i", 0.0, 80.0, 9.0, 4.0, " ", 0.9)]
+    df = spark.createDataFrame(rows, "image string, x double, y double, w double, h double, text string, score double")
+    assert S.lines_text(df, "image").first().text == "a\nb\nc"
+
+
+def test_history_and_forward_fill(spark):
+    from framelake.functions import sequence as S
+
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["c", "ca", "cat", "dog", None])], "k int, o int, t string")
+    assert [r.t for r in S.collapsed_history(df.where("t is not null"), "k", "o", "t").orderBy("o").collect()] == ["cat", "dog"]
+    assert [r.t for r in S.forward_filled(df, "k", "o", "t").orderBy("o").collect()][-1] == "dog"
+
+
+def test_people_edits(spark):
+    people_ = spark.createDataFrame([(1, "a", False), (2, "b", False)], "person_id long, name string, hidden boolean")
+    names = spark.createDataFrame([(1, " ")], "person_id long, new_name string")
+    assert {r.person_id: r.name for r in people.renamed(people_, names).collect()} == {1: None, 2: "b"}
+    assert {r.person_id: r.hidden for r in people.hidden(people_, names).collect()} == {1: True, 2: False}
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert people.dismiss(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).count() == 1
+    r = spark.createDataFrame([(7, 1), (7, 2)], "face_id long, person_id long")
+    moved, left = people.moved_constraints(r, pairs, 1, 2)
+    assert [tuple(x) for x in moved.collect()] == [(7, 2)] and left.count() == 0
+
+
+def test_plan_application_skips_assigned_faces(spark):
+    faces = spark.createDataFrame([(1, None), (2, 5), (3, None)], "face_id long, person_id long")
+    plan_ = spark.createDataFrame([(1, "assign", 4), (2, "assign", 4), (3, "dormant", -1)], "face_id long, action string, target long")
+    got = {r.face_id: (r.person_id, r.dormant) for r in people.apply_plan(faces, plan_).collect()}
+    assert got == {1: (4, False), 2: (5, False), 3: (None, True)}
+
+
+def test_moved_centroid(spark):
+    c = one(spark, vectors.moved(vec([1, 0]), lit(1), vec([0, 1])))
+    assert c == pytest.approx([0.5**0.5] * 2)
+
+
+def test_pose(spark):
+    from framelake.functions import sequence as S
+
+    f = lambda *v: one(spark, S.yaw(*[lit(float(x)) for x in v]))
+    assert f(0, 2, 1, 0, 0, 1) == 0 and f(0, 2, 2, 0, 0, 1) == 0.5 and f(1, 1, 1, 1, 1, 1) == 1
+
+
+def test_doctor_sees_plans(spark):
+    a, b = spark.range(3), spark.range(3).withColumnRenamed("id", "j")
+    assert "nested loop join" in doctor.plan_warnings(a.join(b, a.id < b.j)) or "cartesian product" in doctor.plan_warnings(a.join(b, a.id < b.j))
+    assert doctor.plan_warnings(a.where("id > 1")) == []
