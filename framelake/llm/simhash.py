@@ -209,6 +209,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
 
     Of repeated rows with one id one stays. Rows with a null id can't be named as copies and all stay.
     """
-    keep = cluster(spark, docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    out = docs.join(keep, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    keep = cluster(spark, docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
+    out = docs.join(keep, docs["doc_id"].cast("long") == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
