@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.llm import decontam, langid, licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity
 from framelake.llm.common import documents
@@ -26,7 +27,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(spark, documents(spark, sf_dir))
+    return substring.dedup(spark, documents(spark, sf_dir)).withColumn("spans", F.array_join("spans", ","))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +53,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)}
 
-ORACLE_SQL = {"op3_licenses": licenses.oracle()}
+SUBSTRINGS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, k, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT r, k, ws, unnest(range(1, len(ws) - 48)) AS s FROM docs WHERE len(ws) >= 50)),
+dup AS (SELECT r, s FROM win JOIN (SELECT h, min(k) AS f FROM win GROUP BY h) USING (h) WHERE k > f),
+runs AS (SELECT r, min(s) - 1 AS a, max(s) + 49 AS b FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM dup)) GROUP BY r, g),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list({'a': a, 'b': b}) AS l FROM runs GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN l IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(0, len(ws))), lambda x: len(list_filter(l, lambda y: x[2] >= y.a AND x[2] < y.b)) = 0), lambda x: x[1]) END, ' ')) AS kept_sha256,
+  coalesce(spans, '') AS spans
+FROM docs LEFT JOIN cut USING (r)"""
+
+ORACLE_SQL = {"op3_licenses": licenses.oracle(), "op5_substring_dedup": SUBSTRINGS}
