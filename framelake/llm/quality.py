@@ -1,8 +1,9 @@
 """Quality rules by weak supervision.
 
-Each rule votes keep (+1), drop (-1) or abstains (0). Expectation-maximisation over the counts of vote
-patterns (at most 3 ** len(RULES), whatever the corpus size) estimates how each rule votes on good and on
-bad documents; the posterior probability of "good" replaces a conjunction of all rules.
+Each rule votes keep (+1), drop (-1) or abstains (0); most rules see one kind of defect and abstain otherwise.
+Expectation-maximisation over the counts of vote patterns (at most 3 ** len(RULES), whatever the corpus size) estimates
+how each rule votes on good and on bad documents, and the share of good ones; the posterior probability of "good"
+replaces a conjunction of all rules.
 
 Edge cases: a null or empty text has no words, all counts are 0 and base_failed is true. Repeated rows and
 null ids are scored row by row. An empty table gives an empty result.
@@ -10,6 +11,7 @@ null ids are scored row by row. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from framelake.llm.common import WORD_SPACE, slices, stage
 
 SYMBOLS = b"#*$%&|<>"
+SYMBOL = re.compile(rb"[#*$%&|<>]")
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", votes string"
 
@@ -35,7 +40,8 @@ class TextStats:
     n_upper: int = 0
     n_exclaim: int = 0
     n_closed_lines: int = 0
-    n_distinct: int = 0
+    n_marks: int = 0
+    n_marked_words: int = 0
 
 
 def text_stats(text: str | None) -> TextStats:
@@ -57,40 +63,46 @@ def text_stats(text: str | None) -> TextStats:
                 if counts[window] > 1:
                     repeat += at + 3 - max(at, covered_to)
                     covered_to = at + 3
+    symbols = len(data) - len(data.translate(None, SYMBOLS))
     lines = [line for line in data.split(b"\n") if line.strip(WORD_SPACE)]
     return TextStats(
         n_words=len(words),
         word_chars=len(text) - spaces,
-        n_symbols=len(data) - len(data.translate(None, SYMBOLS)),
+        n_symbols=symbols,
         n_dup_lines=len(lines) - len(set(lines)),
         n_repeat_words=repeat,
         n_lines=len(lines),
         n_upper=sum(1 for w in words if len(w) > 1 and w.isupper()),
         n_exclaim=data.count(b"!"),
         n_closed_lines=sum(1 for line in lines if line.rstrip(WORD_SPACE)[-1:] in b".!?:;\"')"),
-        n_distinct=len(set(words)),
+        n_marks=len(data) - len(data.translate(None, MARKS)),
+        n_marked_words=sum(1 for w in words if SYMBOL.search(w)) if symbols else 0,
     )
 
 
-def _vote(value: float, good_to: float, bad_from: float) -> int:
-    return 1 if value <= good_to else -1 if value >= bad_from else 0
+def _drop(value: float, least: float) -> int:
+    return -1 if value >= least else 0
 
 
-#: Name and vote of each rule; every one sees the whole text's counts.
+#: Name, vote, and the accuracy that estimation starts from: rules that see a defect are precise, general ones weak.
 RULES = [
-    ("length", lambda s: 1 if s.n_words >= 80 else -1 if s.n_words < 30 else 0),
-    ("symbols", lambda s: _vote(s.n_symbols, 0.01 * s.n_words, 0.1 * s.n_words + 0.5)),
-    ("shouting", lambda s: _vote(s.n_upper, 0.1 * s.n_words, 0.4 * s.n_words + 0.5)),
-    ("exclaiming", lambda s: _vote(s.n_exclaim, 0.05 * s.n_words, 0.3 * s.n_words + 0.5)),
-    ("word_length", lambda s: 1 if 3 * s.n_words <= s.word_chars <= 10 * s.n_words else -1 if s.word_chars > 16 * s.n_words or s.word_chars < 2 * s.n_words else 0),
-    ("repeated_lines", lambda s: _vote(s.n_dup_lines, 0.0, 0.3 * s.n_lines + 0.5)),
-    ("repeated_words", lambda s: _vote(s.n_repeat_words, 0.15 * s.n_words, 0.4 * s.n_words + 0.5)),
-    ("closed_lines", lambda s: 1 if 2 * s.n_closed_lines >= s.n_lines else -1 if 10 * s.n_closed_lines < s.n_lines else 0),
+    ("length", lambda s: 1 if s.n_words >= 80 else -1 if s.n_words < 30 else 0, 0.65),
+    ("word_length", lambda s: 1 if 3 * s.n_words <= s.word_chars <= 10 * s.n_words else -1 if s.word_chars > 16 * s.n_words or s.word_chars < 2 * s.n_words else 0, 0.65),
+    ("closed_lines", lambda s: 1 if 2 * s.n_closed_lines >= s.n_lines else -1 if 10 * s.n_closed_lines < s.n_lines else 0, 0.65),
+    ("symbols", lambda s: _drop(s.n_symbols, 0.1 * s.n_words + 0.5), 0.9),
+    ("marked_words", lambda s: _drop(s.n_marked_words, 0.08 * s.n_words + 0.5), 0.9),
+    ("marks", lambda s: _drop(s.n_marks, 0.1 * s.word_chars + 0.5), 0.9),
+    ("shouting", lambda s: _drop(s.n_upper, 0.4 * s.n_words + 0.5), 0.9),
+    ("exclaiming", lambda s: _drop(s.n_exclaim, 0.3 * s.n_words + 0.5), 0.9),
+    ("repeated_lines", lambda s: _drop(s.n_dup_lines, 0.3 * s.n_lines + 0.5), 0.8),
+    ("repeated_words", lambda s: _drop(s.n_repeat_words, 0.4 * s.n_words + 0.5), 0.9),
 ]
+#: Documents that every class and vote has beforehand.
+SMOOTHING = 0.5
 
 
 def pattern_of(stats: TextStats) -> str:
-    return "".join("-0+"[rule(stats) + 1] for _, rule in RULES)
+    return "".join("-0+"[rule(stats) + 1] for _, rule, _ in RULES)
 
 
 def stats_of(docs: DataFrame) -> DataFrame:
@@ -107,28 +119,29 @@ def stats_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, smoothing: float = 1.0) -> dict[str, float]:
-    """Posterior probability of "good" for each vote pattern.
+def fit(patterns: dict[str, int], start: list[float] | None = None, rounds: int = 200) -> dict[str, float]:
+    """Posterior probability of "good" for each vote pattern (one character a rule: -, 0 or +).
 
-    Starts from the majority of votes, which also fixes which of the two classes is "good"; a tie starts at 0.5.
+    The first posteriors weigh each vote by the accuracy in ``start``, which also settles which class is "good". From then
+    on the share of good documents and how often each rule votes +, - or not at all on good and on bad documents are
+    estimated with the posteriors in turn.
     """
     if not patterns:
         return {}
     names = sorted(patterns)
+    begin = np.array([r[2] for r in RULES] if start is None else start)
     weight = np.array([patterns[n] for n in names], float)
-    votes = np.array([["-0+".index(c) for c in n] for n in names])
-    one_hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
-    balance = (votes - 1).sum(axis=1)
-    good = np.clip(0.5 + 0.45 * balance / np.maximum(1, np.abs(votes - 1).sum(axis=1)), 0.05, 0.95)
+    votes = np.array([["-0+".index(c) - 1 for c in n] for n in names])
+    one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
+    good = 1 / (1 + np.exp(-(np.log(4.0) + votes @ np.log(begin / (1 - begin)))))
     for _ in range(rounds):
-        scores = []
+        score = []
         for p in (1 - good, good):
-            mass = (weight * p)[:, None, None] * one_hot
-            rates = mass.sum(axis=0) + smoothing
+            mass = weight * p
+            rates = (mass[:, None, None] * one_hot).sum(axis=0) + SMOOTHING
             rates /= rates.sum(axis=1, keepdims=True)
-            prior = ((weight * p).sum() + smoothing) / (weight.sum() + 2 * smoothing)
-            scores.append(np.log(prior) + (one_hot * np.log(rates)).sum(axis=(1, 2)))
-        new = 1 / (1 + np.exp(np.clip(scores[0] - scores[1], -700, 700)))
+            score.append(np.log((mass.sum() + SMOOTHING) / (weight.sum() + 2 * SMOOTHING)) + (one_hot * np.log(rates)).sum(axis=(1, 2)))
+        new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
         done = np.abs(new - good).max() < 1e-9
         good = new
         if done:

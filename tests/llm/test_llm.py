@@ -560,7 +560,7 @@ def test_em_recovers_accuracies():
     votes = np.where(r.random((20_000, 8)) < accuracy, good[:, None], ~good[:, None])
     votes = np.where(r.random((20_000, 8)) < 0.2, 1, votes * 2)
     patterns = collections.Counter("".join("-0+"[v] for v in row) for row in votes)
-    p = quality.fit(patterns)
+    p = quality.fit(patterns, [0.7] * 8)
     right = sum(p["".join("-0+"[v] for v in row)] >= 0.5 for row, g in zip(votes, good) if g) + sum(p["".join("-0+"[v] for v in row)] < 0.5 for row, g in zip(votes, good) if not g)
     assert right / 20_000 > 0.97 and quality.fit({}) == {}
 
