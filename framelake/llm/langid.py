@@ -25,7 +25,7 @@ DIM = 1 << DIM_BITS
 PER_LANGUAGE = 400
 CENTROIDS = 4
 #: Fewer n-grams than this say too little about distance to reject a text.
-LEAST_GRAMS = 60
+LEAST_GRAMS = 400
 LETTER = re.compile(r"[^\W\d_]")
 
 

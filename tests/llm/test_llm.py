@@ -492,7 +492,7 @@ def test_language_id(spark):
     assert out[1000].lang_pred == out[1001].lang_pred == "und" and out[1001].score == 0 and out[1002].lang_pred == "xx" and out[None].lang_pred == "yy"
     kept = {r.doc_id for r in langid.keep_accepted(spark, df, model).collect()}
     assert kept == set(out) - {1000, 1001}
-    far = model.predict("zqwv " * 40)
+    far = model.predict("zqwv " * 200)
     assert far[2] and 0 <= far[1] <= 1
     nothing = langid.train(spark, df.where("lang is null"))
     assert {r.lang_pred for r in langid.predict(spark, df, nothing).collect()} == {"und"}
