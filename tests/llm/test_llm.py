@@ -590,3 +590,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("@" not in t and "<EMAIL>" in t for t in texts.values())
     want = sorted((r.doc_id, r.copy) for r in docs.collect())
     assert sorted((r.doc_id, r.copy) for r in P.run(spark, str(tmp_path)).collect()) == want and want
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_stages_take_any_table(spark, tmp_path, kind):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(0, prose(30, 999)), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, odd(spark, 40)) if kind == "odd" else table(spark, ODD).where("false")
+    columns = docs.columns
+    for n, (_, f) in enumerate(P.STAGES):
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == columns + ["copy"] * (n == len(P.STAGES) - 1)
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+    assert (docs.count() > 0) == (kind == "odd")
