@@ -82,6 +82,15 @@ def ramp(v: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / (high - low)))
 
 
+#: Face sizes in pixels, the worst yaw, and sharpness, between which a face's quality runs from 0 to 1.
+SIZE_RAMP, YAW_BAD, SHARP_RAMP = (24.0, 72.0), 0.6, (20.0, 120.0)
+
+
+def face_score(size_px: Column, yaw: Column, sharpness: Column) -> Column:
+    """The worst of size, pose and sharpness."""
+    return F.least(ramp(size_px, *SIZE_RAMP), 1 - ramp(yaw, 0.0, YAW_BAD), ramp(sharpness, *SHARP_RAMP))
+
+
 def iou(a: str, b: str) -> Column:
     """Of two box structs x, y, w, h."""
     c = F.col

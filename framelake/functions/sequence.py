@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.text import normalise_query
+
 
 def forward_filled(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """A missing value takes the last one before it."""
@@ -22,9 +24,16 @@ def lags(rows: DataFrame, key: str, order: str, expected_ms: float) -> DataFrame
 
 
 def collapsed_history(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Searches that the next one only extends are dropped."""
+    """Recent searches: white space normalised, empty ones left out.
+
+    A search that the next one extends, or cuts short, is dropped; of equal searches the latest stays.
+    """
+    clean = rows.withColumn(text, normalise_query(F.col(text))).where(F.length(text) > 0)
     after = F.lead(text).over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_after", after).where(F.col("_after").isNull() | ~F.col("_after").startswith(F.col(text))).drop("_after")
+    same = F.col("_after").startswith(F.col(text)) | F.col(text).startswith(F.col("_after"))
+    kept = clean.withColumn("_after", after).where(F.col("_after").isNull() | ~same).drop("_after")
+    latest = F.row_number().over(Window.partitionBy(key, text).orderBy(F.desc(order)))
+    return kept.withColumn("_n", latest).where("_n = 1").drop("_n")
 
 
 def lines_text(boxes: DataFrame, image: str, least: float = 0.5, band: float = 10.0) -> DataFrame:
@@ -50,11 +59,11 @@ def lines_text(boxes: DataFrame, image: str, least: float = 0.5, band: float = 1
 
 
 def yaw(left_x: Column, right_x: Column, nose_x: Column, left_y: Column, right_y: Column, nose_y: Column) -> Column:
-    """Offset of the nose from the middle of the eyes along their line, as a share of their distance."""
+    """Offset of the nose from the middle of the eyes along their line, as a share of their distance; 0 for eyes in one place."""
     dx, dy = right_x - left_x, right_y - left_y
     square = dx * dx + dy * dy
     along = (nose_x - (left_x + right_x) / 2) * dx + (nose_y - (left_y + right_y) / 2) * dy
-    return F.when(square > 0, F.abs(along / square)).otherwise(1.0)
+    return F.when(square > 0, F.abs(along / square)).otherwise(0.0)
 
 
 def decoded_box(anchor_x: Column, anchor_y: Column, offsets: Column, stride: Column, scale: Column, width: Column, height: Column) -> Column:

@@ -56,8 +56,13 @@ def normalise_query(q: Column) -> Column:
     return F.trim(F.regexp_replace(q, r"\s+", " "))
 
 
-def prefixed(text: Column, prefix: str = "task: search query | query: ") -> Column:
-    return F.when(text.startswith("task:"), text).otherwise(F.concat(F.lit(prefix), text))
+#: Fixed value: what the text encoder expects before a query.
+QUERY_PREFIX = "task: search query | text: "
+
+
+def prefixed(text: Column, prefix: str = QUERY_PREFIX) -> Column:
+    s = F.trim(text)
+    return F.when(s.startswith("task:"), s).otherwise(F.concat(F.lit(prefix), s))
 
 
 def base_name(path: Column) -> Column:
@@ -96,17 +101,17 @@ def span_text(ms: Column) -> Column:
 
 
 def parsed_duration(text: Column) -> Column:
-    """Milliseconds from 'Duration: HH:MM:SS.xx' in a probe's output; null without one."""
+    """Milliseconds from 'Duration: HH:MM:SS.xx' in a probe's output; null without one, and for zero."""
     pattern = r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)"
     part = lambda i: F.regexp_extract(text, pattern, i)
     seconds = part(1).try_cast("long") * 3600 + part(2).try_cast("long") * 60 + part(3).try_cast("double")
-    return F.when(text.rlike(pattern), F.round(seconds * 1000).cast("long"))
+    return F.when(text.rlike(pattern), F.nullif(F.round(seconds * 1000).cast("long"), F.lit(0).cast("long")))
 
 
 def parsed_size(text: Column) -> Column:
-    """width and height from 'WxH'; a rotation by 90 or 270 degrees swaps them."""
-    w = F.regexp_extract(text, r",\s*(\d{2,5})x(\d{2,5})", 1).try_cast("long")
-    h = F.regexp_extract(text, r",\s*(\d{2,5})x(\d{2,5})", 2).try_cast("long")
+    """width and height of the first video stream; a rotation by 90 or 270 degrees swaps them."""
+    size = r"Video:.*?(\d{2,5})x(\d{2,5})"
+    w, h = F.regexp_extract(text, size, 1).try_cast("long"), F.regexp_extract(text, size, 2).try_cast("long")
     turned = text.rlike(r"rotat\w*\s*(?:of|:)\s*-?(90|270)")
     return F.when(w.isNotNull(), F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height")))
 

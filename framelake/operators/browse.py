@@ -63,6 +63,11 @@ def grid(media: DataFrame, zoom: int, pixels: int = 60) -> DataFrame:
     return located(media).groupBy(x.alias("cell_x"), y.alias("cell_y")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def rank_for_zoom(zoom: Column) -> Column:
+    """The least important rank of a place that a map shows at a zoom level."""
+    return F.when(zoom <= 2, -1).when(zoom <= 3, 1).when(zoom <= 6, F.ceil(zoom).cast("int") - 2).otherwise(99)
+
+
 def library_counts(media: DataFrame) -> DataFrame:
     """Representatives by kind, and 'all'."""
     by = representatives(media).groupBy("kind").agg(F.count("*").alias("n"))

@@ -545,7 +545,7 @@ def format_duration(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.duration_text(F.col("n_chars") * 977).alias("shown"))
 
 
-@query("SELECT event_id, (h * 3600 + m * 60 + s) * 1000 + c * 10 AS ms FROM (SELECT event_id, event_id % 30 AS h, event_id % 60 AS m, event_id * 7 % 60 AS s, event_id * 11 % 100 AS c FROM events)")
+@query("SELECT event_id, nullif((h * 3600 + m * 60 + s) * 1000 + c * 10, 0) AS ms FROM (SELECT event_id, event_id % 30 AS h, event_id % 60 AS m, event_id * 7 % 60 AS s, event_id * 11 % 100 AS c FROM events)")
 def duration_parse(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     i = F.col("event_id")
@@ -572,10 +572,10 @@ def normalised_queries(spark, sf_dir):
     return c.select(T.normalise_query(F.col("text")).alias("query")).groupBy("query").agg(F.count("*").alias("n"))
 
 
-@query(E.sql("SELECT face_id, round(greatest(0, least(1, (quality - 0.2) / 0.6)), 9) AS size_score, least(round(greatest(0, least(1, (quality - 0.2) / 0.6)), 9), confidence) AS overall FROM faces", E.FACES))
+@query(E.sql("SELECT face_id, round(least(greatest(0, least(1, (quality * 100 - 24) / 48)), 1 - greatest(0, least(1, confidence * 0.5 / 0.6)), greatest(0, least(1, (quality * 150 - 20) / 100))), 6) AS score FROM faces", E.FACES))
 def face_quality(spark, sf_dir):
-    size = F.round(M.ramp(F.col("quality"), 0.2, 0.8), 9)
-    return E.faces(spark, sf_dir).select("face_id", size.alias("size_score"), F.least(size, F.col("confidence")).alias("overall"))
+    score = M.face_score(F.col("quality") * 100, F.col("confidence") * 0.5, F.col("quality") * 150)
+    return E.faces(spark, sf_dir).select("face_id", F.round(score, 6).alias("score"))
 
 
 def boxes(spark, sf_dir) -> DataFrame:
@@ -626,7 +626,7 @@ def loop_lag(spark, sf_dir):
     return S.lags(e, "user_id", "ts", 1000.0).select(F.col("id").alias("event_id"), F.round("lag_ms", 3).alias("lag_ms"))
 
 
-@query("SELECT conv_id, turn, text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) WHERE after IS NULL OR NOT starts_with(after, text)")
+@query("WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) SELECT conv_id, turn, text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM c WHERE text <> '') WHERE after IS NULL OR NOT (starts_with(after, text) OR starts_with(text, after)) QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn DESC) = 1")
 def search_history(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     return S.collapsed_history(c, "conv_id", "turn", "text")

@@ -166,9 +166,11 @@ def test_formats(spark):
     assert [one(spark, T.span_text(lit(x))) for x in (10, 90_000, 5_400_000)] == ["1 s", "2 min", "1.5 h"]
     assert one(spark, T.parsed_duration(lit("  Duration: 00:01:02.50, start"))) == 62_500
     assert one(spark, T.parsed_duration(lit("no"))) is None
-    assert one(spark, T.parsed_size(lit("Video: h264, 1920x1080, rotation of 90"))) == (1080, 1920)
+    assert one(spark, T.parsed_size(lit("Stream #0:0: Video: h264 (x / 0x31637668), 1920x1080, rotation of 90"))) == (1080, 1920)
     assert one(spark, T.base_name(lit("/a/b/"))) == "/a/b/"
-    assert one(spark, T.prefixed(lit("task: x"))) == "task: x"
+    assert one(spark, T.prefixed(lit(" task: x"))) == "task: x" and one(spark, T.prefixed(lit("x "))) == "task: search query | text: x"
+    assert one(spark, T.parsed_duration(lit("Duration: 00:00:00.00"))) is None
+    assert [one(spark, browse.rank_for_zoom(lit(z))) for z in (1, 3, 4, 5, 6, 7)] == [-1, 1, 2, 3, 4, 99]
 
 
 @pytest.mark.parametrize(
@@ -406,9 +408,9 @@ def test_reading_order(spark):
 def test_history_and_forward_fill(spark):
     from framelake.functions import sequence as S
 
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["c", "ca", "cat", "dog", None])], "k int, o int, t string")
-    assert [r.t for r in S.collapsed_history(df.where("t is not null"), "k", "o", "t").orderBy("o").collect()] == ["cat", "dog"]
-    assert [r.t for r in S.forward_filled(df, "k", "o", "t").orderBy("o").collect()][-1] == "dog"
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["c", "ca", "cat", "dog", "do", " ", "dog  x", None])], "k int, o int, t string")
+    assert [r.t for r in S.collapsed_history(df.where("t is not null"), "k", "o", "t").orderBy("o").collect()] == ["cat", "dog x"]
+    assert [r.t for r in S.forward_filled(df, "k", "o", "t").orderBy("o").collect()][-1] == "dog  x"
 
 
 def test_people_edits(spark):
@@ -439,7 +441,7 @@ def test_pose(spark):
     from framelake.functions import sequence as S
 
     f = lambda *v: one(spark, S.yaw(*[lit(float(x)) for x in v]))
-    assert f(0, 2, 1, 0, 0, 1) == 0 and f(0, 2, 2, 0, 0, 1) == 0.5 and f(1, 1, 1, 1, 1, 1) == 1
+    assert f(0, 2, 1, 0, 0, 1) == 0 and f(0, 2, 2, 0, 0, 1) == 0.5 and f(1, 1, 1, 1, 1, 1) == 0
 
 
 def test_doctor_sees_plans(spark):
