@@ -116,29 +116,29 @@ def _parsed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """One row for each window to look up: w1, w2, key, digest, s."""
+    """One row for each window to look up: w1, w2, key, d, s."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in slices(batch, 64):
-                for key, digest, text, asked in zip(*(part.column(c).to_pylist() for c in ("key", "digest", "text", "asked"))):
+                for key, d, text, asked in zip(*(part.column(c).to_pylist() for c in ("key", "d", "text", "asked"))):
                     if not asked:
                         continue
                     words = Words(text)
                     at = np.unique(np.concatenate([np.arange(r["s"], r["e"] + 1) for r in asked]))
                     w = [words.runs(at, at + WINDOW, base).view(np.int64) for base in BASES]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w[0], pa.int64()), pa.array(w[1], pa.int64()), pa.array(np.full(len(at), key), pa.int64()), pa.array([digest] * len(at), pa.string()), pa.array(at.astype(np.int32), pa.int32())],
-                        names=["w1", "w2", "key", "digest", "s"],
+                        [pa.array(w[0], pa.int64()), pa.array(w[1], pa.int64()), pa.array(np.full(len(at), key), pa.int64()), pa.array(np.full(len(at), d), pa.int64()), pa.array(at.astype(np.int32), pa.int32())],
+                        names=["w1", "w2", "key", "d", "s"],
                     )
 
-    return texts.select("key", "digest", "text", "asked").mapInArrow(run, "w1 long, w2 long, key long, digest string, s int")
+    return texts.select("key", "d", "text", "asked").mapInArrow(run, "w1 long, w2 long, key long, d long, s int")
 
 
 def _removed(texts: DataFrame) -> DataFrame:
-    """key, digest, n_removed, kept_sha256, spans from texts with their factors (``whole`` blocks, ``single`` windows)."""
+    """key, d, n_removed, kept_sha256, spans from texts with their factors (``whole`` blocks, ``single`` windows)."""
 
     def run(batches):
         import pyarrow as pa
@@ -146,7 +146,7 @@ def _removed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 rows = []
-                for key, digest, text, whole, single in zip(*(part.column(c).to_pylist() for c in ("key", "digest", "text", "whole", "single"))):
+                for key, d, text, whole, single in zip(*(part.column(c).to_pylist() for c in ("key", "d", "text", "whole", "single"))):
                     words = Words(text)
                     edge = np.zeros(words.n + 1, np.int64)
                     for s, e in [(r["s"], r["e"]) for r in whole or []] + [(s, s) for s in single or []]:
@@ -154,24 +154,26 @@ def _removed(texts: DataFrame) -> DataFrame:
                         edge[e + WINDOW] -= 1
                     gone = np.cumsum(edge)[: words.n] > 0
                     cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    rows.append((key, digest, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])]))
+                    rows.append((key, d, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())))],
-                    names=["key", "digest", "n_removed", "kept_sha256", "spans"],
+                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())))],
+                    names=["key", "d", "n_removed", "kept_sha256", "spans"],
                 )
 
-    return texts.select("key", "digest", "text", "whole", "single").mapInArrow(run, "key long, digest string, n_removed long, kept_sha256 string, spans array<string>")
+    return texts.select("key", "d", "text", "whole", "single").mapInArrow(run, "key long, d long, n_removed long, kept_sha256 string, spans array<string>")
 
 
-def _check_digest(texts: DataFrame) -> DataFrame:
-    """Rows whose text has the digest that was asked for: one id may have several texts."""
+def _same_text(texts: DataFrame) -> DataFrame:
+    """Rows whose text is the one that was asked for by ``d``: one id may have several texts."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
             for part in slices(batch, 64):
-                same = [Words(t).digest() == d for t, d in zip(part.column("text").to_pylist(), part.column("digest").to_pylist())]
+                asked = np.array(part.column("d").to_pylist(), np.int64).view(np.uint64).tolist()
+                same = [xxhash.xxh64_intdigest(Words(t).digest().encode(), 42) == d for t, d in zip(part.column("text").to_pylist(), asked)]
                 yield part.filter(pa.array(same, pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
@@ -180,26 +182,28 @@ def _check_digest(texts: DataFrame) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans ("start:end" word offsets of what is removed); a row per row."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    parsed = stage(spark, _parsed(docs).withColumn("key", key), "parsed")
-    firsts = parsed.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("key").alias("first"))
+    parsed = stage(spark, _parsed(docs).withColumn("key", key).withColumn("d", F.xxhash64("digest")), "parsed")
+    # minima are written before they are joined: then the rows that they join can be split where a key is hot
+    firsts = stage(spark, parsed.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("key").alias("first")), "firsts")
     leading = parsed.where(F.col("n_words") >= WINDOW).join(firsts, "digest").where("key = first")
-    blocks = leading.select("key", "digest", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "digest", "x.*")
+    blocks = leading.select("key", "d", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "d", "x.*")
     shared = blocks.groupBy("a").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), (F.min("b") != F.max("b")).alias("differ")).where("lo < hi")
-    blocks = stage(spark, blocks.join(shared.select("a", "differ"), "a"), "blocks")
-    earliest = blocks.groupBy("a", "b").agg(F.min("key").alias("first"))
-    blocks = blocks.join(earliest, ["a", "b"])
+    shared = stage(spark, shared.select("a", "differ"), "shared")
+    blocks = stage(spark, blocks.join(shared, "a"), "blocks")
+    earliest = stage(spark, blocks.groupBy("a", "b").agg(F.min("key").alias("first")), "earliest")
     at = F.struct("s", "e")
-    factors = blocks.groupBy("key", "digest").agg(
+    factors = blocks.join(earliest, ["a", "b"]).groupBy("key", "d").agg(
         F.collect_list(F.when(F.col("key") > F.col("first"), at)).alias("whole"),
         F.collect_list(F.when((F.col("key") == F.col("first")) & F.col("differ"), at)).alias("asked"),
     )
     factors = factors.where("size(whole) > 0 or size(asked) > 0")
-    texts = stage(spark, _check_digest(docs.select(key.alias("key"), "text").join(factors, "key")).dropDuplicates(["key", "digest"]), "texts")
+    texts = stage(spark, _same_text(docs.select(key.alias("key"), "text").join(factors, "key")).dropDuplicates(["key", "d"]), "texts")
     windows = _windows(texts)
-    index = windows.groupBy("w1", "w2").agg(F.min("key").alias("first"))
-    found = windows.join(index, ["w1", "w2"]).where("key > first").groupBy("key", "digest").agg(F.collect_list("s").alias("single"))
-    cut = stage(spark, _removed(texts.join(found, ["key", "digest"], "left")), "removed")
-    out = parsed.select("doc_id", "key", "n_words", "digest").join(firsts, "digest", "left").join(cut, ["key", "digest"], "left")
+    index = windows.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    index = stage(spark, index, "index")
+    found = windows.join(index, ["w1", "w2"]).where("key > first").groupBy("key", "d").agg(F.collect_list("s").alias("single"))
+    cut = stage(spark, _removed(texts.join(found, ["key", "d"], "left")), "removed")
+    out = parsed.select("doc_id", "key", "n_words", "digest", "d").join(firsts, "digest", "left").join(cut, ["key", "d"], "left")
     copy = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("key") > F.col("first")), F.lit(False))
     return out.select(
         "doc_id",
