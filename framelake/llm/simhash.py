@@ -199,7 +199,8 @@ def cluster(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataF
     linked = roots.join(first, roots.node == first.fp).select("fp", "root", "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
-    every = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
+    # written first: the rows that join it can then be split where one fingerprint has very many copies
+    every = stage(spark, first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")), "components")
     out = rows.join(every, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
