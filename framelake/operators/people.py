@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from framelake.operators import vectors as V
 #: Thresholds of assignment, linking, merging and suggestion, and least qualities.
 ASSIGN, ASSIGN_LOW, LINK, MERGE, MERGE_NAMED, SUGGEST = 0.45, 0.52, 0.5, 0.6, 0.7, 0.4
 SEED_QUALITY, LEAST_QUALITY, LEAST_FACES = 0.4, 0.12, 2
+#: Clusters whose centres are compared with all earlier ones at once.
+TILE = 1024
 
 
 def person_list(faces: DataFrame) -> DataFrame:
@@ -73,14 +75,22 @@ def plan_clusters(pending: list[tuple[int, np.ndarray, float]], dormant: list[tu
     Pending faces (id, vector, quality) join the nearest admissible cluster from best to worst quality, or seed one;
     then clusters merge from the closest pair on; then changed clusters call dormant faces near their centre.
     """
+    return plan_ordered(sorted(pending, key=lambda f: -f[2]), dormant, people, rejected, dismissed)
+
+
+def plan_ordered(pending: Iterable[tuple[int, np.ndarray, float]], dormant: list[tuple[int, np.ndarray]], people: list[tuple[int, bool, np.ndarray, int]], rejected: dict[int, set[int]], dismissed: set[tuple[int, int]]) -> dict:
+    """``plan_clusters`` of faces that come from best to worst quality; their vectors are not kept, only clusters are."""
     clusters = [Cluster(c * n, float(n), p, named) for p, named, c, n in people]
-    quality = {i: q for i, _, q in pending}
-    vector = {i: v for i, v, _ in pending} | dict(dormant)
-    asleep = {i for i, _ in dormant}
+    number = {id(c): n for n, c in enumerate(clusters)}
+    centres = np.stack([c.centre for c in clusters]) if clusters else np.zeros((0, 1))  # rows beyond the clusters are spare
+    quality: dict[int, float] = {}
+    vector = dict(dormant)
+    asleep = set(vector)
     rest: list[int] = []
 
-    def admit(c: Cluster, face: int) -> None:
-        c.total = c.total + vector[face]
+    def admit(c: Cluster, face: int, v: np.ndarray) -> None:
+        c.total = c.total + v
+        centres[number[id(c)]] = c.centre
         c.count += 1
         c.faces.append(face)
         c.banned |= rejected.get(face, set())
@@ -93,19 +103,25 @@ def plan_clusters(pending: list[tuple[int, np.ndarray, float]], dormant: list[tu
         near = sorted(((float(vector[i] @ anchor), -i) for i in asleep if allowed(c, i)), reverse=True)[:most]
         for sim, i in near:
             if sim >= least:
-                admit(c, -i)
+                admit(c, -i, vector[-i])
 
-    for face, v, q in sorted(pending, key=lambda f: -f[2]):
+    for face, v, q in pending:
+        quality[face] = q
         if q < LEAST_QUALITY:
             rest.append(face)
             continue
-        open_ = [(float(c.centre @ v), -n) for n, c in enumerate(clusters) if allowed(c, face)]
-        sim, n = max(open_, default=(-1.0, 0))
-        if open_ and sim >= (ASSIGN if q >= SEED_QUALITY else ASSIGN_LOW):
-            admit(clusters[-n], face)
+        near = centres[: len(clusters)] @ v if clusters else np.zeros(0)
+        if face in rejected:
+            near[[n for n, c in enumerate(clusters) if not allowed(c, face)]] = -np.inf
+        n = int(np.argmax(near)) if len(near) else 0
+        if len(near) and near[n] >= (ASSIGN if q >= SEED_QUALITY else ASSIGN_LOW):
+            admit(clusters[n], face, v)
         elif q >= SEED_QUALITY:
             clusters.append(fresh := Cluster(np.zeros_like(v), 0.0))
-            admit(fresh, face)
+            number[id(fresh)] = len(clusters) - 1
+            if len(clusters) > len(centres):
+                centres = np.concatenate([centres.reshape(-1, len(v)), np.zeros((len(centres) + 64, len(v)))])
+            admit(fresh, face, v)
             call(fresh, 20, LINK, v)
         else:
             rest.append(face)
@@ -117,10 +133,14 @@ def plan_clusters(pending: list[tuple[int, np.ndarray, float]], dormant: list[tu
             i = root[i]
         return i
 
-    centres = np.stack([c.centre for c in clusters]) if clusters else np.zeros((0, 1))
-    sims = centres @ centres.T
-    changed = [bool(c.faces) for c in clusters]
-    candidates = sorted(((-float(sims[i, j]), i, j) for i in range(len(clusters)) for j in range(i) if (changed[i] or changed[j]) and sims[i, j] >= MERGE))
+    changed = np.array([bool(c.faces) for c in clusters], bool)
+    candidates = []
+    for at in range(0, len(clusters), TILE):
+        end = min(len(clusters), at + TILE)
+        sims = centres[at:end] @ centres[:end].T
+        i, j = np.nonzero(np.tril(sims >= MERGE, at - 1) & (changed[at:end, None] | changed[None, :end]))
+        candidates += zip((-sims[i, j]).tolist(), (i + at).tolist(), j.tolist())
+    candidates.sort()
     merges = []
     for _, i, j in candidates:
         i, j = sorted((find(i), find(j)))
@@ -153,25 +173,34 @@ def plan_clusters(pending: list[tuple[int, np.ndarray, float]], dormant: list[tu
     return out
 
 
-def cluster_plan(faces: DataFrame, block: str) -> DataFrame:
-    """(block, face_id, action, target): the plan of each block of faces. The order of steps matters within a block, so a
-    block is one group; blocks (libraries, folders) must be bounded by the caller."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("face_id")
-        known = pdf[pdf.person_id.notna()]
-        people = []
-        for p, g in known.groupby("person_id"):
-            total = np.stack(g.embedding.to_numpy()).astype(float).sum(axis=0)
-            people.append((int(p), False, total / (np.linalg.norm(total) or 1.0), len(g)))
-        free = pdf[pdf.person_id.isna()]
-        pending = [(int(r.face_id), np.asarray(r.embedding, float), float(r.quality)) for r in free.itertuples()]
-        plan = plan_clusters(pending, [], people, {}, set())
-        rows = [(f, "assign", p) for f, p in plan["assign"]] + [(f, "create", min(c)) for c in plan["create"] for f in c] + [(f, "dormant", -1) for f in plan["dormant"]]
-        return pd.DataFrame([(pdf[block].iloc[0], *r) for r in rows], columns=[block, "face_id", "action", "target"])
+def cluster_plan(spark: SparkSession, faces: DataFrame) -> DataFrame:
+    """(face_id, action, target): the plan of all faces as one ordered block.
+
+    The order of steps matters, so one task reads the unassigned faces of sufficient quality, sorted by Spark (equal
+    quality: smaller id first), and holds the clusters and the ids; people come as centroids.
+    """
+    known = sorted((int(r.person_id), False, np.array(r.centroid, float), int(r.n)) for r in person_centroids(faces).select("person_id", "centroid", "n").collect())
+    shared = spark.sparkContext.broadcast(known)  # a row a person
+
+    def run(batches):
+        import pyarrow as pa
 
-    kind = dict(faces.dtypes)[block]
-    return faces.groupBy(block).applyInPandas(run, f"{block} {kind}, face_id long, action string, target long")
+        def stream():
+            for batch in batches:
+                for face, v, q in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    yield face, np.asarray(v, float), q
+
+        plan = plan_ordered(stream(), [], shared.value, {}, set())
+        rows = [(f, "assign", p) for f, p in plan["assign"]] + [(f, "create", min(c)) for c in plan["create"] for f in c] + [(f, "dormant", -1) for f in plan["dormant"]]
+        for at in range(0, len(rows), 10_000):
+            part = rows[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["face_id", "action", "target"])
+
+    free = faces.where("person_id is null").select(F.col("face_id").cast("long").alias("face_id"), "embedding", F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("quality"))
+    poor = F.col("quality") < LEAST_QUALITY
+    ordered = free.where(~poor).repartition(1).sortWithinPartitions(F.desc("quality"), "face_id")
+    planned = ordered.mapInArrow(run, "face_id long, action string, target long")
+    return planned.unionByName(free.where(poor).select("face_id", F.lit("dormant").alias("action"), F.lit(-1).cast("long").alias("target")))
 
 
 def apply_plan(faces: DataFrame, plan: DataFrame) -> DataFrame:

@@ -356,8 +356,7 @@ def merge_suggestions(spark, sf_dir):
 
 @query()
 def cluster_plan(spark, sf_dir):
-    faces = E.faces(spark, sf_dir).withColumn("block", F.pmod("face_id", F.lit(8)).cast("long"))
-    return people.cluster_plan(faces, "block")
+    return people.cluster_plan(spark, E.faces(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- queue

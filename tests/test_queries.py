@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 import framelake.queries as Q
@@ -53,3 +54,30 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cluster_plan_is_of_the_whole_table(spark):
+    from framelake.operators import people
+    from framelake.plans import entities as E
+
+    faces = sorted(E.faces(spark, SF).collect(), key=lambda r: r.face_id)
+    known = {}
+    for r in faces:
+        if r.person_id is not None:
+            known.setdefault(r.person_id, []).append(np.array(r.embedding, float))
+    centre = {p: np.sum(v, axis=0) / np.linalg.norm(np.sum(v, axis=0)) for p, v in known.items()}
+    pending = [(r.face_id, np.array(r.embedding, float), r.quality) for r in faces if r.person_id is None]
+    plan = people.plan_clusters(pending, [], [(p, False, centre[p], len(known[p])) for p in sorted(known)], {}, set())
+    want = [(f, "assign", p) for f, p in plan["assign"]] + [(f, "create", min(c)) for c in plan["create"] for f in c] + [(f, "dormant", -1) for f in plan["dormant"]]
+    got = [(r.face_id, r.action, r.target) for r in Q.QUERIES["cluster_plan"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(pending)
+
+
+def test_faces_of_one_person_meet_whatever_their_numbers(spark):
+    from framelake.operators import people
+
+    v = [[float(i == k) for i in range(8)] for k in range(8)]
+    rows = [(n, 0.9, None, v[k]) for k in range(3) for n in (k, k + 11)] + [(50, 0.9, None, v[7]), (51, 0.05, None, v[0])]
+    faces = spark.createDataFrame(rows, "face_id long, quality double, person_id long, embedding array<double>").repartition(4)
+    got = {(r.face_id, r.action, r.target) for r in people.cluster_plan(spark, faces).collect()}
+    assert got == {(n, "create", k) for k in range(3) for n in (k, k + 11)} | {(50, "dormant", -1), (51, "dormant", -1)}
