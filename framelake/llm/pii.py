@@ -250,8 +250,14 @@ class Field:
 
 
 def triggers(text: str) -> list[re.Match]:
-    """What no entity of any kind can do without, in order; the rarer patterns run only where their words occur."""
+    """What no entity of any kind can do without, in order; the rarer patterns run only where their words occur.
+
+    Spaced addresses may have short numbers only, and access keys neither digits nor a word before them.
+    """
     found = list(NUMBER_OR_AT.finditer(text))
+    found += DOTTED.finditer(text)
+    if "AKIA" in text or "ASIA" in text:
+        found += KEY_LIKE.finditer(text)
     low = text.lower()
     if "at)" in low or "at]" in low:
         found += SPELLED_AT.finditer(text)
@@ -272,7 +278,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> list[Region]:
             continue
         s, e = max(0, m.start() - 48), min(len(text), m.end() + 64)
         if stretches and s <= stretches[-1][1]:
-            stretches[-1][1] = e
+            stretches[-1][1] = max(stretches[-1][1], e)
         else:
             stretches.append([s, e])
     out = []

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -104,6 +105,19 @@ def test_the_field_adds_what_patterns_miss():
         assert pii.find(field, clean)[1] == []
 
 
+def test_every_trained_form_is_found_alone_in_prose():
+    r, field, wrong = random.Random(3), pii.train(), collections.Counter()
+    for _ in range(1500):
+        kind, cue, form = pii._entity(r)
+        text = f"ti erlo an {cue}{form}" + ('"' if cue.endswith('"') else "") + " quear os"
+        s = text.index(form, len("ti erlo an " + cue))
+        base, every = pii.find(field, text)
+        covered = any(a < s + len(form) and s < b for a, b, _ in base) or any(x.atoms[0][0] <= s and s + len(form) <= x.atoms[-1][1] for x in pii.regions(text, base))
+        assert covered, text
+        wrong["key" if form.startswith("AKIA") else kind] += (s, s + len(form), kind) not in every
+    assert not wrong["key"] and sum(wrong.values()) <= 0.03 * 1500
+
+
 def test_the_field_generalises():
     field, wrong = pii.train(), 0
     made = pii.sentences(120, 77)
