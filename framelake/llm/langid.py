@@ -2,7 +2,8 @@
 
 Texts become L2-normalised TF-IDF vectors of letter 2- and 3-grams (hashed to DIM buckets). Each language has
 several spherical k-means centroids; a text gets the language of the centroid with the largest cosine, and is
-rejected when that cosine is below a share of what the language's own training texts reach.
+rejected when that cosine is below a share of what the language's own training texts reach. Short texts reach less, so
+training texts are also cut to lengths, and a text of fewer than SHORT n-grams is held against cuts of about its length.
 
 Training reads at most PER_LANGUAGE documents of each language, in hash order of their ids; the corpus is
 scored whole. Edge cases: null text or a text without any letter gives ``und``, score 0 and rejected; ties go
@@ -11,7 +12,9 @@ to the first language by name; with nothing to learn from every row is ``und``;
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +27,10 @@ DIM_BITS = 13
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 400
 CENTROIDS = 4
-#: Fewer n-grams than this say too little about distance to reject a text.
-LEAST_GRAMS = 400
+#: Texts of fewer n-grams than this are held against cuts whose n-gram count has as many binary digits, others against
+#: whole texts.
+SHORT = 400
+BINS = SHORT.bit_length()
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -44,13 +49,34 @@ def gram_counts(text: str) -> np.ndarray:
     return out
 
 
+def cuts(text: str) -> list[bytes]:
+    """A run of words for each number of binary digits up to BINS that the text's n-gram count exceeds: sparse counts.
+
+    Places and lengths depend on the text alone. Each cut is an array of buckets, then of their counts.
+    """
+    words = text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split()
+    ends = np.cumsum([0] + [len(w) + 1 for w in words])
+    rng, out = random.Random(zlib.crc32(text.encode("utf-8", "replace"))), []
+    for digits in range(1, BINS + 1):
+        want = 2 ** (digits - 1 + rng.random()) / 2  # a byte more makes a 2-gram and a 3-gram more
+        last = int(np.searchsorted(ends, ends[-1] - want, side="right")) - 1
+        if last < 0:
+            break
+        first = rng.randint(0, last)
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + want, side="right")) - 1)
+        counts = gram_counts(b" ".join(words[first:end]).decode("utf-8", "replace"))
+        at = np.flatnonzero(counts)
+        out.append(np.concatenate([at, counts[at]]).astype(np.uint16).tobytes())
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # rows are unit vectors
     owner: np.ndarray  # index of the language of each centroid
-    least: np.ndarray  # least accepted cosine by language
+    least: np.ndarray  # least accepted cosine by language and binary digits of the n-gram count, BINS + 1 for whole texts
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -65,8 +91,9 @@ class Model:
         cosines = self.centroids @ self.vector(counts)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        far = int(counts.sum()) >= LEAST_GRAMS and score < self.least[self.owner[best]]
-        return self.languages[self.owner[best]], score, far
+        n = int(counts.sum())
+        far = score < self.least[self.owner[best], n.bit_length() if n < SHORT else BINS + 1]
+        return self.languages[self.owner[best]], score, bool(far)
 
 
 def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -103,20 +130,22 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE
                     if text and LETTER.search(text):
                         counts = gram_counts(text)
                         at = np.flatnonzero(counts)
-                        rows.append((lang, at.astype(np.int32), counts[at].astype(np.int32)))
+                        rows.append((lang, at.astype(np.int32), counts[at].astype(np.int32), cuts(text)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
-                    names=["lang", "at", "n"],
+                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
+                    names=["lang", "at", "n", "cuts"],
                 )
 
-    sampled = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").mapInArrow(run, "lang string, at array<int>, n array<int>")
-    rows = sorted(((r.lang, list(r.at), list(r.n)) for r in sampled.collect()))  # at most per_language rows a language
-    return fit(rows, k, share)
+    sampled = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").mapInArrow(run, "lang string, at array<int>, n array<int>, cuts array<binary>")
+    found = sampled.collect()  # at most per_language rows a language
+    rows = sorted((r.lang, list(r.at), list(r.n)) for r in found)
+    return fit(rows, k, share, [(r.lang, np.frombuffer(c, np.uint16)) for r in found for c in r.cuts])
 
 
-def fit(rows: list[tuple[str, list[int], list[int]]], k: int = CENTROIDS, share: float = 0.5) -> Model:
+def fit(rows: list[tuple[str, list[int], list[int]]], k: int = CENTROIDS, share: float = 0.5, short: list[tuple[str, np.ndarray]] = ()) -> Model:
+    """``short`` are the languages and sparse counts of cuts; without any, all lengths are held against whole texts."""
     if not rows:
-        return Model([], np.zeros(DIM), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.zeros(DIM), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros((0, BINS + 2)))
     counts = np.zeros((len(rows), DIM), np.float32)
     for i, (_, at, n) in enumerate(rows):
         counts[i, at] = n
@@ -128,8 +157,19 @@ def fit(rows: list[tuple[str, list[int], list[int]]], k: int = CENTROIDS, share:
     parts = [clusters(vectors[member == i], k) for i in range(len(languages))]
     owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
     own = [(vectors[member == i] @ parts[i].T).max(axis=1) for i in range(len(languages))]
-    least = np.array([share * np.quantile(c, 0.01) for c in own])
-    return Model(languages, idf, np.concatenate(parts), owner, least)
+    least = np.array([[share * np.quantile(c, 0.01)] * (BINS + 2) for c in own])
+    model = Model(languages, idf, np.concatenate(parts), owner, least)
+    reached: dict[tuple[int, int], list[float]] = {}
+    for lang, packed in short:
+        i, (at, n) = languages.index(lang), packed.reshape(2, -1).astype(np.int64)
+        if n.sum() < SHORT:
+            dense = np.zeros(DIM, np.int64)
+            dense[at] = n
+            reached.setdefault((i, int(n.sum()).bit_length()), []).append(float((parts[i] @ model.vector(dense)).max()))
+    for (i, digits), c in reached.items():
+        least[i, digits] = share * np.quantile(c, 0.01)
+    least[:] = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]  # a shorter text needs no more than a longer one
+    return model
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

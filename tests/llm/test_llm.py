@@ -513,6 +513,14 @@ def test_language_id(spark):
     assert langid.predict(spark, empty(spark), model).count() == 0
 
 
+def test_short_texts_far_from_every_language_are_rejected(spark):
+    model = langid.train(spark, table(spark, languages()))
+    assert model.predict("zqwv " * 40)[2] and model.predict("我们今天去图书馆看书然后回家吃饭" * 2)[2]
+    for i, made in enumerate((["abra", "kada", "bar", "kabra", "dabra"], ["öln", "mün", "ßtün", "ölmün", "nün"], ["ixt", "ixtli", "tliq", "qixt", "litq"])):
+        for n in (2, 3, 5, 9, 20):
+            assert not any(model.predict(prose(n, 1000 + 100 * i + s, made))[2] for s in range(60))
+
+
 def test_nearest_centroid_is_brute_force():
     model = langid.fit([(l, *_sparse(t)) for _, t, l, _ in languages()])
     for _, t, _, _ in languages()[:20]:
