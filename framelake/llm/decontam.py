@@ -5,8 +5,9 @@ turn). Passages overlap, so that a run of words as long as the longest item lies
 retrieves every item whose BM25 score reaches the item's floor: the least score that a passage holding the
 share CONTAINED of the item's shingles can have, so retrieval loses no verified match. A group of passages is
 queried first as a whole; as scores only grow with more words, groups without a hit need no finer queries.
-Retrieved pairs are verified exactly: the share of the item's word shingles in the passage, and the shares of
-the words of its question (all but its last sentence) and of its answer (its last sentence).
+Retrieved pairs are verified exactly: the passage holds the share CONTAINED of the item's word shingles. The shares
+of the words of its question (all but its last sentence) and of its answer (its last sentence) are reported; they
+decide nothing, as a copy may lack the last sentence, which is often a fragment.
 
 Edge cases: null and empty texts match nothing, nor do items without words; an item of fewer than SHINGLE words
 is one shingle; repeated rows each give their matches, repeated items count once (the smallest item_id of a text
@@ -127,7 +128,7 @@ def matches(index: Index, words: list[bytes]) -> list[tuple]:
                 else:
                     part = len(item.shingles & have)
                 row = (part / len(item.shingles), len(item.question & here) / len(item.question), len(item.answer & here) / len(item.answer))
-                if min(row) >= CONTAINED and (i not in best or (row[0], score) > (best[i][2], best[i][1])):
+                if row[0] >= CONTAINED and (i not in best or (row[0], score) > (best[i][2], best[i][1])):
                     best[i] = (start, score, *row)
     return [(index.items[i].item_id, start, score, c, q, a) for i, (start, score, c, q, a) in sorted(best.items())]
 

@@ -432,6 +432,20 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.search(spark, table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_copies_without_the_last_sentence_match(spark):
+    items = [(j, prose(30 + j, 300 + j) + ". " + prose(3, 400 + j) + ".") for j in range(12)]
+    rows = [(j, prose(50, j) + "\n" + t.split(". ")[0], "en", "a") for j, t in items]
+    for j, t in items:  # the last word of all changed, and the word before the last sentence
+        w = t.split()
+        rows += [(100 + j, " ".join(w[:-1] + ["other"]), "en", "a"), (200 + j, " ".join(w[:-4] + ["other"] + w[-3:]), "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.search(spark, table(spark, rows), bench).collect()}
+    want = brute_matches([(i, t) for i, t, _, _ in rows], items)
+    assert {(j, j) for j, _ in items} | {(100 + j, j) for j, _ in items} <= want and got == want
+    kept = {x.doc_id for x in decontam.keep_clean(spark, table(spark, rows), bench).collect()}
+    assert kept == {i for i, *_ in rows} - {i for i, _ in want}
+
+
 def _search(spark, docs, bench, shard):
     old, decontam.SHARD = decontam.SHARD, shard
     plain = decontam.indexes
