@@ -52,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long); one row per input row."""
+    """doc_id, fp (the 64 bits as a signed long), h (hash of the text); one row per input row."""
 
     def run(batches):
         import pyarrow as pa
@@ -60,9 +60,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 fp = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64()), part.column("h")], names=["doc_id", "fp", "h"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def band_masks(radius: int, n: int, most: int = 256) -> list[int]:
@@ -191,25 +191,36 @@ def near_links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -
     return _compare(cold.unionByName(tiled), radius)
 
 
-def cluster(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id; one row per input row."""
+def _grouped(spark: SparkSession, docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, h, root (a component's smallest fingerprint), component_id (its smallest id); one row per input row."""
     rows = stage(spark, fingerprints(docs), "fingerprints")
     first = stage(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     roots = stage(spark, components(spark, near_links(spark, first.select("fp"), radius)), "roots")
     linked = roots.join(first, roots.node == first.fp).select("fp", "root", "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
     # written first: the rows that join it can then be split where one fingerprint has very many copies
-    every = stage(spark, first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")), "components")
-    out = rows.join(every, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    every = stage(spark, first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "doc").alias("component_id")), "components")
+    return rows.join(every, "fp")
+
+
+def cluster(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint, component_id; one row per input row."""
+    return _grouped(spark, docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with all their columns, one for each component: that of its smallest id.
 
-    Of repeated rows with one id one stays. Rows with a null id can't be named as copies and all stay.
+    Rows that share an id but not a text are separate documents: each component keeps its own, of several texts with its
+    smallest id that of the smallest hash. Of repeated rows one stays. Rows with a null id can't be named as copies and
+    all stay.
     """
-    keep = cluster(spark, docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
-    out = docs.join(keep, docs["doc_id"].cast("long") == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    name = "_h"
+    while name in docs.columns:
+        name += "_"
+    keep = _grouped(spark, docs, radius).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    keep = keep.select(F.col("k.doc_id").alias("kept"), F.col("k.h").alias("kept_h"))
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    out = rows.join(keep, (rows["doc_id"].cast("long") == keep["kept"]) & (rows[name] == keep["kept_h"]), "left_semi").dropDuplicates(["doc_id", name])
+    return out.drop(name).unionByName(docs.where("doc_id is null"))

@@ -205,6 +205,16 @@ def test_simhash_against_brute_force(spark):
     assert simhash.cluster(spark, empty(spark)).count() == 0
 
 
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    rows = [(1 + i % 3, prose(80, 700 + i), "en", "a") for i in range(12)]  # four texts an id
+    rows += [(9, rows[0][1], "en", "a"), rows[1], (0, rows[5][1], "en", "a")]  # copies with larger, equal and smaller ids
+    want = sorted((i, t) for i, t, _, _ in rows[:5] + rows[6:12] + rows[14:])
+    for parts in (1, 5):
+        kept = simhash.keep_one(spark, table(spark, rows).repartition(parts))
+        assert kept.columns == table(spark, rows).columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_hot_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     monkeypatch.setattr(simhash, "HOT", 16)
