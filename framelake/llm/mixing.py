@@ -151,8 +151,8 @@ def _level(units: DataFrame) -> DataFrame:
     return units.groupBy("s", "m", "chunk").applyInArrow(run, "s string, m long, " + UNIT)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, name: str = "size") -> DataFrame:
+    return docs.withColumn(name, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -209,12 +209,15 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it.
 
-    A further column ``copy`` (with underscores if ``docs`` has that name) counts a row's turns from 1. Rows that share an
-    id are taken alike, as often as the most taken of them.
+    A further column ``copy`` (with underscores if ``docs`` has that name) counts a row's turns from 1. ``mix`` decides by
+    source, id and size, so rows that share all three are taken alike, and a shared or null id joins no other rows.
     """
-    name = "copy"
+    name, size = "copy", "_size"
     while name in docs.columns:
         name += "_"
-    chosen = mix(spark, docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    out = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"])).alias(name))
+    while size in docs.columns:
+        size += "_"
+    chosen = mix(spark, docs).where("copies > 0").select("source", "doc_id", "size", F.col("copies").cast("int").alias("copies")).distinct()
+    rows = sized(docs, size)
+    same = rows["source"].eqNullSafe(chosen["source"]) & rows["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (rows[size] == chosen["size"])
+    return rows.join(chosen, same).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"])).alias(name))

@@ -402,6 +402,16 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(spark, empty(spark)).count() == 0
 
 
+def test_the_mixed_corpus_takes_what_the_mix_decides(spark):
+    rows = [(None if i % 3 else i // 9, prose(1 + (i * 37) % 180, i), "en", ["hot", "b", "c", None][min(3, i % 9)]) for i in range(600)]
+    docs = table(spark, rows)
+    want = {r.source: r.n for r in mixing.mix(spark, docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = collections.Counter()
+    for r in mixing.apply(spark, docs).select("source", "text").collect():
+        got[r.source] += len(WORDS.findall(r.text))
+    assert got == want
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 
