@@ -1,10 +1,10 @@
 """License scans with DataFrame functions only.
 
-Texts are lower-cased word shingles (SHINGLE words, hashed). Templates fall into size classes (powers of two);
-for a class c, texts are cut into windows of 2c shingles that overlap by c, so a whole occurrence lies in one
-window, where its Jaccard similarity to the template is 0.36 at least. MinHash signatures with BANDS bands of one
-row retrieve templates: the probability that an occurrence collides is at least 1 - 0.64 ** 32 > 0.999999.
-Candidates are verified by exact containment of the template's shingles in the text.
+Texts are lower-cased word shingles (SHINGLE words, hashed). Templates fall into classes by their number of shingles c;
+texts are cut into windows of 2c shingles that overlap by c, so an occurrence over c places lies in one window. There its
+Jaccard similarity to the template is 1 / 2 at least if it is whole, 0.8 / 2.2 > 0.36 if it holds the accepted share
+CONTAINED. MinHash signatures with BANDS bands of one row retrieve templates: the probability that an occurrence collides
+is at least 1 - 0.64 ** 32 > 0.999999. Shingles that are scattered over more places have no such bound. Candidates are verified by exact containment of the template's shingles in the text.
 
 A one-row band collides only on a shingle of the template itself, so texts that hold no template shingle are
 left out before windows are made; that changes no result.
@@ -60,11 +60,11 @@ def _shingles(df: DataFrame, text: str) -> DataFrame:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, t (distinct shingles), n, cls (least power of two that n doesn't exceed)."""
+    """license, t (distinct shingles), n, cls (n: windows are twice as long as the template)."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted(templates.items()))))
     out = _shingles(spark.range(1).select(rows.alias("r")).select("r.*"), "body")
     out = out.withColumn("t", F.array_distinct("sh")).withColumn("n", F.size("t")).where("n > 0")
-    return out.select("license", "t", "n", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int").alias("cls"))
+    return out.select("license", "t", "n", F.col("n").alias("cls"))
 
 
 def _signature(shingles: Column) -> list[Column]:

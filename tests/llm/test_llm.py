@@ -249,6 +249,12 @@ def test_components_of_chains(spark):
 # ---------------------------------------------------------------- 3 licenses
 
 
+def test_accepted_occurrences_have_the_stated_similarity(spark):
+    for r in licenses.template_table(spark, licenses.TEMPLATES).collect():
+        held = licenses.CONTAINED * r.n
+        assert r.cls >= r.n and held / (2 * r.cls + r.n - held) >= 0.36, r.license
+
+
 def test_licenses_against_brute_force(spark):
     import duckdb
 
