@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the lower-cased words of a text and their first PREFIX letters; those whose presence in the examples
-depends on the label are indexed. At most PER_LABEL examples of each
-label (outside fold 0, in hash order of their ids) form a block-max inverted index that is broadcast; every
-document of the corpus is a query for its K nearest examples. Their votes, weighted by cosine, give a raw
-score; a logistic curve fitted on leave-one-out votes of the examples calibrates it. The nearest examples are
-the evidence.
-
-Edge cases: null and empty texts, and texts that share no term with any example, get the calibrated score of a
+Terms are the lower-cased words of a text and their first PREFIX letters. At most PER_LABEL examples of each label
+(outside fold 0, in hash order of their ids, one for each distinct text) are learnt from. Their cosine is taken over
+the terms whose presence depends on the label (chi-square); a text's length is that of all its terms, those that no
+example has included, so a text with little of what is indexed is far from every example. The examples form a block-max
+inverted index that is broadcast; every document of the corpus is a query for its K nearest. Their votes, weighted by
+squared cosine, give a raw score, which a logistic curve calibrates. The nearest examples are the evidence.
+
+The chi-square bound, K and the weight of doubt are chosen, and the curve is fitted, on votes that each learning fold gets from the others:
+vocabulary, weights and neighbours come from those other folds. Rows of fold 0 decide nothing.
+
+Edge cases: null and empty texts, and texts that share no indexed term with any example, get the calibrated score of a
 vote without evidence; ties go to the example that was indexed first (by label, then id); an empty table gives
-an empty result; without both labels to learn from every score is the share of the label seen, 0 if none.
+an empty result; without both labels to learn from every score is the share of the label seen, 0 if none; of several
+texts with one id, that of the smallest hash is learnt from; an id with both labels counts as toxic.
 """
 
 from __future__ import annotations
@@ -23,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.blockmax import BlockMaxIndex
-from framelake.llm.common import held_out, sample_ids, slices, tokens
+from framelake.llm.common import held_out, slices, tokens
 
 PER_LABEL = 1500
-K = 15
 PREFIX = 5
 BLOCK = 50
-#: Least chi-square of an indexed term: far beyond what chance gives, copies among the examples included.
-CHI = 30.0
+#: What is chosen among: least chi-square of an indexed term, number of neighbours, weight of a vote against.
+BOUNDS = (15.0, 30.0, 60.0)
+NEIGHBOURS = (15, 51)
+DOUBTS = (0.01, 0.1)
+#: An example: label, id, term counts.
+Example = tuple[int, int, Counter]
 
 
 def term_counts(text: str | None) -> Counter:
@@ -45,27 +52,30 @@ def term_counts(text: str | None) -> Counter:
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    vocabulary: dict[bytes, int]  # indexed terms
+    idf: dict[bytes, float]  # of all terms of the examples
+    unseen: float  # idf of all other terms
     index: BlockMaxIndex | None
     ids: np.ndarray
     labels: np.ndarray
+    k: int = NEIGHBOURS[0]
+    doubt: float = DOUBTS[0]
     slope: float = 4.0
     offset: float = 0.0
     default: float = 0.0
 
     def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector; terms that no example has count in its length."""
-        known = [(i, n) for i, n in ((self.vocabulary.get(t), n) for t, n in counts.items()) if i is not None]
-        if not known:
-            return np.zeros(0, int), np.zeros(0)
-        at = np.array([i for i, _ in known])
-        w = (1 + np.log([n for _, n in known])) * self.idf[at]
-        return at, w / (np.linalg.norm(w) or 1.0)
+        """The indexed part of a text's TF-IDF vector, whose length over all terms is 1."""
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * np.fromiter((self.idf.get(t, self.unseen) for t in counts), float, len(counts))
+        length = np.sqrt(w @ w) or 1.0
+        at = np.fromiter((self.vocabulary.get(t, -1) for t in counts), np.int64, len(counts))
+        known = at >= 0
+        return at[known], w[known] / length
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Cosine-weighted share of toxic among the neighbours, shrunk to 0 where there is little evidence."""
-        return float((cosine**2 * self.labels[near]).sum() / ((cosine**2).sum() + 1e-4))
+        """Share of toxic among the neighbours, weighted by squared cosine; less where all neighbours are far."""
+        weight = cosine**2
+        return float((weight * self.labels[near]).sum() / (weight.sum() + self.doubt))
 
     def calibrated(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.offset))))
@@ -73,55 +83,74 @@ class Model:
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         if self.index is None:
             return self.default, [], []
-        near, cosine = self.index.top(*self.query(term_counts(text)), K)
+        near, cosine = self.index.top(*self.query(term_counts(text)), self.k)
         return self.calibrated(self.vote(near, cosine)), self.ids[near[:3]].tolist(), cosine[:3].tolist()
 
 
-def telling(examples: list[tuple[int, int, Counter]]) -> list[bytes]:
-    """Terms whose presence depends on the label: chi-square with one degree of freedom of at least CHI."""
-    examples = list({(e[0], frozenset(e[2])): e for e in examples}.values())  # copies say nothing more
-    df = Counter(t for e in examples for t in e[2])
+def chi_squares(examples: list[Example], df: Counter) -> dict[bytes, float]:
+    """By term, how far its presence depends on the label: chi-square with continuity correction."""
     n, n_toxic = len(examples), sum(e[0] for e in examples)
     toxic = Counter(t for e in examples if e[0] for t in e[2])
-    out = []
+    out = {}
     for t, d in df.items():
-        a = toxic[t]
-        off = a * (n - n_toxic) - (d - a) * n_toxic
-        if d > 2 and d < n and n * off * off >= CHI * d * (n - d) * n_toxic * (n - n_toxic):
-            out.append(t)
+        if 2 < d < n:
+            off = max(0.0, abs(toxic[t] * (n - n_toxic) - (d - toxic[t]) * n_toxic) - n / 2)
+            out[t] = n * off * off / (d * (n - d) * n_toxic * (n - n_toxic))
     return out
 
 
-def fit(examples: list[tuple[int, int, Counter]], share: float | None = None) -> Model:
-    """examples: label, id and term counts; share: of toxic among all that is labelled (None: as in the examples)."""
-    examples = sorted(examples, key=lambda e: (e[0], e[1]))
+def indexed(examples: list[Example], bounds: tuple[float, ...]) -> list[Model]:
+    """A model without calibration for each of the chi-square bounds."""
+    labels, ids = np.array([e[0] for e in examples], float), np.array([e[1] for e in examples], np.int64)
+    df = Counter(t for e in examples for t in e[2])
+    idf = {t: float(np.log((1 + len(examples)) / (1 + d))) for t, d in df.items()}
+    chi, out = chi_squares(examples, df), []
+    for bound in bounds:
+        vocabulary = {t: i for i, t in enumerate(sorted(t for t, x in chi.items() if x >= bound))}
+        model = Model(vocabulary, idf, float(np.log(1 + len(examples))), None, ids, labels)
+        queries = [model.query(e[2]) for e in examples]
+        entry = np.concatenate([np.full(len(at), i) for i, (at, _) in enumerate(queries)])
+        term, weight = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
+        has = weight > 0
+        model.index = BlockMaxIndex(entry[has], term[has], weight[has], len(examples), max(1, len(vocabulary)), BLOCK)
+        out.append(model)
+    return out
+
+
+def fit(examples: list[Example], share: float | None = None, folds: list[int] | None = None, bounds: tuple[float, ...] = BOUNDS, neighbours: tuple[int, ...] = NEIGHBOURS, doubts: tuple[float, ...] = DOUBTS) -> Model:
+    """share: of toxic among all that is labelled (None: as in the examples); folds: those of the ids by default.
+
+    With each setting every example gets the vote of the folds that it isn't in. The setting whose calibrated votes have
+    the least log-loss is taken, with its curve, and all examples are indexed.
+    """
+    order = sorted(range(len(examples)), key=lambda i: (examples[i][0], examples[i][1]))
+    fold = np.array([zlib.crc32(str(examples[i][1]).encode()) % 5 if folds is None else folds[i] for i in order])
+    examples = [examples[i] for i in order]
     labels = np.array([e[0] for e in examples], float)
-    ids = np.array([e[1] for e in examples], np.int64)
     if len(set(labels.tolist())) < 2:
-        return Model({}, np.zeros(0), None, ids, labels, default=float(labels.mean()) if len(labels) else 0.0)
-    df = Counter(t for e in examples for t in e[2])
-    vocabulary = {t: i for i, t in enumerate(sorted(telling(examples)))}
-    idf = np.zeros(max(1, len(vocabulary)))
-    for t, i in vocabulary.items():
-        idf[i] = np.log((1 + len(examples)) / (1 + df[t]))
-    model = Model(vocabulary, idf**2, None, ids, labels)
-    queries = [model.query(e[2]) for e in examples]
-    entry = np.concatenate([np.full(len(at), i) for i, (at, _) in enumerate(queries)])
-    term, weight = np.concatenate([q[0] for q in queries]).astype(np.int64), np.concatenate([q[1] for q in queries])
-    has = weight > 0
-    model.index = BlockMaxIndex(entry[has], term[has], weight[has], len(examples), max(1, len(vocabulary)), BLOCK)
-    # calibration: each example is scored by the others, copies of it left out
-    votes = np.zeros(len(examples))
-    for i, q in enumerate(queries):
-        near, cosine = model.index.top(*q, K + 3)
-        other = (near != i) & (cosine < 1 - 1e-9)
-        votes[i] = model.vote(near[other][:K], cosine[other][:K])
-    model.slope, model.offset = logistic(votes, labels, labels.mean() if share is None else share)
+        return Model({}, {}, 0.0, None, np.zeros(0, np.int64), labels, default=float(labels.mean()) if len(labels) else 0.0)
+    share = labels.mean() if share is None else share
+    settings = [(b, k, d) for b in bounds for k in neighbours for d in doubts]
+    votes = {s: np.zeros(len(examples)) for s in settings}
+    for f in sorted(set(fold.tolist())):
+        others = [e for e, g in zip(examples, fold) if g != f]
+        if len({e[0] for e in others}) < 2:
+            continue  # nothing to learn from: votes without evidence
+        for bound, model in zip(bounds, indexed(others, bounds)):
+            for i in np.flatnonzero(fold == f):
+                near, cosine = model.index.top(*model.query(examples[i][2]), max(neighbours))
+                for k in neighbours:
+                    for model.doubt in doubts:
+                        votes[bound, k, model.doubt][i] = model.vote(near[:k], cosine[:k])
+    curves = {s: logistic(votes[s], labels, share) for s in settings}
+    best = min(settings, key=lambda s: (round(curves[s][2], 9), -s[0], s[1:]))
+    model = indexed(examples, best[:1])[0]
+    (_, model.k, model.doubt), (model.slope, model.offset, _) = best, curves[best]
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:
-    """Newton's method for one slope and offset, lightly regularised; the classes weigh as in all that is labelled."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float, float]:
+    """Slope, offset (Newton's method, lightly regularised) and mean log-loss; the classes weigh as in all that is labelled."""
     weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum())) * len(y)
     a = np.stack([x, np.ones_like(x)], axis=1)
     beta = np.zeros(2)
@@ -133,15 +162,19 @@ def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tu
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    p = np.clip(1 / (1 + np.exp(-np.clip(a @ beta, -30, 30))), 1e-12, 1 - 1e-12)
+    loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+    return float(beta[0]), float(beta[1]), float(loss)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Reads at most ``per_label`` labelled documents of either label; each is brought back as its term counts."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = ~held_out(F.col("doc_id"))
-    share = labelled.where(learn).agg(F.avg("toxic")).first()[0]
-    ids = sample_ids(labelled, "toxic", per_label, learn)
+    learn = labelled.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    share = learn.agg(F.avg("toxic")).first()[0]
+    order = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**31 - 1))
+    first = [learn.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_label) for label in (0, 1)]
+    ids = first[0].unionByName(first[1])
 
     def run(batches):
         import pyarrow as pa
@@ -150,13 +183,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: in
             for part in slices(batch):
                 counts = [term_counts(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                    names=["doc_id", "toxic", "terms", "n"],
+                    [part.column("doc_id"), part.column("toxic"), part.column("h"), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                    names=["doc_id", "toxic", "h", "terms", "n"],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic int, terms array<binary>, n array<int>").toArrow()
-    examples = [(r["toxic"], r["doc_id"], Counter(dict(zip(r["terms"], r["n"])))) for b in rows.to_batches() for s in slices(b) for r in s.to_pylist()]
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    one = text.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.h", "t.text")
+    rows = one.mapInArrow(run, "doc_id long, toxic int, h long, terms array<binary>, n array<int>").toArrow()
+    examples, seen = [], set()
+    for r in sorted((r for b in rows.to_batches() for s in slices(b) for r in s.to_pylist()), key=lambda r: (-r["toxic"], r["doc_id"])):
+        if r["h"] not in seen:  # copies are one example, toxic if one of them is
+            seen.add(r["h"])
+            examples.append((r["toxic"], r["doc_id"], Counter(dict(zip(r["terms"], r["n"])))))
     return fit(examples, share)
 
 
