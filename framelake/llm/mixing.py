@@ -13,17 +13,20 @@ Documents that are a large part of their source are decided before, in a flight
 misses is added to the ratio of the source's other documents.
 
 Edge cases: null texts and texts without words have size 0, belong to no constraint and are taken floor(r) times;
-a null source is a source of its own, last in order; a source without words has target 0; repeated rows are
-separate documents with the same number; null ids are placed like any other. Reruns agree: chunks and random
-numbers come from ids alone.
+a null source is a source of its own, last in order; a source without words has target 0. Rows are told apart by
+source, id and a hash of all their columns, so texts that share an id, or have none, are decided one by one. n rows
+that agree in all of this are one unit: the whole part of n * p of them is taken, and one more with the rest of it.
+Which of equal rows have the extra turns is all that the layout of the table can change. Reruns agree: chunks and
+random numbers come from ids and hashes alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import WORD_PATTERN, stage
@@ -148,38 +151,58 @@ def _level(units: DataFrame) -> DataFrame:
         n = len(rows)
         return pa.table({"s": pa.array([s] * n, pa.string()), "m": pa.array([m] * n, pa.int64()), "u": pa.array([r["u"] for r in rows], pa.string()), "size": pa.array([r["size"] for r in rows], pa.int64()), "p": pa.array(p, pa.float64()), "reserve": pa.array([r["reserve"] for r in rows], pa.bool_())})
 
-    return units.groupBy("s", "m", "chunk").applyInArrow(run, "s string, m long, " + UNIT)
+    return units.select("s", "m", "chunk", "u", "size", "p", "reserve").groupBy("s", "m", "chunk").applyInArrow(run, "s string, m long, " + UNIT)
 
 
 def sized(docs: DataFrame, name: str = "size") -> DataFrame:
     return docs.withColumn(name, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken; one row per input row."""
-    rows = stage(spark, sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
-    goal = stage(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))), "targets").withColumnRenamed("source", "_source")
+def _unit(docs: DataFrame) -> Column:
+    """Names a row within its source: its id and a hash of all columns that can be hashed."""
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.hex(F.xxhash64(*whole)))
+
+
+def _ranked(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of units that only some of the rows of have the extra turn, with their copies.
+
+    rows: s, u, piece and others; few: s, u, extra, base. Rows are numbered within their piece (a task's share of the
+    table when it was written) and pieces by their counts, so no task holds all rows of a unit.
+    """
+    rows = rows.join(few, ["s", "u"])
+    pieces = rows.groupBy("s", "u", "piece").agg(F.count("*").alias("n_piece"))
+    before = Window.partitionBy("s", "u").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("n_piece").over(before), F.lit(0))).drop("n_piece")
+    number = F.row_number().over(Window.partitionBy("s", "u", "piece").orderBy("piece"))
+    out = rows.withColumn("number", number).join(pieces, ["s", "u", "piece"])
+    return out.withColumn("copies", (F.col("base") + (F.col("before") + F.col("number") <= F.col("extra")).cast("long")).cast("long")).drop("number", "before", "extra", "base")
+
+
+def _decided(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Units (s, u, n, base, extra: how many of the n rows have a turn more), sources (source, source_size, target, s),
+    and the hint that a join with the sources takes. rows: source, s, u, size.
+    """
+    goal = stage(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))).withColumn("s", _key(F.col("source"))), "targets")
     n_sources, largest = goal.agg(F.count("*"), F.max("n_docs")).first()
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(F.broadcast(goal) if n_sources <= BROADCAST_SOURCES else goal, same).drop("_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    s = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
-    u = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    rows = rows.withColumn("ratio", ratio).withColumn("s", s).withColumn("u", u).withColumn("giant", F.col("size") * GIANT > F.col("source_size"))
     hint = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
-    # repeated rows share a unit; the unit's multiplicity is in its size, so they are decided together
-    shared = rows.where("size > 0").groupBy("s", "u").agg(F.sum("size").alias("size"), *[F.first(c).alias(c) for c in ("ratio", "n_docs", "source_size", "giant")])
-    turn = lambda df: df.withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0)))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    shared = rows.where("size > 0").groupBy("s", "u").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+    shared = shared.join(hint(goal.select("s", "n_docs", "source_size", ratio.alias("ratio"))), "s").withColumn("giant", F.col("size") * GIANT > F.col("source_size"))
+    # of n equal rows, floor(n * p) have the extra turn for sure; what is left of n * p is the unit's probability
+    due = lambda df: df.withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("due", F.col("n") * F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0)))
+    turn = lambda df: due(df).withColumn("sure", F.floor(F.col("due") + 1e-12)).withColumn("p", F.greatest(F.col("due") - F.col("sure"), F.lit(0.0))).drop("due")
     # giants are decided first; what rounding them misses moves the ratio of the source's other documents
-    giants = turn(shared.where("giant")).select("s", "u", "size", "p", F.lit(False).alias("reserve"), F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("chunk"))
+    shared = stage(spark, shared, "units")
+    giants = turn(shared.where("giant")).select("s", "u", "size", "n", "p", F.lit(False).alias("reserve"), F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("chunk"))
     decided = stage(spark, _level(giants), "giants")
-    due = giants.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("due"), F.sum("size").alias("giant_size"))
-    miss = due.join(decided.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("got")), "s")
+    owed = giants.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("due"), F.sum(F.col("size") * F.col("n")).alias("giant_size"))
+    miss = owed.join(decided.groupBy("s").agg(F.sum(F.col("size") * F.col("p")).alias("got")), "s")
     miss = stage(spark, miss.select("s", (F.col("due") - F.col("got")).alias("miss"), "giant_size"), "miss")
     moved = F.greatest(F.lit(0.0), F.least(F.lit(float(MOST)), F.col("ratio") + F.coalesce(F.col("miss") / F.nullif(F.col("source_size") - F.col("giant_size"), F.lit(0)), F.lit(0.0))))
     settle = lambda df: turn(df.join(hint(miss), "s", "left").withColumn("ratio", F.when(F.col("giant"), F.col("ratio")).otherwise(moved))).drop("miss", "giant_size")
-    rows = settle(rows)
-    units = settle(shared).where("not giant and p > 1e-9")
+    settled = settle(shared)
+    units = settled.where("not giant and p > 1e-9")
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("long")
     part = F.ceil(F.col("n_docs") / RESERVE)
     units = units.withColumn("reserve", (F.pmod(F.xxhash64(F.lit(5), "u"), part) == 0) & (F.col("size") * F.col("n_docs") <= F.col("source_size"))).withColumn("m", chunks(F.col("n_docs")))
@@ -200,24 +223,49 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
             waiting = waiting.withColumn("past", F.col("was")).withColumn("was", chunks(F.col("was") * LEFT))
         units = units.unionByName(waiting.where("was = 1 and past > 1").select("s", "m", "u", "size", "p", "reserve"))
         level += 1
-    extra = decided.where("p = 1").select("s", "u", F.lit(1).alias("extra"))
-    out = rows.join(extra, ["s", "u"], "left")
-    copies = (F.col("base") + F.coalesce(F.col("extra"), F.lit(0))).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    one = decided.where("p = 1").select("s", "u", F.lit(1).alias("one"))
+    out = settled.join(one, ["s", "u"], "left").select("s", "u", "n", "base", (F.col("sure") + F.coalesce(F.col("one"), F.lit(0))).alias("extra"))
+    return stage(spark, out, "decided"), goal, hint
+
+
+def _key(source: Column) -> Column:
+    return F.concat(F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")))
+
+
+#: Some of a unit's equal rows have the extra turn, others not.
+SOME = "coalesce(extra > 0 and extra < n, false)"
+#: Turns of a row of any other unit; rows without words are in no unit and have the whole turns of their source.
+COPIES = "cast(coalesce(base + cast(extra > 0 as long), floor(case when source_size > 0 then target / source_size else 0e0 end + 1e-12)) as long)"
+
+
+def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken; one row per input row."""
+    rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", _unit(docs).alias("u"))).drop("text")
+    rows = stage(spark, rows.select("*", _key(F.col("source")).alias("s"), F.spark_partition_id().alias("piece")), "sizes")
+    units, goal, hint = _decided(spark, rows)
+    sources = hint(goal.select("s", "source_size", "target"))
+    out = rows.join(units, ["s", "u"], "left").where("not " + SOME).join(sources, "s").withColumn("copies", F.expr(COPIES)).drop("n", "base", "extra")
+    out = out.unionByName(_ranked(rows, units.where(SOME).select("s", "u", "base", "extra")).join(sources, "s"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it.
 
-    A further column ``copy`` (with underscores if ``docs`` has that name) counts a row's turns from 1. ``mix`` decides by
-    source, id and size, so rows that share all three are taken alike, and a shared or null id joins no other rows.
+    A further column ``copy`` (with underscores if ``docs`` has that name) counts a row's turns from 1. Rows without words
+    are taken as often as their source's whole turns.
     """
-    name, size = "copy", "_size"
+    name = "copy"
     while name in docs.columns:
         name += "_"
-    while size in docs.columns:
-        size += "_"
-    chosen = mix(spark, docs).where("copies > 0").select("source", "doc_id", "size", F.col("copies").cast("int").alias("copies")).distinct()
-    rows = sized(docs, size)
-    same = rows["source"].eqNullSafe(chosen["source"]) & rows["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (rows[size] == chosen["size"])
-    return rows.join(chosen, same).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"])).alias(name))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), "text", _unit(docs).alias("u"))
+    rows = packed.select("row", _key(F.col("source")).alias("s"), "u")
+    narrow = stage(spark, sized(packed).select("source", _key(F.col("source")).alias("s"), "u", "size"), "sizes")
+    units, goal, hint = _decided(spark, narrow)
+    out = rows.join(units, ["s", "u"], "left").where("not " + SOME).join(hint(goal.select("s", "source_size", "target")), "s")
+    out = out.withColumn("copies", F.expr(COPIES)).where("copies > 0").select("row", "copies")
+    some = units.where(SOME).select("s", "u", "base", "extra")
+    if not some.isEmpty():  # repeated rows only
+        repeated = stage(spark, rows.join(some.select("s", "u"), ["s", "u"], "left_semi").withColumn("piece", F.spark_partition_id()), "repeated")
+        out = out.unionByName(_ranked(repeated, some).where("copies > 0").select("row", "copies"))
+    return out.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))

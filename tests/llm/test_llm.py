@@ -667,3 +667,29 @@ def test_pipeline_stages_take_any_table(spark, tmp_path, kind):
         out.write.parquet(f"{tmp_path}/{n}")
         docs = spark.read.parquet(f"{tmp_path}/{n}")
     assert (docs.count() > 0) == (kind == "odd")
+
+
+# ---------------------------------------------------------------- rows that share an id, or have none
+
+
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    rows = [(None, prose(10, i), "en", "a") for i in range(300)] + [(i, prose(10, 5000 + i), "en", "b") for i in range(300)]
+    rows += [(None, "same text of six words here", "en", "c")] * 100
+    docs = table(spark, rows)
+    out = mixing.mix(spark, docs).toPandas()
+    assert len(out) == len(rows)
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 10 and (g.taken <= 3 * g["size"]).all()
+    want = out.groupby("source").taken.sum().to_dict()
+    got = collections.Counter()
+    for r in mixing.apply(spark, docs).select("source", "text").collect():
+        got[r.source] += len(r.text.split())
+    assert got == want
+    again = mixing.mix(spark, docs.repartition(6)).toPandas()
+    assert sorted(map(str, out.values.tolist())) == sorted(map(str, again.values.tolist()))
+
+
+def test_near_copies_without_an_id_go_too(spark):
+    rows = [(None, prose(80, i % 4), "en", "a") for i in range(12)] + [(7, prose(80, 0), "en", "a"), (None, None, None, None), (None, "", "en", "a")]
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(spark, table(spark, rows)).collect())
+    assert kept == collections.Counter([(7, prose(80, 0)), *((None, prose(80, i)) for i in (1, 2, 3)), next(k for k in kept if not k[1])])
