@@ -8,35 +8,33 @@ from pyspark.sql import functions as F
 from framelake.llm.common import Staged
 
 
-def _measure(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other that points to none: nothing is left to do."""
+    pointing = edges.groupBy("u").agg(F.count("*").alias("n"))
+    twice = pointing.where("n > 1").select("u")
+    chained = edges.select(F.col("v").alias("u")).distinct().join(pointing.select("u"), "u", "left_semi")
+    return twice.unionByName(chained).isEmpty()
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long); root is the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step links every node to the smallest
-    of its neighbours, so the number of rounds grows with the logarithm of the longest chain. Minima are combined
-    before the shuffle; each round's edges are written to the shared folder and the round before's deleted.
+    of its neighbours, until all components are stars; the number of rounds grows with the logarithm of the longest
+    chain. Minima are combined before the shuffle and written before they are joined, so that the rows of a node with
+    very many neighbours can be split; each round's tables are deleted when the next is written.
     """
     held = Staged(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = _measure(held.df)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while not _stars(held.df):
         both = held.df.unionByName(held.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        fresh = Staged(spark, small, "edges")
+        least = Staged(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = Staged(spark, both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         held.drop()
-        held, now = fresh, _measure(fresh.df)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        least.drop()
+        least = Staged(spark, large.df.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.df.join(least.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.df.select("u", F.col("m").alias("v")))
+        held = Staged(spark, small.distinct(), "edges")
+        least.drop()
+        large.drop()
     stars = held.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(held.df.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

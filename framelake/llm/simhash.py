@@ -3,8 +3,9 @@
 Distinct fingerprints are compared in tiles with numpy exclusive-or and bit counts; tile pairs whose population
 counts differ by more than the radius are skipped. To spread the work, fingerprints are first dealt by the
 values of bit ranges (band_masks): two fingerprints within the radius agree on at least one mask, so no link is
-lost and only fingerprints that share a mask's value are compared. A value with more than HOT fingerprints is split into tiles by population count and hash; its tile pairs within the radius are tasks of
-their own. Within a group only the links of a spanning forest are emitted, never all pairs.
+lost and only fingerprints that share a mask's value are compared. A value with more than HOT fingerprints is split into
+tiles by population count and hash; its tile pairs within the radius are tasks of their own. Within a group only the
+links of a spanning forest are emitted, never all pairs.
 
 Edge cases: null or empty texts and texts without words have fingerprint zero and are linked like others; fewer
 than SHINGLE words make one shingle; repeated rows get one row each; copies meet by their fingerprint before any
@@ -213,14 +214,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     """The rows of ``docs`` with all their columns, one for each component: that of its smallest id.
 
     Rows that share an id but not a text are separate documents: each component keeps its own, of several texts with its
-    smallest id that of the smallest hash. Of repeated rows one stays. Rows with a null id can't be named as copies and
-    all stay.
+    smallest id that of the smallest hash. Rows with a null id are told apart by their text; a component keeps one of
+    them only if it has no row with an id. Of repeated rows one stays.
     """
-    name = "_h"
-    while name in docs.columns:
-        name += "_"
-    keep = _grouped(spark, docs, radius).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("kept"), F.col("k.h").alias("kept_h"))
-    rows = docs.withColumn(name, F.xxhash64("text"))
-    out = rows.join(keep, (rows["doc_id"].cast("long") == keep["kept"]) & (rows[name] == keep["kept_h"]), "left_semi").dropDuplicates(["doc_id", name])
-    return out.drop(name).unionByName(docs.where("doc_id is null"))
+    names = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_h": F.xxhash64("text")}
+    taken = {c.lower() for c in docs.columns}
+    names = {next(n + "_" * i for i in range(99) if n + "_" * i not in taken): c for n, c in names.items()}
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("k")
+    keep = stage(spark, _grouped(spark, docs, radius).groupBy("root").agg(first).select(*[F.col(f"k.{c}").alias(n) for c, n in zip(("none", "id", "h"), names)]), "kept")
+    rows = docs.select("*", *[c.alias(n) for n, c in names.items()])
+    return rows.join(keep, list(names), "left_semi").dropDuplicates(list(names)).drop(*names)
