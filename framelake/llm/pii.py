@@ -9,8 +9,11 @@ kind "secret" (passwords, tokens, access keys).
 The weights are trained here, by maximum likelihood with forward-backward over segments, on sentences made by a
 seeded generator; nothing is learnt from the corpus.
 
+The field sees AHEAD characters before a trigger and BEHIND after it, and the whole run of letters and digits that
+this cuts; an entity has at most SEGMENT atoms and LONGEST characters, longer forms are left to the base patterns.
+
 Edge cases: null and empty texts have no spans; repeated rows and null ids are handled row by row; texts may be of
-any length, as work is linear in the number of atoms for a bounded segment length.
+any length, with or without spaces: work is linear in the text, as a segment's length is bounded.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from framelake.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Most atoms in one entity.
-SEGMENT = 24
+#: Most atoms and characters in one entity that the field finds.
+SEGMENT, LONGEST = 24, 80
+#: Characters that the field sees before and after a trigger.
+AHEAD, BEHIND = 48, 64
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
@@ -132,6 +137,7 @@ SPELLED_AT = re.compile(r"[(\[]at[)\]]", re.IGNORECASE)
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "apikey")
 SECRET = re.compile(r"\b(?:password|passwd|pwd|token|secret|apikey)\b\s*[=:]", re.IGNORECASE)
 DOTTED = re.compile(r"(?:[0-9]{1,3} ?\. ?){3}[0-9]{1,3}")
+NO_DIGIT = re.compile(r"[^0-9]+")
 MAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
 KEY_LIKE = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
 CODE = re.compile(r"[A-Za-z0-9_+/=-]{10,}")
@@ -142,25 +148,26 @@ GROUPED_CARD = re.compile(r"[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}")
 @lru_cache(maxsize=20_000)
 def span_features(span: str) -> tuple[str, ...]:
     """Features of a whole candidate span; none looks at single atoms."""
-    digits = "".join(c for c in span if "0" <= c <= "9")
-    letters = sum(c.isalpha() for c in span)
-    spaces = sum(c.isspace() for c in span)
+    digits = NO_DIGIT.sub("", span)
+    letters = sum(map(str.isalpha, span))
+    spaces = sum(map(str.isspace, span))
     marks = len(span) - len(digits) - letters - spaces
     n = len(digits)
     out = [f"digits={n if n < 4 else '4-8' if n < 9 else '9-11' if n < 12 else '12-15' if n < 16 else '16-19' if n < 20 else '20+'}"]
     out.append("letters=" + ("0" if not letters else "1-3" if letters < 4 else "4+"))
     out.append("spaces=" + ("0" if not spaces else "1-3" if spaces < 4 else "4+"))
     out.append("marks=" + ("0" if not marks else "1-3" if marks < 4 else "4+"))
-    if MAIL_LIKE.fullmatch(span):
+    if marks and letters and MAIL_LIKE.fullmatch(span):
         out.append("mail-like")
-    if DOTTED.fullmatch(span) and all(int(p) <= 255 for p in re.findall("[0-9]+", span)):
-        out.append("quad")
-    if GROUPED_PHONE.fullmatch(span):
-        out.append("phone-groups")
-    if GROUPED_CARD.fullmatch(span):
-        out.append("card-groups")
-    if 12 <= n <= 19 and not letters and luhn(digits):
-        out.append("checksum")
+    if not letters:
+        if "." in span and DOTTED.fullmatch(span) and all(int(p) <= 255 for p in re.findall("[0-9]+", span)):
+            out.append("quad")
+        if n > 6 and GROUPED_PHONE.fullmatch(span):
+            out.append("phone-groups")
+        if n > 12 and GROUPED_CARD.fullmatch(span):
+            out.append("card-groups")
+        if 12 <= n <= 19 and luhn(digits):
+            out.append("checksum")
     if KEY_LIKE.fullmatch(span):
         out.append("access-key")
     if CODE.fullmatch(span):
@@ -174,42 +181,54 @@ def span_features(span: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def edge_features(text: str, start: int, end: int) -> tuple[str, ...]:
-    """What stands around the span: key words before it, and characters that it cuts off."""
+LETTERS = re.compile(r"[A-Za-z]+")
+ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
+
+
+def before_features(text: str, start: int) -> tuple[str, ...]:
+    """What stands before a span: key words, an assignment, a character that the span cuts off."""
     before = text[max(0, start - 40) : start]
-    words = re.findall(r"[A-Za-z]+", before)[-3:]
-    out = [f"cue={CUE_OF[w.lower()]}" for w in words if w.lower() in CUE_OF]
-    if re.search(r"[=:]\s*[\"']?$", before):
+    out = [f"cue={CUE_OF[w.lower()]}" for w in LETTERS.findall(before)[-3:] if w.lower() in CUE_OF]
+    if ("=" in before or ":" in before) and ASSIGNED.search(before):
         out.append("assigned")
     if start and (text[start - 1].isalnum() or text[start - 1] in "+@_%"):
         out.append("cut-left")
-    if end < len(text) and (text[end].isalnum() or text[end] in "@_%" or text[end] in ".-" and text[end + 1 : end + 2].isalnum()):
-        out.append("cut-right")
     return tuple(out)
 
 
+def after_features(text: str, end: int) -> tuple[str, ...]:
+    if end < len(text) and (text[end].isalnum() or text[end] in "@_%" or text[end] in ".-" and text[end + 1 : end + 2].isalnum()):
+        return ("cut-right",)
+    return ()
+
+
 class Region:
     """A stretch of text with its candidate segments: pairs of atom numbers."""
 
     def __init__(self, text: str, atoms: list[tuple[int, int]], walls: frozenset = frozenset()):
         self.text, self.atoms = text, atoms
         self.segments: list[tuple[int, int]] = []
-        shown = [not text[s].isspace() and s not in walls for s, _ in atoms]
-        strong = [s not in walls and (text[s].isdigit() or text[s] == "@" or e - s >= 10 or text[s:e].lower() == "at") for s, e in atoms]
-        for i in range(len(atoms)):
+        n = len(atoms)
+        head = [text[s] for s, _ in atoms]
+        wall = [s in walls for s, _ in atoms]
+        shown = [not h.isspace() and not w for h, w in zip(head, wall)]
+        strong = [not w and (h.isdigit() or h == "@" or e - s >= 10 or text[s:e].lower() == "at") for h, w, (s, e) in zip(head, wall, atoms)]
+        ends = [v and (h.isalnum() or h in "=+/_") for v, h in zip(shown, head)]
+        for i in range(n):
             if not shown[i]:
                 continue
-            good = False
-            for j in range(i, min(len(atoms), i + SEGMENT)):
-                if atoms[j][0] in walls:
+            good, start = False, atoms[i][0]
+            for j in range(i, min(n, i + SEGMENT)):
+                length = atoms[j][1] - start
+                if wall[j] or length > LONGEST:
                     break
                 good = good or strong[j]
-                if good and shown[j] and (text[atoms[j][0]].isalnum() or text[atoms[j][0]] in "=+/_") and atoms[j][1] - atoms[i][0] >= 7:
+                if good and length >= 7 and ends[j]:
                     self.segments.append((i, j + 1))
 
     def features(self, segment: tuple[int, int]) -> tuple[str, ...]:
         s, e = self.atoms[segment[0]][0], self.atoms[segment[1] - 1][1]
-        return span_features(self.text[s:e]) + edge_features(self.text, s, e)
+        return span_features(self.text[s:e]) + before_features(self.text, s) + after_features(self.text, e)
 
 
 class Field:
@@ -218,10 +237,27 @@ class Field:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights  # feature -> score by kind
         self.zero = np.zeros(len(KINDS))
+        self.sums: dict[tuple[str, ...], np.ndarray] = {}
+
+    def total(self, features: tuple[str, ...]) -> np.ndarray:
+        """Summed weights; the features of few thousand spans, starts and ends recur again and again."""
+        found = self.sums.get(features)
+        if found is None:
+            if len(self.sums) > 20_000:
+                self.sums.clear()
+            found = self.sums[features] = sum((self.weights.get(f, self.zero) for f in features), self.zero)
+        return found
 
     def scores(self, region: Region) -> list[np.ndarray]:
-        get = self.weights.get
-        return [sum((get(f, self.zero) for f in region.features(s)), self.weights["bias"]) for s in region.segments]
+        text, atoms, total, bias = region.text, region.atoms, self.total, self.weights["bias"]
+        before, after, out = {}, {}, []
+        for i, j in region.segments:
+            if i not in before:
+                before[i] = bias + total(before_features(text, atoms[i][0]))
+            if j not in after:
+                after[j] = total(after_features(text, atoms[j - 1][1]))
+            out.append(total(span_features(text[atoms[i][0] : atoms[j - 1][1]])) + before[i] + after[j])
+        return out
 
     def best(self, region: Region) -> list[tuple[int, int, str]]:
         """Viterbi over segments: the spans of the best segmentation."""
@@ -266,32 +302,54 @@ def triggers(text: str) -> list[re.Match]:
     return sorted(found, key=lambda m: m.start())
 
 
+RUN = re.compile(r"[A-Za-z0-9]*")
+
+
 def regions(text: str, base: list[tuple[int, int, str]]) -> list[Region]:
     """Disjoint stretches around triggers that base spans leave over; base spans are walls no segment crosses."""
-    inside = [(s, e) for s, e, _ in base]
+    inside = joined(base)
     stretches: list[list[int]] = []
     at = 0
     for m in triggers(text):
         while at < len(inside) and inside[at][1] <= m.start():
             at += 1
-        if any(s <= m.start() < e for s, e in inside[at : at + 4]):
+        if at < len(inside) and inside[at][0] <= m.start():
             continue
-        s, e = max(0, m.start() - 48), min(len(text), m.end() + 64)
+        s, e = max(0, m.start() - AHEAD), min(len(text), m.end() + BEHIND)
         if stretches and s <= stretches[-1][1]:
             stretches[-1][1] = max(stretches[-1][1], e)
         else:
             stretches.append([s, e])
-    out = []
+    out, past, at = [], 0, 0
     for s, e in stretches:
-        while s > 0 and not text[s].isspace() and s > stretches[0][0] - 200:
+        least = max(past, s - 200)
+        while s > least and not text[s].isspace():
             s -= 1
         atoms = [(m.start(), m.end()) for m in ATOM.finditer(text, s, e)]
-        if atoms and e < len(text):
-            last = re.compile(r"[A-Za-z0-9]*").match(text, atoms[-1][1]) if text[e - 1].isalnum() else None
-            if last:
-                atoms[-1] = (atoms[-1][0], last.end())
-        walls = frozenset(a for a, b in atoms if any(x < b and a < y for x, y in inside if x < e and y > s))
-        out.append(Region(text, atoms, walls))
+        if atoms and e < len(text) and text[e - 1].isalnum():
+            atoms[-1] = (atoms[-1][0], RUN.match(text, atoms[-1][1], atoms[-1][1] + 200).end())
+        past = max(e, atoms[-1][1]) if atoms else e
+        walls = set()
+        while at < len(inside) and inside[at][1] <= s:
+            at += 1
+        near = at
+        for a, b in atoms:
+            while near < len(inside) and inside[near][1] <= a:
+                near += 1
+            if near < len(inside) and inside[near][0] < b:
+                walls.add(a)
+        out.append(Region(text, atoms, frozenset(walls)))
+    return out
+
+
+def joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches that spans, in order of their starts, cover: disjoint, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
     return out
 
 
@@ -300,10 +358,12 @@ def find(field: Field, text: str | None) -> tuple[list, list]:
     base = base_spans(text)
     if not text:
         return base, base
-    added = []
+    added, inside, at = [], joined(base), 0
     for region in regions(text, base):
         for s, e, kind in field.best(region):
-            if not any(s < y and x < e for x, y, _ in base):
+            while at < len(inside) and inside[at][1] <= s:
+                at += 1
+            if at == len(inside) or inside[at][0] >= e:
                 added.append((s, e, kind))
     return base, ordered(sorted(set(base + added)))
 

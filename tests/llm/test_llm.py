@@ -693,3 +693,21 @@ def test_near_copies_without_an_id_go_too(spark):
     rows = [(None, prose(80, i % 4), "en", "a") for i in range(12)] + [(7, prose(80, 0), "en", "a"), (None, None, None, None), (None, "", "en", "a")]
     kept = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(spark, table(spark, rows)).collect())
     assert kept == collections.Counter([(7, prose(80, 0)), *((None, prose(80, i)) for i in (1, 2, 3)), next(k for k in kept if not k[1])])
+
+
+def test_personal_data_in_long_texts_without_spaces_takes_linear_time():
+    import base64
+    import time
+
+    field, took = pii.train(), []
+    made = random.Random(1)
+    whole = base64.b64encode(made.randbytes(3 * 2**16)).decode()
+    pii.find(field, whole[: 2**15])
+    for part in (whole[: 2**16], whole):
+        began = time.process_time()
+        spans = pii.find(field, part + "password=5b6fd4d54b2d0f57ac")[1]
+        took.append(time.process_time() - began)
+        assert all(s < e <= len(part) + 27 and e - s <= pii.LONGEST or k in pii.BASE_KINDS for s, e, k in spans)
+    assert took[1] <= 10 * took[0]  # four times the text
+    many = "call (456) 555-2186 now " * 2000
+    assert len(pii.find(field, many)[1]) == 2000
