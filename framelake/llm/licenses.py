@@ -4,10 +4,11 @@ Texts are lower-cased word shingles (SHINGLE words, hashed). Templates fall into
 texts are cut into windows of 2c shingles that overlap by c, so an occurrence over c places lies in one window. There its
 Jaccard similarity to the template is 1 / 2 at least if it is whole, 0.8 / 2.2 > 0.36 if it holds the accepted share
 CONTAINED. MinHash signatures with BANDS bands of one row retrieve templates: the probability that an occurrence collides
-is at least 1 - 0.64 ** 32 > 0.999999. Shingles that are scattered over more places have no such bound. Candidates are verified by exact containment of the template's shingles in the text.
+is at least 1 - 0.64 ** 32 > 0.999999. Shingles that are scattered over more places have no such bound. Candidates are
+verified by exact containment of the template's shingles in the whole text.
 
-A one-row band collides only on a shingle of the template itself, so texts that hold no template shingle are
-left out before windows are made; that changes no result.
+A one-row band collides only on a shingle of the template itself, so of all windows only those that hold a shingle of
+a template of their class are hashed: the others can't collide, and the result is that of hashing every window.
 
 Edge cases: null and empty texts and texts of fewer words than a shingle match nothing; templates shorter than a
 shingle are one shingle of all their words and need a text of these words alone; repeated rows with one id give one
@@ -76,28 +77,34 @@ def _signature(shingles: Column) -> list[Column]:
     return [least(k) for k in range(BANDS)]
 
 
-def _windows(c: int) -> Column:
-    """Windows of 2c shingles that overlap by c."""
-    return F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(c)), lambda i: F.struct(F.lit(c).alias("cls"), F.slice("sh", i + 1, F.lit(2 * c)).alias("win")))
+def _near(own: Column, c: int, members: list[int]) -> Column:
+    """Windows of 2c shingles, overlapping by c, that hold one of ``members``; own: the text's template shingles (x, i)."""
+    at = F.transform(F.filter(own, lambda o: o["x"].isin(members)), lambda o: F.floor(o["i"] / c).cast("int"))
+    first = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda k: F.array(k, k - 1)))), lambda k: k >= 0)
+    return F.transform(first, lambda k: F.struct(F.lit(c).alias("cls"), F.slice("sh", k * c + 1, F.lit(2 * c)).alias("win")))
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, license, n_matched, n_shingles, containment for each template that a text holds."""
+    """doc_id, license, n_matched, n_shingles, containment for each template that a text holds.
+
+    What leaves a row are windows around template shingles and the template shingles that the whole text has; work and
+    memory are linear in the text.
+    """
     table = template_table(spark, templates or TEMPLATES)
-    known = table.select("license", "t", "n", "cls").collect()  # the templates: a parameter of the operator
+    known = table.select("t", "cls").collect()  # the templates: a parameter of the operator
     every = sorted({h for r in known for h in r.t})
+    classes = {c: sorted({h for r in known if r.cls == c for h in r.t}) for c in sorted({r.cls for r in known})}
     texts = _shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").drop("text")
-    texts = texts.where(F.arrays_overlap("sh", F.lit(every).cast("array<bigint>")))
-    # all sizes of windows in one pass: (class, window)
-    sizes = sorted({r.cls for r in known})
-    windows = F.flatten(F.array(*(_windows(c) for c in sizes)))
-    own = F.lit(every).cast("array<bigint>")
-    cut = texts.select("doc_id", "sh", F.explode(windows).alias("w")).where(F.arrays_overlap("w.win", own))
+    marked = F.transform("sh", lambda x, i: F.when(x.isin(every), F.struct(x.alias("x"), i.alias("i"))))
+    texts = _once(texts, F.filter(marked, lambda o: o.isNotNull()), "own").where(F.size("own") > 0)
+    have = F.array_distinct(F.transform("own", lambda o: o["x"]))
+    windows = F.flatten(F.array(*(_near(F.col("own"), c, members) for c, members in classes.items())))
+    cut = texts.select("doc_id", have.alias("have"), F.explode(windows).alias("w"))
     bands = lambda signature: F.posexplode(F.array(*signature)).alias("band", "value")
-    asked = cut.select("doc_id", "sh", F.col("w.cls").alias("cls"), bands(_signature(F.col("w.win"))))
+    asked = cut.select("doc_id", "have", F.col("w.cls").alias("cls"), bands(_signature(F.col("w.win"))))
     held = table.select("license", "t", "n", "cls", bands(_signature(F.col("t"))))
     hits = asked.join(F.broadcast(held), ["cls", "band", "value"])  # BANDS rows a template
-    matched = F.size(F.array_intersect("t", "sh"))
+    matched = F.size(F.array_intersect("t", "have"))
     return (
         hits.select("doc_id", "license", "n", matched.alias("m"))
         .groupBy("doc_id", "license")
@@ -107,6 +114,13 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     )
 
 
+def templates_in(folder: str) -> dict[str, str]:
+    """Templates from the text files of a folder on the driver: the file name is the license."""
+    import pathlib
+
+    return {p.name: p.read_text("utf-8", "replace") for p in sorted(pathlib.Path(folder).iterdir()) if p.is_file() and not p.is_symlink()}
+
+
 def oracle(templates: dict[str, str] | None = None) -> str:
     """The same result by comparing every text with every template."""
     rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted((templates or TEMPLATES).items()))

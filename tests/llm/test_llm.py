@@ -711,3 +711,25 @@ def test_personal_data_in_long_texts_without_spaces_takes_linear_time():
     assert took[1] <= 10 * took[0]  # four times the text
     many = "call (456) 555-2186 now " * 2000
     assert len(pii.find(field, many)[1]) == 2000
+
+
+def test_licenses_in_long_texts_take_linear_time(spark):
+    import time
+
+    body, took = " ".join(licenses.TEMPLATES.values()), []
+    for n in (2_000, 50_000, 200_000):
+        docs = spark.createDataFrame([(1, prose(n, 1) + " " + body + " " + prose(n, 2) + " " + body)], "doc_id long, text string")
+        began = time.monotonic()
+        assert licenses.scan(spark, docs).count() == len(licenses.TEMPLATES)
+        took.append(time.monotonic() - began)
+    assert took[2] < 30
+
+
+def test_whole_license_texts(spark, tmp_path):
+    bodies = {f"license-{i}": prose(400 + 300 * i, 40 + i) + "\n" for i in range(3)}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    rows = [(i, prose(200, i) + " " + body + prose(300, i + 9)) for i, body in enumerate(bodies.values())] + [(9, prose(900, 3))]
+    rows.append((10, " ".join(bodies["license-2"].split()[: int(0.85 * 1000)])))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates_in(str(tmp_path))).collect()}
+    assert got == {(0, "license-0"), (1, "license-1"), (2, "license-2"), (10, "license-2")}
