@@ -27,7 +27,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(spark, documents(spark, sf_dir)).withColumn("spans", F.array_join("spans", ","))
+    return substring.dedup(spark, documents(spark, sf_dir)).withColumn("spans", F.array_join("spans", ",")).drop("factors")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,24 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 Removed is every word covered by a WINDOW of consecutive words whose word sequence also starts in a document with
-a smaller id. The corpus itself is the reference. It is indexed in blocks: each window names, by its smallest
-word k-gram hash, one anchor; a block is an anchor with the run of windows that name it and all their words. Equal
-windows name equal anchors, so every earlier occurrence of a window lies in an indexed block of the same anchor,
-and each document is parsed against all of these blocks wherever in the corpus they are:
-
-1. Whole documents that repeat an earlier one are a single factor.
-2. A block whose words equal those of an earlier document's block is a factor as a whole.
-3. At factor boundaries, where blocks of one anchor differ, the block's windows are looked up one by one among the
-   windows of all differing blocks of that anchor (128-bit hashes); adjacent hits join into factors.
-
-Factors are WINDOW words or longer; their union is removed. Only anchors that two documents share leave step 1,
-only distinct blocks reach step 3, and all first occurrences are minima that are combined before the shuffle, so a
-passage in a third of all documents makes no group that one task must hold.
+a smaller id. The reference is the corpus itself, in order of ids, cut into blocks: each window names, by its smallest
+word k-gram hash, one anchor; a block is an anchor with the run of windows that name it and all their words. Of
+blocks with equal words the first is the indexed one: its place (document, word) stands for all of them. Equal windows
+name equal anchors, so every earlier occurrence of a window lies in an indexed block of the same anchor, and each
+document is parsed against all indexed blocks that share an anchor with it, wherever in the corpus they are:
+
+1. Documents that repeat an earlier one whole are a single factor.
+2. Each block of the others is looked up as a whole; a hit gives the place of the earlier block for all its windows.
+3. Where blocks of one anchor differ, the block's windows are looked up one by one among the windows of all differing
+   blocks of that anchor (128-bit hashes); a hit gives the place of the first such window.
+4. ``factors`` parses the document greedily, from left to right: from the first window that has a place on, the factor
+   goes on for as long as the next window's place is the next word of the same document; the next factor starts with
+   the first window after it. Windows that straddle two factors are windows like others, so nothing at a factor's
+   boundary is missed. Factors are WINDOW words or longer; the union of their words is removed.
+
+Only anchors that two documents share leave step 1, only distinct blocks reach step 3, and all first occurrences are
+minima that are combined before the shuffle, so a passage in a third of all documents makes no group that one task must
+hold. Texts are told apart by id and hash, so many rows without an id, or with one, are no larger join.
 
 Edge cases: null and empty texts have no words; texts of fewer words than a window lose nothing; null ids count as
 larger than all others; rows with equal ids never remove words of each other; repeated rows get one row each.
@@ -32,6 +37,7 @@ from framelake.llm.common import slices, stage
 WINDOW = 50
 GRAM = 16
 LAST = 2**63 - 1
+FACTORS = "array<struct<start:int,length:int,ref_id:bigint,ref_hash:bigint,ref_start:int>>"
 #: Odd multipliers of the two rolling hashes (64-bit).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,11 +114,12 @@ def _parsed(docs: DataFrame) -> DataFrame:
                 texts = [Words(t) for t in part.column("text").to_pylist()]
                 blocks = [w.blocks() if w.n >= WINDOW else none for w in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([w.n for w in texts], pa.int64()), pa.array([w.digest() for w in texts], pa.string()), *(pa.array([b[i] for b in blocks], k) for i, k in enumerate((longs, longs, ints, ints)))],
-                    names=["doc_id", "n_words", "digest", "a", "b", "s", "e"],
+                    [part.column("doc_id"), part.column("t"), pa.array([w.n for w in texts], pa.int64()), pa.array([w.digest() for w in texts], pa.string()), *(pa.array([b[i] for b in blocks], k) for i, k in enumerate((longs, longs, ints, ints)))],
+                    names=["doc_id", "t", "n_words", "digest", "a", "b", "s", "e"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, digest string, a array<bigint>, b array<bigint>, s array<int>, e array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, t long, n_words long, digest string, a array<bigint>, b array<bigint>, s array<int>, e array<int>")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -137,78 +144,93 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.select("key", "d", "text", "asked").mapInArrow(run, "w1 long, w2 long, key long, d long, s int")
 
 
+def factors(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The greedy parse: (first word, words, document, hash, word) of each factor, from hits in any order.
+
+    A hit is (first window, last window, document, hash, word): windows from first to last have their places from that
+    word of that document on. Each window is in one block, so hits don't overlap.
+    """
+    out: list[list[int]] = []
+    for s, e, *place in sorted(found):
+        if out and s == out[-1][1] + 1 and place[:2] == out[-1][2:4] and place[2] == out[-1][4] + s - out[-1][0]:
+            out[-1][1] = e
+        else:
+            out.append([s, e, *place])
+    return [(s, e - s + WINDOW, d, h, at) for s, e, d, h, at in out]
+
+
 def _removed(texts: DataFrame) -> DataFrame:
-    """key, d, n_removed, kept_sha256, spans from texts with their factors (``whole`` blocks, ``single`` windows)."""
+    """key, d, n_removed, kept_sha256, spans and factors from texts with their hits (``whole`` blocks, ``single`` windows)."""
+    schema = "key long, d long, n_removed long, kept_sha256 string, spans array<string>, factors " + FACTORS
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["start", "length", "ref_id", "ref_hash", "ref_start"]
+        parts = pa.list_(pa.struct([(n, pa.int64() if n in ("ref_id", "ref_hash") else pa.int32()) for n in names]))
         for batch in batches:
             for part in slices(batch, 64):
                 rows = []
                 for key, d, text, whole, single in zip(*(part.column(c).to_pylist() for c in ("key", "d", "text", "whole", "single"))):
                     words = Words(text)
                     edge = np.zeros(words.n + 1, np.int64)
-                    for s, e in [(r["s"], r["e"]) for r in whole or []] + [(s, s) for s in single or []]:
+                    parse = factors([(r["s"], r["e"], r["p"]["key"], r["p"]["d"], r["p"]["s"]) for r in whole or []] + [(r["s"], r["s"], r["p"]["key"], r["p"]["d"], r["p"]["s"]) for r in single or []])
+                    for s, n, *_ in parse:
                         edge[s] += 1
-                        edge[e + WINDOW] -= 1
+                        edge[s + n] -= 1
                     gone = np.cumsum(edge)[: words.n] > 0
                     cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    rows.append((key, d, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])]))
+                    rows.append((key, d, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])], [dict(zip(names, f)) for f in parse]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())))],
-                    names=["key", "d", "n_removed", "kept_sha256", "spans"],
+                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), parts))],
+                    names=["key", "d", "n_removed", "kept_sha256", "spans", "factors"],
                 )
 
-    return texts.select("key", "d", "text", "whole", "single").mapInArrow(run, "key long, d long, n_removed long, kept_sha256 string, spans array<string>")
-
-
-def _same_text(texts: DataFrame) -> DataFrame:
-    """Rows whose text is the one that was asked for by ``d``: one id may have several texts."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for batch in batches:
-            for part in slices(batch, 64):
-                asked = np.array(part.column("d").to_pylist(), np.int64).view(np.uint64).tolist()
-                same = [xxhash.xxh64_intdigest(Words(t).digest().encode(), 42) == d for t, d in zip(part.column("text").to_pylist(), asked)]
-                yield part.filter(pa.array(same, pa.bool_()))
-
-    return texts.mapInArrow(run, texts.schema)
+    return texts.select("key", "d", "text", "whole", "single").mapInArrow(run, schema)
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans ("start:end" word offsets of what is removed); a row per row."""
+    """doc_id, n_words, n_removed, kept_sha256, spans ("start:end" word offsets of what is removed), factors; a row per row.
+
+    A factor names the words of the document, and the document (id, and hash of its words) and word that they repeat; a
+    null id is 2 ** 63 - 1.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     parsed = stage(spark, _parsed(docs).withColumn("key", key).withColumn("d", F.xxhash64("digest")), "parsed")
-    # minima are written before they are joined: then the rows that they join can be split where a key is hot
-    firsts = stage(spark, parsed.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("key").alias("first")), "firsts")
-    leading = parsed.where(F.col("n_words") >= WINDOW).join(firsts, "digest").where("key = first")
-    blocks = leading.select("key", "d", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "d", "x.*")
+    long = parsed.where(F.col("n_words") >= WINDOW)
+    # one row for each sequence of words, that of the smallest id: (key, d) names it, t its text
+    firsts = stage(spark, long.groupBy("digest").agg(F.min(F.struct("key", "t")).alias("f")).select("digest", F.col("f.key").alias("first"), F.col("f.t").alias("first_t")), "firsts")
+    leading = long.join(firsts, "digest").where("key = first and t = first_t")
+    blocks = leading.select("key", "d", "t", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "d", "t", "x.*")
     shared = blocks.groupBy("a").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), (F.min("b") != F.max("b")).alias("differ")).where("lo < hi")
     shared = stage(spark, shared.select("a", "differ"), "shared")
     blocks = stage(spark, blocks.join(shared, "a"), "blocks")
-    earliest = stage(spark, blocks.groupBy("a", "b").agg(F.min("key").alias("first")), "earliest")
-    at = F.struct("s", "e")
-    factors = blocks.join(earliest, ["a", "b"]).groupBy("key", "d").agg(
-        F.collect_list(F.when(F.col("key") > F.col("first"), at)).alias("whole"),
-        F.collect_list(F.when((F.col("key") == F.col("first")) & F.col("differ"), at)).alias("asked"),
+    # minima are written before they are joined: then the rows that they join can be split where a key is hot
+    place = F.min(F.struct("key", "d", "s")).alias("p")
+    earliest = stage(spark, blocks.groupBy("a", "b").agg(place), "earliest")
+    known = blocks.join(earliest, ["a", "b"])
+    hit, asked = F.struct("s", "e", "p"), F.struct("s", "e")
+    needed = known.groupBy("key", "d", "t").agg(
+        F.collect_set(F.when(F.col("key") > F.col("p.key"), hit)).alias("whole"),
+        F.collect_set(F.when((F.col("key") == F.col("p.key")) & F.col("differ"), asked)).alias("asked"),
     )
-    factors = factors.where("size(whole) > 0 or size(asked) > 0")
-    texts = stage(spark, _same_text(docs.select(key.alias("key"), "text").join(factors, "key")).dropDuplicates(["key", "d"]), "texts")
+    needed = needed.where("size(whole) > 0 or size(asked) > 0")
+    rows = docs.select(key.alias("key"), F.xxhash64("text").alias("t"), "text")
+    texts = stage(spark, rows.join(needed, ["key", "t"]).dropDuplicates(["key", "t"]), "texts")
     windows = _windows(texts)
-    index = windows.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    index = windows.groupBy("w1", "w2").agg(place, F.max("key").alias("last")).where("p.key < last").drop("last")
     index = stage(spark, index, "index")
-    found = windows.join(index, ["w1", "w2"]).where("key > first").groupBy("key", "d").agg(F.collect_list("s").alias("single"))
+    found = windows.join(index, ["w1", "w2"]).where("key > p.key").groupBy("key", "d").agg(F.collect_list(F.struct("s", "p")).alias("single"))
     cut = stage(spark, _removed(texts.join(found, ["key", "d"], "left")), "removed")
-    out = parsed.select("doc_id", "key", "n_words", "digest", "d").join(firsts, "digest", "left").join(cut, ["key", "d"], "left")
+    out = parsed.select("doc_id", "key", "n_words", "digest", "d").join(firsts.drop("first_t"), "digest", "left").join(cut, ["key", "d"], "left")
     copy = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("key") > F.col("first")), F.lit(False))
+    zero = F.lit(0).cast("int")
+    whole = F.array(F.struct(zero.alias("start"), F.col("n_words").cast("int").alias("length"), F.col("first").alias("ref_id"), F.col("d").alias("ref_hash"), zero.alias("ref_start")))
     return out.select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(copy, F.array(F.concat(F.lit("0:"), F.col("n_words").cast("string")))).otherwise(F.coalesce("spans", F.array().cast("array<string>"))).alias("spans"),
+        F.when(copy, whole).otherwise(F.coalesce("factors", F.array().cast(FACTORS))).alias("factors"),
     )

@@ -733,3 +733,75 @@ def test_whole_license_texts(spark, tmp_path):
     rows.append((10, " ".join(bodies["license-2"].split()[: int(0.85 * 1000)])))
     got = {(r.doc_id, r.license) for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates_in(str(tmp_path))).collect()}
     assert got == {(0, "license-0"), (1, "license-1"), (2, "license-2"), (10, "license-2")}
+
+
+def greedy_parse(rows):
+    """Factors of each id by going through all windows of all texts in order of ids: no anchors shared, no hashes of runs."""
+    docs = {i: substring.Words(t) for i, t, *_ in sorted(rows)}
+    whole, place_of_block, place_of_window, out = {}, {}, {}, {}
+    for i, w in docs.items():
+        if w.n < substring.WINDOW:
+            out[i] = []
+            continue
+        if (first := whole.setdefault(tuple(w.words), i)) != i:
+            out[i] = [(0, w.n, first, 0)]
+            continue
+        places = {}
+        fresh = []
+        for _, _, s, e in zip(*(x.tolist() for x in w.blocks())):
+            body = tuple(w.words[s : e + substring.WINDOW])
+            if body in place_of_block and place_of_block[body][0] != i:
+                d, at = place_of_block[body]
+                places |= {k: (d, at + k - s) for k in range(s, e + 1)}
+            else:
+                fresh.append((body, s, e))
+        for body, s, e in fresh:
+            for k in range(s, e + 1):
+                if (p := place_of_window.get(tuple(w.words[k : k + substring.WINDOW]))) is not None and p[0] != i:
+                    places[k] = p
+        for body, s, e in fresh:
+            place_of_block.setdefault(body, (i, s))
+            for k in range(s, e + 1):
+                place_of_window.setdefault(tuple(w.words[k : k + substring.WINDOW]), (i, k))
+        found, k = [], 0
+        while k <= w.n - substring.WINDOW:
+            if k in places:
+                n = 1
+                while places.get(k + n) == (places[k][0], places[k][1] + n):
+                    n += 1
+                found.append((k, n + substring.WINDOW - 1, *places[k]))
+                k += n
+            else:
+                k += 1
+        out[i] = found
+    return out
+
+
+def test_factors_are_a_greedy_parse(spark):
+    passages = [prose(n, 2000 + n) for n in (50, 51, 75, 120, 200, 333)]
+    r, rows = np.random.default_rng(9), []
+    for i in range(90):
+        parts = [prose(int(r.integers(1, 60)), 9000 + i), passages[i % 6], prose(int(r.integers(0, 3)), 9500 + i), passages[(5 * i + 2) % 6], passages[(i * i) % 6]]
+        if i % 3 == 0:
+            w = parts[1].split()
+            w[int(r.integers(0, len(w)))] = "changed"
+            parts[1] = " ".join(w)
+        rows.append((i, "\n".join(parts), "en", "a"))
+    rows += [(200, rows[5][1], "en", "a"), (201, prose(400, 77), "en", "a")]
+    words = {i: WORDS.findall(t) for i, t, *_ in rows}
+    want, n = greedy_parse(rows), 0
+    for x in substring.dedup(spark, table(spark, rows)).collect():
+        gone = set()
+        for s, length, ref, _, at in x.factors:
+            assert length >= substring.WINDOW and ref < x.doc_id and words[x.doc_id][s : s + length] == words[ref][at : at + length]
+            gone |= set(range(s, s + length))
+        assert len(gone) == x.n_removed
+        assert [(f.start, f.length, f.ref_id, f.ref_start) for f in x.factors] == want[x.doc_id]
+        n += len(x.factors)
+    assert n > 100
+
+
+def test_many_rows_without_an_id_are_one_join(spark):
+    rows = [(None, prose(60, i) + " " + prose(55, 3), "en", "a") for i in range(1500)] + [(5, prose(55, 3), "en", "a")] + [(None, prose(70, 4), "en", "a")] * 300
+    got = collections.Counter((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring.dedup(spark, table(spark, rows)).collect())
+    assert got == brute_substrings(rows)
