@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes between words in the operators' contracts: space and \x09-\x0D.
@@ -84,16 +84,13 @@ def sample_ids(docs: DataFrame, key: str, per_key: int, where: Column) -> DataFr
     """At most ``per_key`` ids for each value of ``key``, in hash order of the id: bounded however large the table is.
 
     Rows are thinned by hash before the window, so its shuffle carries a small multiple of the sample only.
-    ``key`` must have few values (languages, labels); they are counted on the driver.
+    ``key`` must have few values (languages): one row for each is broadcast.
     """
     rows = docs.select("doc_id", key).where(where & F.col("doc_id").isNotNull() & F.col(key).isNotNull())
     order = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**31 - 1))
-    counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
-    thinned = rows.withColumn("_h", order)
-    keep = F.lit(False)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        keep = keep | ((F.col(key) == F.lit(value)) & (F.col("_h") <= F.lit(int(min(1.0, 4 * per_key / n + 64 / n) * (2**31 - 1)))))
-    from pyspark.sql import Window
-
+    most = F.least(F.lit(1.0), (4.0 * per_key + 64) / F.col("n")) * (2**31 - 1)
+    limits = rows.groupBy(key).agg(F.approx_count_distinct("doc_id").alias("n")).select(F.col(key).alias("_of"), most.cast("long").alias("_most"))
+    thinned = rows.withColumn("_h", order).join(F.broadcast(limits), F.col(key) == F.col("_of")).where("_h <= _most")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("_h", "doc_id"))
-    return thinned.where(keep).withColumn("_r", rank).where(F.col("_r") <= per_key).select("doc_id", key)
+    ids = thinned.select("doc_id", key, "_h").distinct()
+    return ids.withColumn("_r", rank).where(F.col("_r") <= per_key).select("doc_id", key)

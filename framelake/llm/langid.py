@@ -5,7 +5,9 @@ several spherical k-means centroids; a text gets the language of the centroid wi
 rejected when that cosine is below a share of what the language's own training texts reach. Short texts reach less, so
 training texts are also cut to lengths, and a text of fewer than SHORT n-grams is held against cuts of about its length.
 
-Training reads at most PER_LANGUAGE documents of each language, in hash order of their ids; the corpus is
+Training reads at most PER_LANGUAGE documents of each language, in hash order of their ids (of several texts with one id,
+that of the smallest hash); each language's centroids are one task. A language's centroids take CENTROIDS * DIM * 4
+bytes (128 KB), so MOST_LANGUAGES bound what is broadcast; more values of ``lang`` are an error. The corpus is
 scored whole. Edge cases: null text or a text without any letter gives ``und``, score 0 and rejected; ties go
 to the first language by name; with nothing to learn from every row is ``und``; repeated rows score alike.
 """
@@ -21,12 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import LETTERS_ONLY, held_out, sample_ids, slices
+from framelake.llm.common import LETTERS_ONLY, held_out, sample_ids, slices, stage
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 400
 CENTROIDS = 4
+MOST_LANGUAGES = 1500
 #: Texts of fewer n-grams than this are held against cuts whose n-gram count has as many binary digits, others against
 #: whole texts.
 SHORT = 400
@@ -52,7 +55,7 @@ def gram_counts(text: str) -> np.ndarray:
 def cuts(text: str) -> list[bytes]:
     """A run of words for each number of binary digits up to BINS that the text's n-gram count exceeds: sparse counts.
 
-    Places and lengths depend on the text alone. Each cut is an array of buckets, then of their counts.
+    Places and lengths depend on the text alone.
     """
     words = text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split()
     ends = np.cumsum([0] + [len(w) + 1 for w in words])
@@ -65,8 +68,7 @@ def cuts(text: str) -> list[bytes]:
         first = rng.randint(0, last)
         end = max(first + 1, int(np.searchsorted(ends, ends[first] + want, side="right")) - 1)
         counts = gram_counts(b" ".join(words[first:end]).decode("utf-8", "replace"))
-        at = np.flatnonzero(counts)
-        out.append(np.concatenate([at, counts[at]]).astype(np.uint16).tobytes())
+        out.append(packed(counts))
     return out
 
 
@@ -116,8 +118,11 @@ def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def train(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, share: float = 0.5) -> Model:
-    """Learns from rows with a language outside fold 0 only: at most ``per_language`` of each language."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    """Learns from rows with a language outside fold 0 only: at most ``per_language`` of each language.
+
+    The driver gets how many of the sample have each n-gram, and each language's centroids and bounds.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     ids = sample_ids(docs, "lang", per_language, ~held_out(F.col("doc_id")))
 
     def run(batches):
@@ -128,53 +133,84 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE
                 rows = []
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                     if text and LETTER.search(text):
-                        counts = gram_counts(text)
-                        at = np.flatnonzero(counts)
-                        rows.append((lang, at.astype(np.int32), counts[at].astype(np.int32), cuts(text)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
-                    names=["lang", "at", "n", "cuts"],
-                )
+                        rows.append((lang, packed(gram_counts(text)), cuts(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["lang", "grams", "cuts"])
+
+    sampled = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    one = sampled.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("lang", "t.text")
+    rows = stage(spark, one.mapInArrow(run, "lang string, grams binary, cuts array<binary>"), "languages")
+    n_rows, n_languages = rows.agg(F.count("*"), F.count_distinct("lang")).first()
+    if n_languages > MOST_LANGUAGES:
+        raise ValueError(f"{n_languages} languages to learn; MOST_LANGUAGES is {MOST_LANGUAGES}")
+
+    def present(batches):
+        import pyarrow as pa
+
+        df = np.zeros(DIM, np.int64)
+        for batch in batches:
+            for grams in batch.column("grams").to_pylist():
+                df[unpacked(grams)[0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM), pa.int64()), pa.array(df, pa.int64())], names=["gram", "n"])
+
+    df = np.zeros(DIM, np.int64)
+    for r in rows.select("grams").mapInArrow(present, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # DIM rows
+        df[r.gram] = r.n
+    idf = weights_of(n_rows, df)
+
+    def learn(key, table):
+        import pyarrow as pa
 
-    sampled = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").mapInArrow(run, "lang string, at array<int>, n array<int>, cuts array<binary>")
-    found = sampled.collect()  # at most per_language rows a language
-    rows = sorted((r.lang, list(r.at), list(r.n)) for r in found)
-    return fit(rows, k, share, [(r.lang, np.frombuffer(c, np.uint16)) for r in found for c in r.cuts])
-
-
-def fit(rows: list[tuple[str, list[int], list[int]]], k: int = CENTROIDS, share: float = 0.5, short: list[tuple[str, np.ndarray]] = ()) -> Model:
-    """``short`` are the languages and sparse counts of cuts; without any, all lengths are held against whole texts."""
-    if not rows:
-        return Model([], np.zeros(DIM), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros((0, BINS + 2)))
-    counts = np.zeros((len(rows), DIM), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        counts[i, at] = n
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    vectors = np.log1p(counts) * idf.astype(np.float32)
+        found = sorted(zip(table.column("grams").to_pylist(), table.column("cuts").to_pylist()))
+        centres, least = language(idf, [unpacked(g) for g, _ in found], [unpacked(c) for _, cs in found for c in cs], k, share)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "centres": pa.array([centres.tobytes()], pa.binary()), "least": pa.array([least.tolist()], pa.list_(pa.float64()))})
+
+    learnt = rows.groupBy("lang").applyInArrow(learn, "lang string, centres binary, least array<double>").collect()  # at most MOST_LANGUAGES rows
+    return assembled(idf, [(r.lang, np.frombuffer(r.centres, np.float32).reshape(-1, DIM), np.array(r.least)) for r in learnt])
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Sparse counts: buckets, then their counts."""
+    at = np.flatnonzero(counts)
+    return np.concatenate([at, counts[at]]).astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).reshape(2, -1).astype(np.int64)
+
+
+def weights_of(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 0.1
+
+
+def language(idf: np.ndarray, texts: list[np.ndarray], short: list[np.ndarray], k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language, and the least accepted cosine by length, from sparse counts of texts and of cuts."""
+    vectors = np.zeros((len(texts), DIM), np.float32)
+    for row, (at, n) in zip(vectors, texts):
+        row[at] = np.log1p(n) * idf[at]
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    languages = sorted({r[0] for r in rows})
-    member = np.array([languages.index(r[0]) for r in rows])
-    parts = [clusters(vectors[member == i], k) for i in range(len(languages))]
-    owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
-    own = [(vectors[member == i] @ parts[i].T).max(axis=1) for i in range(len(languages))]
-    least = np.array([[share * np.quantile(c, 0.01)] * (BINS + 2) for c in own])
-    model = Model(languages, idf, np.concatenate(parts), owner, least)
-    reached: dict[tuple[int, int], list[float]] = {}
-    for lang, packed in short:
-        i, (at, n) = languages.index(lang), packed.reshape(2, -1).astype(np.int64)
+    centres = clusters(vectors, k)
+    least = np.full(BINS + 2, share * np.quantile((vectors @ centres.T).max(axis=1), 0.01))
+    reached: dict[int, list[float]] = {}
+    for at, n in short:
         if n.sum() < SHORT:
-            dense = np.zeros(DIM, np.int64)
-            dense[at] = n
-            reached.setdefault((i, int(n.sum()).bit_length()), []).append(float((parts[i] @ model.vector(dense)).max()))
-    for (i, digits), c in reached.items():
-        least[i, digits] = share * np.quantile(c, 0.01)
-    least[:] = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]  # a shorter text needs no more than a longer one
-    return model
+            v = np.log1p(n) * idf[at]
+            reached.setdefault(int(n.sum()).bit_length(), []).append(float((centres[:, at] @ v).max() / (np.sqrt(v @ v) or 1.0)))
+    for digits, c in reached.items():
+        least[digits] = share * np.quantile(c, 0.01)
+    return centres, np.minimum.accumulate(least[::-1])[::-1]  # a shorter text needs no more than a longer one
+
+
+def assembled(idf: np.ndarray, learnt: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    learnt = sorted(learnt, key=lambda x: x[0])
+    if not learnt:
+        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros((0, BINS + 2)))
+    owner = np.concatenate([np.full(len(c), i) for i, (_, c, _) in enumerate(learnt)])
+    return Model([lang for lang, _, _ in learnt], idf, np.concatenate([c for _, c, _ in learnt]), owner, np.stack([x for _, _, x in learnt]))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected; one row per input row."""
-    shared = spark.sparkContext.broadcast(model)  # (languages x CENTROIDS) x DIM floats
+    shared = spark.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * CENTROIDS * DIM floats
 
     def run(batches):
         import pyarrow as pa

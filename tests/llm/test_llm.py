@@ -561,8 +561,8 @@ def test_short_texts_far_from_every_language_are_rejected(spark):
             assert not any(model.predict(prose(n, 1000 + 100 * i + s, made))[2] for s in range(60))
 
 
-def test_nearest_centroid_is_brute_force():
-    model = langid.fit([(l, *_sparse(t)) for _, t, l, _ in languages()])
+def test_nearest_centroid_is_brute_force(spark):
+    model = langid.train(spark, table(spark, languages()))
     for _, t, _, _ in languages()[:20]:
         v = np.log1p(langid.gram_counts(t)) * model.idf
         cos = [float(c @ v / np.linalg.norm(v)) for c in model.centroids]
@@ -570,10 +570,15 @@ def test_nearest_centroid_is_brute_force():
         assert score == pytest.approx(max(cos), abs=1e-5) and lang == model.languages[model.owner[int(np.argmax(cos))]]
 
 
-def _sparse(text):
-    c = langid.gram_counts(text)
-    at = np.flatnonzero(c)
-    return at.tolist(), c[at].tolist()
+def test_language_samples_are_bounded_by_rows(spark, monkeypatch):
+    rows = languages() + [(1, prose(30, s, ["abra", "kada"]), "xx", "a") for s in range(400)]  # very many texts of one id
+    a, b = langid.train(spark, table(spark, rows)), langid.train(spark, table(spark, rows).repartition(7))
+    assert np.allclose(a.centroids, b.centroids) and np.allclose(a.least, b.least)
+    ids = common.sample_ids(table(spark, rows), "lang", 20, ~common.held_out(F.col("doc_id"))).collect()
+    assert len(ids) == len(set(ids)) == 60
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(spark, table(spark, rows))
 
 
 def test_grams_of_long_texts():
