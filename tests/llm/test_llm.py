@@ -450,8 +450,7 @@ def test_decontamination_against_brute_force(spark):
     got = {(x.doc_id, x.item_id) for x in decontam.search(spark, table(spark, rows), bench).collect()}
     want = brute_matches([(i, t) for i, t, _, _ in rows], [(j, t) for j, t in items if t])
     assert got <= want and {x for x in want if x[0] is not None and x[0] >= 9000 and (x[0] - 9000) % 5} <= got
-    sharded = [b for s in (7, 2048) for b in [{(x.doc_id, x.item_id) for x in _search(spark, table(spark, rows), bench, s)}]]
-    assert sharded[0] == sharded[1] == got
+    assert {(x.doc_id, x.item_id) for x in decontam.search(spark, table(spark, rows), bench, 7).collect()} == got
     clean = decontam.keep_clean(spark, table(spark, rows), bench)
     assert {x.doc_id for x in clean.collect()} == {i for i, *_ in rows} - {i for i, _ in got}
     assert decontam.search(spark, empty(spark), bench).count() == 0
@@ -472,14 +471,17 @@ def test_copies_without_the_last_sentence_match(spark):
     assert kept == {i for i, *_ in rows} - {i for i, _ in want}
 
 
-def _search(spark, docs, bench, shard):
-    old, decontam.SHARD = decontam.SHARD, shard
-    plain = decontam.indexes
-    decontam.indexes = lambda s, i: plain(s, i, shard)
-    try:
-        return decontam.search(spark, docs, bench).collect()
-    finally:
-        decontam.SHARD, decontam.indexes = old, plain
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    items = [(j, prose(20 + j, 300 + j)) for j in range(25)] + [(3, prose(23, 303)), (None, prose(40, 777)), (70, prose(30, 310))]
+    rows = [(i, prose(60, i) + " " + t + " " + prose(60, i + 500), "en", "a") for i, (_, t) in enumerate(items)]
+    docs, bench, found = table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), []
+    monkeypatch.setattr(decontam, "ROUND", 2)
+    for shard in (4, 2048):
+        out = decontam.search(spark, docs, bench, shard).collect()
+        found.append(sorted((x.doc_id, -1 if x.item_id is None else x.item_id, round(x.score, 9), round(x.containment, 9)) for x in out))
+        assert {x.doc_id for x in decontam.keep_clean(spark, docs, bench, shard).collect()} == {i for i, *_ in rows} - {x.doc_id for x in out}
+        assert (26, None) in {(x.doc_id, x.item_id) for x in out}
+    assert found[0] and found[0] == found[1]
 
 
 def test_floors_are_safe():
