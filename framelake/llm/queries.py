@@ -51,7 +51,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)}
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_quality(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
+
+
+OPERATORS = (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)
+QUERIES = {f.__name__: f for f in (*OPERATORS, pii_base_counts, mixing_targets, quality_base_counts)}
+
+BASE_COUNTS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ips AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) AS m FROM docs)
+  WHERE len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0 GROUP BY r),
+runs AS (SELECT r, unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')) AS m FROM docs),
+numbers AS (SELECT r, string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), '') AS d FROM runs),
+cards AS (SELECT r, count(*) AS n FROM numbers WHERE len(d) BETWEEN 12 AND 19
+  AND list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INTEGER WHEN d[i]::INTEGER > 4 THEN 2 * d[i]::INTEGER - 9 ELSE 2 * d[i]::INTEGER END)) % 10 = 0 GROUP BY r),
+phones AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) AS m FROM docs) WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 GROUP BY r)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email, coalesce(ips.n, 0) AS n_ip, coalesce(cards.n, 0) AS n_card, coalesce(phones.n, 0) AS n_phone
+FROM docs LEFT JOIN ips USING (r) LEFT JOIN cards USING (r) LEFT JOIN phones USING (r)"""
+
+TARGETS = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+levels AS (SELECT DISTINCT 3 * source_size / weight AS level FROM s),
+filled AS (SELECT level, sum(least(3 * source_size, level * weight)) AS words, sum(weight) FILTER (WHERE 3 * source_size > level * weight) AS open_weight FROM s, levels GROUP BY level),
+total AS (SELECT sum(source_size)::DOUBLE AS words FROM s),
+low AS (SELECT max(filled.level) AS level, arg_max(filled.words, filled.level) AS words, arg_max(open_weight, filled.level) AS open_weight FROM filled, total WHERE filled.words <= total.words),
+lv AS (SELECT CASE WHEN low.level IS NULL THEN total.words / (SELECT sum(weight) FROM s) ELSE low.level + CASE WHEN total.words > low.words THEN (total.words - low.words) / low.open_weight ELSE 0 END END AS level FROM low, total)
+SELECT doc_id, size, source_size, round(least(3 * source_size, lv.level * weight), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, lv"""
+
+QUALITY_COUNTS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 2))),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM grams, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
+counts AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(rep.n, 0) > 50 * n_words AS base_failed
+FROM counts LEFT JOIN rep USING (r)"""
 
 SUBSTRINGS = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -64,4 +111,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
   coalesce(spans, '') AS spans
 FROM docs LEFT JOIN cut USING (r)"""
 
-ORACLE_SQL = {"op3_licenses": licenses.oracle(), "op5_substring_dedup": SUBSTRINGS}
+ORACLE_SQL = {"op3_licenses": licenses.oracle(), "op5_substring_dedup": SUBSTRINGS, "pii_base_counts": BASE_COUNTS, "mixing_targets": TARGETS, "quality_base_counts": QUALITY_COUNTS}

@@ -812,3 +812,147 @@ def test_many_rows_without_an_id_are_one_join(spark):
     rows = [(None, prose(60, i) + " " + prose(55, 3), "en", "a") for i in range(1500)] + [(5, prose(55, 3), "en", "a")] + [(None, prose(70, 4), "en", "a")] * 300
     got = collections.Counter((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring.dedup(spark, table(spark, rows)).collect())
     assert got == brute_substrings(rows)
+
+
+# ---------------------------------------------------------------- whole queries by brute force
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Neighbours, votes and scores from raw texts, without any index; the settings are those that were learnt."""
+    bad, rows, labels = ["grumf", "blarg", "snirk"], [], []
+    for i in range(260):
+        toxic = i % 4 == 0
+        rows.append((i, prose(25, i) + (" " + " ".join(np.random.default_rng(i).choice(bad, 2)) if toxic else ""), "en", "a"))
+        labels.append((i, 1, int(toxic)))
+    rows += [(900 + i, rows[4 * i][1], "en", "a") for i in range(6)]  # copies of toxic texts, labelled too
+    labels += [(900 + i, 1, 1) for i in range(6)] + [(3, 1, 1)]  # an id with both labels
+    rows += [(990, None, None, None), (991, "", "en", "a")]
+    docs, lab = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, docs, lab)
+
+    def terms(t):
+        out = collections.Counter(common.tokens(t or ""))
+        for w, n in list(out.items()):
+            if len(w) > 5:
+                out[w[:5] + b"*"] += n
+        return out
+
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    truth = {}
+    for i, _, t in labels:
+        truth[i] = max(t, truth.get(i, 0))
+    texts, learnt = {i: t for i, t, *_ in rows}, {}
+    for i in sorted((i for i in truth if fold(i)), key=lambda i: (-truth[i], i)):
+        learnt.setdefault(texts[i], i)
+    ids = sorted(learnt.values(), key=lambda i: (truth[i], i))
+    assert model.ids.tolist() == ids
+    counts = {i: terms(texts[i]) for i in ids}
+    df = collections.Counter(t for c in counts.values() for t in c)
+    idf = lambda t: np.log((1 + len(ids)) / (1 + df[t]))
+
+    def unit(c):
+        w = {t: (1 + np.log(n)) * idf(t) for t, n in c.items()}
+        length = np.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / length for t, x in w.items() if t in model.vocabulary}
+
+    units = {i: unit(c) for i, c in counts.items()}
+    for r in toxicity.predict(spark, docs, model).collect():
+        q = unit(terms(texts.get(r.doc_id)))
+        cosines = sorted(((-round(sum(x * units[i].get(t, 0) for t, x in q.items()), 12), n, i) for n, i in enumerate(ids)))
+        near = [(-c, i) for c, _, i in cosines if c < 0][: model.k]
+        vote = sum(c * c * truth[i] for c, i in near) / (sum(c * c for c, _ in near) + model.doubt)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * vote + model.offset))), abs=1e-6)
+        assert np.allclose(r.evidence_cosine, [c for c, _ in near[:3]], atol=1e-6)
+        assert len(r.evidence) == min(3, len(near))
+    # the settings have the least loss of all, and only the learning folds decide them
+    examples = [(truth[i], i, counts[i]) for i in ids]
+    one = {(b, k, d): toxicity.fit(examples, model_share(truth, fold), None, (b,), (k,), (d,)) for b in toxicity.BOUNDS for k in toxicity.NEIGHBOURS for d in toxicity.DOUBTS}
+    assert any((m.k, m.doubt, len(m.vocabulary)) == (model.k, model.doubt, len(model.vocabulary)) and m.slope == pytest.approx(model.slope) for m in one.values())
+    flipped = spark.createDataFrame([(i, q, 1 - t if fold(i) == 0 else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    other = toxicity.train(spark, docs, flipped)
+    assert (other.slope, other.offset, other.ids.tolist(), other.vocabulary) == (model.slope, model.offset, model.ids.tolist(), model.vocabulary)
+
+
+def model_share(truth, fold):
+    learn = [t for i, t in truth.items() if fold(i)]
+    return sum(learn) / len(learn)
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    rows = odd(spark, 60) + [(6500 + i, " ".join(x.upper() + "!!%" for x in prose(100, i).split()), "en", "a") for i in range(30)]
+    votes = {n: np.array([rule(quality.text_stats(t)) for _, rule, _ in quality.RULES]) for n, (_, t, *_) in enumerate(rows)}
+    v = np.stack([votes[n] for n in range(len(rows))])
+    start = np.array([r[2] for r in quality.RULES])
+    good = 1 / (1 + np.exp(-(np.log(4) + v @ np.log(start / (1 - start)))))
+    for _ in range(200):  # expectation-maximisation over documents, not over patterns
+        log_odds = 0.0
+        for sign, p in ((1, good), (-1, 1 - good)):
+            rates = np.stack([((v == x) * p[:, None]).sum(0) + quality.SMOOTHING for x in (-1, 0, 1)])
+            rates /= rates.sum(0)
+            prior = (p.sum() + quality.SMOOTHING) / (len(rows) + 2 * quality.SMOOTHING)
+            log_odds = log_odds + sign * (np.log(prior) + sum(np.log(rates[v[:, j] + 1, j]) for j in range(v.shape[1])))
+        good = 1 / (1 + np.exp(-np.clip(log_odds, -500, 500)))
+    want = collections.Counter((i, bool(g >= 0.5 and not (s[0] < 50 or 100 * s[4] > 50 * s[0]))) for (i, t, *_), g in zip(rows, good) for s in [brute_stats(t)])
+    assert collections.Counter((r.doc_id, r.kept) for r in quality.judge(spark, table(spark, rows)).collect()) == want
+
+
+def test_mix_of_small_sources_by_brute_force(spark):
+    """Sources of one chunk: the extra turns are those of one landing over the source's rows."""
+    rows = [(i, prose(5 + (i * 37) % 90, i), "en", "abc"[i % 3]) for i in range(600)]
+    docs = table(spark, rows)
+    goal = brute_targets({s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in "abc"})
+    units = {r.doc_id: r.u for r in docs.select("doc_id", mixing._unit(docs).alias("u")).collect()}
+    want = {}
+    for s in "abc":
+        mine = sorted(((units[i], len(t.split()), i) for i, t, _, x in rows if x == s))
+        size = sum(n for _, n, _ in mine)
+        ratio, parts = goal[s] / size, -(-len(mine) // mixing.RESERVE)
+        assert all(n * mixing.GIANT <= size for _, n, _ in mine) and parts == 1
+        p = [ratio - int(ratio + 1e-12)] * len(mine)
+        taken = mixing.landing([n for _, n, _ in mine], p, [n * len(mine) <= size for _, n, _ in mine], f"1{s}:1:0") if p[0] > 1e-9 else p
+        want |= {i: n * (int(ratio + 1e-12) + int(x)) for (_, n, i), x in zip(mine, taken)}
+    assert {r.doc_id: r.taken for r in mixing.mix(spark, docs).collect()} == want
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage in plain Python over the whole fixture; only the models that stages learn are shared with them."""
+    import corpus_pipeline as P
+
+    made = ["abra kada bar kabra dabra".split(), "öln mün ßtün ölmün nün".split()]
+    rows = [(i, prose(70, i, made[i % 2] + VOCABULARY[:60]), ["xx", "yy"][i % 2], "ab"[i % 2]) for i in range(140)]
+    rows += [(200 + i, rows[i][1], "xx", "a") for i in range(8)] + [(230, prose(30, 1) + " " + prose(40, 999), "xx", "b"), (231, "123 !", "xx", "a"), (232, "我们今天去图书馆看书" * 9, None, "a")]
+    rows += [(240 + i, rows[i][1] + f" write bob{i}@example.com or call (456) 555-21{10 + i}", "xx", "b") for i in range(20, 40)]
+    docs = table(spark, rows, extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(0, prose(40, 999))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model, field = langid.train(spark, spark.read.parquet(f"{tmp_path}/documents.parquet")), pii.train()
+    kept = []
+    for i, t, lang, s in rows:
+        v = np.log1p(langid.gram_counts(t)) * model.idf if langid.LETTER.search(t) else None
+        if v is not None:
+            cos = model.centroids @ (v / np.linalg.norm(v))
+            n = int(langid.gram_counts(t).sum())
+            bound = model.least[model.owner[int(np.argmax(cos))], n.bit_length() if n < langid.SHORT else langid.BINS + 1]
+            if max(cos) >= bound:
+                kept.append((i, t, lang, s))
+    assert {231, 232} & {r[0] for r in kept} == set()
+    roots = brute_components([brute_fingerprint(t) for _, t, *_ in kept])
+    least = {}
+    for (i, *_), r in zip(kept, roots):
+        least[r] = min(i, least.get(r, i))
+    kept = [r for r in kept if r[0] in set(least.values())]
+    leaked = {i for i, _ in brute_matches([r[:2] for r in kept], items)}
+    assert leaked == {230}
+    kept = [r for r in kept if r[0] not in leaked]
+    masked = [(i, pii.masked(t, pii.find(field, t)[1]), lang, s, len(pii.masked(t, pii.find(field, t)[1]))) for i, t, lang, s in kept]
+    assert any("<EMAIL>" in t and "<PHONE>" in t for _, t, *_ in masked)
+    want = collections.Counter()
+    for r in mixing.mix(spark, spark.createDataFrame(masked, SCHEMA)).collect():
+        want[r.doc_id] += r.copies
+    out = P.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in out) == +want
+    assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out} == {r for r in masked if want[r[0]]}
+    assert sorted((r.doc_id, r.copy) for r in out) == sorted((i, c + 1) for i, n in want.items() for c in range(n))
