@@ -32,11 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import slices, stage
+from framelake.llm.common import Staged, slices, stage
 
 WINDOW = 50
 GRAM = 16
 LAST = 2**63 - 1
+#: Bits of the filter before a join.
+FILTER_BITS = 2**26
 FACTORS = "array<struct<start:int,length:int,ref_id:bigint,ref_hash:bigint,ref_start:int>>"
 #: Odd multipliers of the two rolling hashes (64-bit).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -123,25 +125,25 @@ def _parsed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """One row for each window to look up: w1, w2, key, d, s."""
+    """One row for each window to look up: w1, w2, key, t, s."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in slices(batch, 64):
-                for key, d, text, asked in zip(*(part.column(c).to_pylist() for c in ("key", "d", "text", "asked"))):
+                for key, t, text, asked in zip(*(part.column(c).to_pylist() for c in ("key", "t", "text", "asked"))):
                     if not asked:
                         continue
                     words = Words(text)
                     at = np.unique(np.concatenate([np.arange(r["s"], r["e"] + 1) for r in asked]))
                     w = [words.runs(at, at + WINDOW, base).view(np.int64) for base in BASES]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w[0], pa.int64()), pa.array(w[1], pa.int64()), pa.array(np.full(len(at), key), pa.int64()), pa.array(np.full(len(at), d), pa.int64()), pa.array(at.astype(np.int32), pa.int32())],
-                        names=["w1", "w2", "key", "d", "s"],
+                        [pa.array(w[0], pa.int64()), pa.array(w[1], pa.int64()), pa.array(np.full(len(at), key), pa.int64()), pa.array(np.full(len(at), t), pa.int64()), pa.array(at.astype(np.int32), pa.int32())],
+                        names=["w1", "w2", "key", "t", "s"],
                     )
 
-    return texts.select("key", "d", "text", "asked").mapInArrow(run, "w1 long, w2 long, key long, d long, s int")
+    return texts.select("key", "t", "text", "asked").mapInArrow(run, "w1 long, w2 long, key long, t long, s int")
 
 
 def factors(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -160,8 +162,8 @@ def factors(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int,
 
 
 def _removed(texts: DataFrame) -> DataFrame:
-    """key, d, n_removed, kept_sha256, spans and factors from texts with their hits (``whole`` blocks, ``single`` windows)."""
-    schema = "key long, d long, n_removed long, kept_sha256 string, spans array<string>, factors " + FACTORS
+    """key, t, n_removed, kept_sha256, spans and factors from texts with their hits (``whole`` blocks, ``single`` windows)."""
+    schema = "key long, t long, n_removed long, kept_sha256 string, spans array<string>, factors " + FACTORS
 
     def run(batches):
         import pyarrow as pa
@@ -171,61 +173,80 @@ def _removed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 rows = []
-                for key, d, text, whole, single in zip(*(part.column(c).to_pylist() for c in ("key", "d", "text", "whole", "single"))):
+                for key, t, text, whole, single in zip(*(part.column(c).to_pylist() for c in ("key", "t", "text", "whole", "single"))):
                     words = Words(text)
                     edge = np.zeros(words.n + 1, np.int64)
-                    parse = factors([(r["s"], r["e"], r["p"]["key"], r["p"]["d"], r["p"]["s"]) for r in whole or []] + [(r["s"], r["s"], r["p"]["key"], r["p"]["d"], r["p"]["s"]) for r in single or []])
+                    parse = factors([(r["s"], r["e"], r["p"]["key"], r["p"]["t"], r["p"]["s"]) for r in whole or []] + [(r["s"], r["s"], r["p"]["key"], r["p"]["t"], r["p"]["s"]) for r in single or []])
                     for s, n, *_ in parse:
                         edge[s] += 1
                         edge[s + n] -= 1
                     gone = np.cumsum(edge)[: words.n] > 0
                     cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    rows.append((key, d, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])], [dict(zip(names, f)) for f in parse]))
+                    rows.append((key, t, int(gone.sum()), words.digest(~gone), [f"{s}:{e}" for s, e in zip(cuts[::2], cuts[1::2])], [dict(zip(names, f)) for f in parse]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), parts))],
-                    names=["key", "d", "n_removed", "kept_sha256", "spans", "factors"],
+                    names=["key", "t", "n_removed", "kept_sha256", "spans", "factors"],
                 )
 
-    return texts.select("key", "d", "text", "whole", "single").mapInArrow(run, schema)
+    return texts.select("key", "t", "text", "whole", "single").mapInArrow(run, schema)
+
+
+def _wanted(rows: DataFrame, keys: list[str], by: DataFrame) -> DataFrame:
+    """``rows`` less most of those that ``by`` has no partner for: what a join with it needs not shuffle.
+
+    A bit for each hash value modulo FILTER_BITS; the broadcast table has FILTER_BITS / 64 rows at most, whatever the
+    input. Where it fills up it lets more through, which changes no result.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    bits = by.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6)).join(F.broadcast(bits), "_slot")
+    return marked.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_at", "_slot", "_bits")
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans ("start:end" word offsets of what is removed), factors; a row per row.
 
-    A factor names the words of the document, and the document (id, and hash of its words) and word that they repeat; a
+    A factor names the words of the document, and the document (id, and hash of its text) and word that they repeat; a
     null id is 2 ** 63 - 1.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    parsed = stage(spark, _parsed(docs).withColumn("key", key).withColumn("d", F.xxhash64("digest")), "parsed")
+    parsed = stage(spark, _parsed(docs).withColumn("key", key), "parsed")
     long = parsed.where(F.col("n_words") >= WINDOW)
-    # one row for each sequence of words, that of the smallest id: (key, d) names it, t its text
+    # one text for each sequence of words, of the smallest id: (key, t) names it
     firsts = stage(spark, long.groupBy("digest").agg(F.min(F.struct("key", "t")).alias("f")).select("digest", F.col("f.key").alias("first"), F.col("f.t").alias("first_t")), "firsts")
     leading = long.join(firsts, "digest").where("key = first and t = first_t")
-    blocks = leading.select("key", "d", "t", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "d", "t", "x.*")
+    blocks = leading.select("key", "t", F.explode(F.arrays_zip("a", "b", "s", "e")).alias("x")).select("key", "t", "x.*")
     shared = blocks.groupBy("a").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), (F.min("b") != F.max("b")).alias("differ")).where("lo < hi")
-    shared = stage(spark, shared.select("a", "differ"), "shared")
-    blocks = stage(spark, blocks.join(shared, "a"), "blocks")
+    shared = Staged(spark, shared.select("a", "differ"), "shared")
+    blocks = Staged(spark, _wanted(blocks, ["a"], shared.df).join(shared.df, "a"), "blocks")
+    shared.drop()
     # minima are written before they are joined: then the rows that they join can be split where a key is hot
-    place = F.min(F.struct("key", "d", "s")).alias("p")
-    earliest = stage(spark, blocks.groupBy("a", "b").agg(place), "earliest")
-    known = blocks.join(earliest, ["a", "b"])
+    place = F.min(F.struct("key", "t", "s")).alias("p")
+    earliest = Staged(spark, blocks.df.groupBy("a", "b").agg(place), "earliest")
+    known = blocks.df.join(earliest.df, ["a", "b"])
     hit, asked = F.struct("s", "e", "p"), F.struct("s", "e")
-    needed = known.groupBy("key", "d", "t").agg(
+    needed = known.groupBy("key", "t").agg(
         F.collect_set(F.when(F.col("key") > F.col("p.key"), hit)).alias("whole"),
         F.collect_set(F.when((F.col("key") == F.col("p.key")) & F.col("differ"), asked)).alias("asked"),
     )
-    needed = needed.where("size(whole) > 0 or size(asked) > 0")
-    rows = docs.select(key.alias("key"), F.xxhash64("text").alias("t"), "text")
-    texts = stage(spark, rows.join(needed, ["key", "t"]).dropDuplicates(["key", "t"]), "texts")
-    windows = _windows(texts)
+    needed = Staged(spark, needed.where("size(whole) > 0 or size(asked) > 0"), "needed")
+    blocks.drop()
+    earliest.drop()
+    rows = _wanted(docs.select(key.alias("key"), F.xxhash64("text").alias("t"), "text"), ["key", "t"], needed.df)
+    texts = Staged(spark, rows.join(needed.df, ["key", "t"]).dropDuplicates(["key", "t"]), "texts")
+    needed.drop()
+    windows = _windows(texts.df)
     index = windows.groupBy("w1", "w2").agg(place, F.max("key").alias("last")).where("p.key < last").drop("last")
-    index = stage(spark, index, "index")
-    found = windows.join(index, ["w1", "w2"]).where("key > p.key").groupBy("key", "d").agg(F.collect_list(F.struct("s", "p")).alias("single"))
-    cut = stage(spark, _removed(texts.join(found, ["key", "d"], "left")), "removed")
-    out = parsed.select("doc_id", "key", "n_words", "digest", "d").join(firsts.drop("first_t"), "digest", "left").join(cut, ["key", "d"], "left")
+    index = Staged(spark, index, "index")
+    found = windows.join(index.df, ["w1", "w2"]).where("key > p.key").groupBy("key", "t").agg(F.collect_list(F.struct("s", "p")).alias("single"))
+    cut = stage(spark, _removed(texts.df.join(found, ["key", "t"], "left")), "removed").withColumnsRenamed({"key": "first", "t": "first_t"})
+    texts.drop()
+    index.drop()
+    out = parsed.select("doc_id", "key", "n_words", "digest", "t").join(firsts, "digest", "left").join(cut, ["first", "first_t"], "left")
     copy = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("key") > F.col("first")), F.lit(False))
     zero = F.lit(0).cast("int")
-    whole = F.array(F.struct(zero.alias("start"), F.col("n_words").cast("int").alias("length"), F.col("first").alias("ref_id"), F.col("d").alias("ref_hash"), zero.alias("ref_start")))
+    whole = F.array(F.struct(zero.alias("start"), F.col("n_words").cast("int").alias("length"), F.col("first").alias("ref_id"), F.col("first_t").alias("ref_hash"), zero.alias("ref_start")))
     return out.select(
         "doc_id",
         "n_words",
