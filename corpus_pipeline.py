@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import decontam, langid, mixing, pii, simhash
-from framelake.llm.common import documents, stage
+from framelake.llm.common import Staged, documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written to the shared folder as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages in order; what each returns is written to the shared folder as Parquet, read again, and deleted when the next
+    stage has written its own."""
+    docs, before = documents(spark, sf_dir), None
     for name, function in STAGES[:-1]:
-        docs = stage(spark, function(spark, docs, sf_dir), f"pipeline-{name}")
+        held = Staged(spark, function(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = held.df, held
     return STAGES[-1][1](spark, docs, sf_dir)
