@@ -38,7 +38,7 @@ WINDOW = 50
 GRAM = 16
 LAST = 2**63 - 1
 #: Bits of the filter before a join.
-FILTER_BITS = 2**26
+FILTER_BITS = 2**24
 FACTORS = "array<struct<start:int,length:int,ref_id:bigint,ref_hash:bigint,ref_start:int>>"
 #: Odd multipliers of the two rolling hashes (64-bit).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
