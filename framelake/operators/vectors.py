@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.vector import dot, literal
 
-#: Query vectors that are broadcast at once; more are searched in further rounds over the corpus.
+#: Query vectors that are broadcast, or that one task of the grid holds.
 QUERIES = 4096
+#: Corpus vectors in one task of the grid, in one matrix product, and centroids in one tile of pairs.
+CORPUS, PIECE, TILE = 65_536, 2048, 1024
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, keys: list[str]) -> DataFrame:
@@ -18,46 +22,91 @@ def nearest(vectors: DataFrame, query: list[float], k: int, keys: list[str]) ->
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cosine"), *keys)) - 1)
 
 
+class _Best:
+    """The k best (cosine, id) of each of a few queries over pieces of a corpus."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: float | None, skip_self: bool):
+        self.ids, self.q, self.k, self.least, self.skip_self = ids, q, k, least, skip_self
+        self.floor = np.full(len(ids), -np.inf if least is None else least)
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, mine: np.ndarray, m: np.ndarray) -> None:
+        cos = self.q @ m.T
+        if self.skip_self:
+            cos[self.ids[:, None] == mine[None, :]] = -np.inf
+        floor = self.floor
+        if cos.shape[1] > self.k:  # all that reach the piece's k-th best: ties at the edge stay for the merge
+            floor = np.maximum(floor, np.partition(cos, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((cos >= floor[:, None]) & (cos > -np.inf))
+        at, other, c = (np.concatenate(x) for x in zip(self.found, (i, mine[j], cos[i, j])))
+        order = np.lexsort((other, -c, at))
+        at, other, c = at[order], other[order], c[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < self.k
+        self.found = at[keep], other[keep], c[keep]
+        full = place == self.k - 1
+        self.floor[at[full]] = c[full]
+
+    def batch(self):
+        import pyarrow as pa
+
+        at, other, c = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at], pa.int64()), pa.array(other, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "neighbour_id", "cosine"])
+
+
+def _pieces(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of an Arrow batch (id, embedding)."""
+    for at in range(0, batch.num_rows, PIECE):
+        piece = batch.slice(at, PIECE)
+        yield piece.column(0).to_numpy(zero_copy_only=False), np.stack(piece.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+FOUND = "query_id long, neighbour_id long, cosine double"
+
+
 def batch_nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", least: float | None = None, skip_self: bool = True) -> DataFrame:
     """(query_id, neighbour_id, cosine, rank from 0): the k nearest rows of ``vectors`` for each query.
 
-    Queries are broadcast in rounds of QUERIES; each batch of vectors meets them in one matrix product and keeps its
-    own k best, so what is shuffled is k rows a query and batch; the final ranking is by query.
+    Up to QUERIES queries are broadcast and meet the corpus in place. More make a grid: tiles of queries by parts of the
+    corpus, each cell a task of bounded size. Either way a task keeps k rows a query; the final ranking is by query.
     """
-    n = queries.count()
-    rounds = max(1, -(-n // QUERIES))
-    out = None
-    for r in range(rounds):
-        part = queries.where(F.pmod(F.xxhash64(id), F.lit(rounds)) == r) if rounds > 1 else queries
-        rows = part.select(id, "embedding").orderBy(id).collect()  # about QUERIES rows
-        if not rows:
-            continue
+    corpus = vectors.select(F.col(id).cast("long").alias("id"), "embedding")
+    asked = queries.select(F.col(id).cast("long").alias("id"), "embedding")
+    n = asked.count()
+    if not n:
+        out = spark.createDataFrame([], FOUND)
+    elif n <= QUERIES:
+        rows = asked.orderBy("id").collect()  # QUERIES rows at most
         shared = spark.sparkContext.broadcast((np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.float64)))
 
-        def run(batches, shared=shared):
+        def run(batches):
+            best = _Best(*shared.value, k, least, skip_self)
+            for batch in batches:
+                for mine, m in _pieces(batch):
+                    best.add(mine, m)
+            yield best.batch()
+
+        out = corpus.mapInArrow(run, FOUND)
+    else:
+        tiles, parts = -(-n // QUERIES), max(1, -(-corpus.count() // CORPUS))
+
+        def cell(left, right):
             import pyarrow as pa
 
-            ids, q = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    piece = batch.slice(at, 2048)
-                    mine = piece.column(0).to_numpy()
-                    m = np.stack(piece.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    cos = q @ m.T
-                    if skip_self:
-                        cos[ids[:, None] == mine[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(mine, cos.shape), -cos), axis=1)[:, :k]
-                    c = np.take_along_axis(cos, order, axis=1)
-                    ok = c > -np.inf if least is None else c >= least
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, order.shape[1])[ok.ravel()]), pa.array(mine[order].ravel()[ok.ravel()]), pa.array(c.ravel()[ok.ravel()])],
-                        names=["query_id", "neighbour_id", "cosine"],
-                    )
-
-        found = vectors.select(F.col(id).cast("long"), "embedding").mapInArrow(run, "query_id long, neighbour_id long, cosine double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, neighbour_id long, cosine double, rank int")
+            best = None
+            for batch in left.sort_by("id").combine_chunks().to_batches():
+                best = _Best(batch.column("id").to_numpy(), np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64), k, least, skip_self)
+            for batch in right.combine_chunks().to_batches() if best else ():
+                for mine, m in _pieces(batch):
+                    best.add(mine, m)
+            schema = pa.schema([("query_id", pa.int64()), ("neighbour_id", pa.int64()), ("cosine", pa.float64())])
+            return pa.Table.from_batches([best.batch()] if best else [], schema)
+
+        spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        deal = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
+        q = asked.select("id", "embedding", deal(1, tiles).alias("tile")).withColumn("part", spread(parts))
+        c = corpus.select("id", "embedding", deal(2, parts).alias("part")).withColumn("tile", spread(tiles))
+        out = q.groupBy("tile", "part").cogroup(c.groupBy("tile", "part")).applyInArrow(lambda a, b: cell(a.select(["id", "embedding"]), b.select(["id", "embedding"])), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return out.withColumn("rank", rank - 1).where(F.col("rank") < k)
 
@@ -83,9 +132,33 @@ def moved(centroid, n, e):
     return normalise(F.zip_with(centroid, e, lambda c, x: c.cast("double") * n + x.cast("double")))
 
 
-def close_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Pairs of groups (a < b) whose centroids have at least that cosine. For groups, not documents: one row a person."""
-    a = rows.select(F.col(key).alias("a"), F.col("centroid").alias("ca"))
-    b = rows.select(F.col(key).alias("b"), F.col("centroid").alias("cb"))
-    similarity = dot(F.col("ca"), F.col("cb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+def close_pairs(rows: DataFrame, key: str, least: float, changed: str | None = None) -> DataFrame:
+    """Pairs of groups (a < b) whose centroids have at least that cosine; with ``changed``, one of them at least is marked.
+
+    A theta join as a grid: rows are dealt to tiles of about TILE, and each pair of tiles is one matrix product, which
+    returns close pairs only. For groups, not documents: one row a person. Without a changed row, tiles aren't compared.
+    """
+    mark = F.coalesce(F.col(changed), F.lit(False)) if changed else F.lit(True)
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col("centroid").alias("c"), mark.alias("m"))
+    tiles = max(1, -(-rows.count() // TILE))
+    mine = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.struct(F.least("t", o).alias("i"), F.greatest("t", o).alias("j")))
+
+    def cell(key, table):
+        import pyarrow as pa
+
+        i, j = (k.as_py() for k in key)
+        ids, t, m = table.column("id").to_numpy(), table.column("t").to_numpy(), table.column("m").to_numpy(zero_copy_only=False).astype(bool)
+        pairs = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(ids) and m.any():
+            c = np.stack(table.column("c").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64)
+            cos = c @ c.T
+            allowed = (ids[:, None] < ids[None, :]) & (m[:, None] | m[None, :])
+            if i != j:
+                allowed &= t[:, None] != t[None, :]
+            x, y = np.nonzero(allowed & (cos >= least))
+            pairs = [ids[x], ids[y], cos[x, y]]
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64()), "similarity": pa.array(pairs[2], pa.float64())})
+
+    dealt = mine.withColumn("cell", F.explode(cells)).select("id", "c", "m", "t", "cell.i", "cell.j")
+    return dealt.groupBy("i", "j").applyInArrow(cell, "a long, b long, similarity double")
