@@ -21,6 +21,14 @@ def folded_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
 
 
+CJK = r"[\x{4E00}-\x{9FFF}]"
+
+
+def index_tokens(text: Column) -> Column:
+    """What texts are indexed by and queries are asked by: folded tokens, runs of CJK as their bigrams."""
+    return folded_tokens(F.when(text.rlike(CJK), segmented(text)).otherwise(text))
+
+
 def segmented(text: Column) -> Column:
     """ASCII text: white space collapsed. Other text: runs of CJK become overlapping bigrams, as no dictionary is at hand."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

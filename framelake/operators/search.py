@@ -74,7 +74,7 @@ def tags(channels: Column, names: tuple[str, ...] = CHANNELS) -> Column:
 
 @dataclass
 class Library:
-    """media (see plans.entities), vectors (file_hash, embedding), segments, texts (file_hash, text)."""
+    """media (see plans.entities), vectors (file_hash, embedding), segments, texts (file_hash, text; copies may repeat)."""
 
     media: DataFrame
     vectors: DataFrame
@@ -116,7 +116,7 @@ def channels(lib: Library, q: Query) -> DataFrame:
     always = F.lit(True).alias("passed")
     if q.kind != "audio":
         one = lib.texts.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(q.text).alias("text"))
-        parts.append(textsearch.bm25(lib.texts, one, wide, few=True).select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
+        parts.append(textsearch.bm25(lib.texts, one, wide).select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
     named = textsearch.by_file_name(lib.media, q.text, wide)
     rank = F.row_number().over(Window.orderBy("id")) - 1
     parts.append(named.select(F.lit(3).alias("channel"), "file_hash", rank.alias("rank"), always, *span))

@@ -37,6 +37,12 @@ def missing_paths(media: DataFrame, listing: DataFrame) -> DataFrame:
     return media.where("not deleted").join(listing, "file_path", "left_anti").select("file_path")
 
 
+def known_paths(asked: DataFrame, media: DataFrame, folders: DataFrame) -> DataFrame:
+    """Of the paths that are asked for (file_path), those of the catalogue's files or folders: only they may be opened."""
+    known = media.select("file_path").unionByName(folders.select(F.col("path").alias("file_path")))
+    return asked.join(known, "file_path", "left_semi")
+
+
 def changed_files(media: DataFrame, listing: DataFrame) -> DataFrame:
     """Listed files (file_path, file_size, ...) that are new or whose size differs."""
     known = media.where("not deleted").select("file_path", "file_size")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.media import kind_of
 from framelake.functions.text import base_name
 
+_local: dict[str, str | None] = {}
+
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Supported files below a folder: file_path, file_name, file_size, mtime, kind, file_hash. Hidden folders are skipped."""
@@ -28,6 +33,24 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """A table written to the folder that all executors share (``spark.checkpoint.dir``), and read again.
+
+    What is used several times is computed once, and a lost executor costs no recomputation. Only a single-process session
+    (``local[...]``) may leave the setting unset; it gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _local.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="framelake-")
+        _local[spark.sparkContext.applicationId] = folder
+    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
