@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from framelake.functions.text import extension
 
@@ -124,18 +123,12 @@ def similarity_fit(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @F.pandas_udf(BinaryType())
 def wav_pack(samples: pd.Series) -> pd.Series:
-    """Mono 16 kHz 16-bit WAV from float samples, clamped to ±1."""
-
-    def one(x) -> bytes:
-        out = io.BytesIO()
-        with wave.open(out, "wb") as w:
-            w.setnchannels(1)
-            w.setsampwidth(2)
-            w.setframerate(16_000)
-            w.writeframes(np.round(np.clip(np.asarray(x if x is not None else [], np.float64), -1, 1) * 32767).astype("<i2").tobytes())
-        return out.getvalue()
-
-    return samples.map(one)
+    """Mono 16 kHz 16-bit WAV from float samples, clamped to ±1; all rows of a batch are converted at once."""
+    parts = [np.asarray(x if x is not None else [], np.float64) for x in samples]
+    data = np.round(np.clip(np.concatenate([np.zeros(0), *parts]), -1, 1) * 32767).astype("<i2").tobytes()
+    ends = np.cumsum([0] + [2 * len(x) for x in parts])
+    head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16_000, 32_000, 2, 16) + b"data"
+    return pd.Series([b"RIFF" + struct.pack("<I", 36 + b - a) + head + struct.pack("<I", b - a) + data[a:b] for a, b in zip(ends, ends[1:])], dtype=object)
 
 
 def suppressed(boxes: DataFrame, image: str, threshold: float = 0.4) -> DataFrame:
@@ -161,25 +154,14 @@ def ctc_decode(steps: DataFrame, line: str, alphabet: list[str]) -> DataFrame:
 
     A row that isn't a distribution is taken as logits.
     """
-
-    def best(p: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in p:
-            x = np.asarray(x, float)
-            i = int(np.argmax(x))
-            is_dist = x.min() >= 0 and abs(x.sum() - 1) < 1e-2
-            rows.append((i, float(x[i]) if is_dist else float(1 / np.exp(x - x[i]).sum())))
-        return pd.DataFrame(rows, columns=["cls", "prob"])
-
-    from pyspark.sql import Window
-
-    pick = F.pandas_udf(best, "cls int, prob double")
-    order = Window.partitionBy(line).orderBy("step")
-    rows = steps.select(line, "step", pick("probs").alias("b")).select(line, "step", "b.*")
-    kept = rows.withColumn("before", F.lag("cls").over(order)).withColumn("take", (F.col("cls") != 0) & ~F.col("cls").eqNullSafe(F.col("before")))
+    rows = steps.select(line, "step", F.transform("probs", lambda x: x.cast("double")).alias("p")).withColumn("most", F.array_max("p"))
+    is_dist = (F.array_min("p") >= 0) & (F.abs(F.aggregate("p", F.lit(0.0), lambda s, x: s + x) - 1) < 1e-2)
+    prob = F.when(is_dist, F.col("most")).otherwise(1 / F.aggregate("p", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most"))))
+    rows = rows.select(line, "step", (F.array_position("p", F.col("most")) - 1).cast("int").alias("cls"), prob.alias("prob"))
+    before = F.lag("cls").over(Window.partitionBy(line).orderBy("step"))
+    taken = F.when((F.col("cls") != 0) & ~F.col("cls").eqNullSafe(F.col("before")), F.struct("step", "cls", "prob"))
+    out = rows.withColumn("before", before).groupBy(line).agg(F.array_sort(F.collect_list(taken)).alias("r"))
     table = F.array(*[F.lit(c) for c in alphabet])
-    taken = F.filter(F.array_sort(F.collect_list(F.struct("step", "take", "cls", "prob"))), lambda r: r["take"])
-    out = kept.groupBy(line).agg(taken.alias("r"))
     return out.select(
         line,
         F.array_join(F.transform("r", lambda r: F.element_at(table, r["cls"])), "").alias("text"),
@@ -187,6 +169,49 @@ def ctc_decode(steps: DataFrame, line: str, alphabet: list[str]) -> DataFrame:
     )
 
 
+def aligned(pixels: np.ndarray, fit: tuple[float, float, float, float], side: int = 112, mirror: bool = False) -> np.ndarray:
+    """A square of bilinear samples of an image (height, width, channels), as bytes.
+
+    ``fit`` (a, b, tx, ty, see ``similarity_fit``) maps pixels of the square to points of the image; what lies outside the
+    image is 0; ``mirror`` flips the square from left to right.
+    """
+    a, b, tx, ty = fit
+    v, u = np.mgrid[0:side, 0:side].astype(float)
+    u = side - 1 - u if mirror else u
+    x, y = a * u - b * v + tx, b * u + a * v + ty
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    h, w = pixels.shape[:2]
+
+    def at(dx: int, dy: int) -> np.ndarray:
+        i, j = y0 + dy, x0 + dx
+        inside = (i >= 0) & (j >= 0) & (i < h) & (j < w)
+        share = (x - x0 if dx else 1 - (x - x0)) * (y - y0 if dy else 1 - (y - y0))
+        return pixels[np.where(inside, i, 0), np.where(inside, j, 0)] * (share * inside)[..., None]
+
+    return np.floor(sum(at(dx, dy) for dx in (0, 1) for dy in (0, 1)) + 0.5).astype(np.uint8)
+
+
+def sharpness(grey: Column) -> Column:
+    """Sharpness of a grey image given as rows of pixels: ``laplacian_variance`` as a vectorised function."""
+    return _sharpness(grey)
+
+
+@F.pandas_udf(DoubleType())
+def _sharpness(images: pd.Series) -> pd.Series:
+    return pd.Series([laplacian_variance(np.stack(x)) for x in images], dtype=float)
+
+
+def box_rows(images: DataFrame, key: str, probability: str) -> DataFrame:
+    """(key, x, y, w, h, score) of the text boxes of each probability map, given as rows of probabilities."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [(k, *b) for k, m in zip(pdf[key], pdf[probability]) for b in text_boxes(np.stack(m).astype(float))]
+            yield pd.DataFrame(out, columns=[key, "x", "y", "w", "h", "score"])
+
+    return images.select(key, probability).mapInPandas(run, f"{key} {dict(images.dtypes)[key]}, x double, y double, w double, h double, score double")
+
+
 def text_boxes(probability: np.ndarray, low: float = 0.3, mean_least: float = 0.6, least: int = 3, unclip: float = 1.5) -> list[tuple[float, float, float, float, float]]:
     """Boxes (x, y, w, h, score) of 4-connected regions of a probability map, grown by area * unclip / perimeter."""
     mask = probability > low

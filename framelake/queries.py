@@ -17,6 +17,7 @@ from framelake.functions import text as T
 from framelake.functions import vector as X
 from framelake.operators import browse, doctor, people, queue, search, state, textsearch, vectors
 from framelake.plans import entities as E
+from framelake.sources import tables
 from framelake.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,8 +41,8 @@ TEXTS = "texts AS (SELECT md5(text) AS file_hash, min(text) AS text FROM documen
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.groupBy(F.md5(F.col("text").cast("binary")).alias("file_hash")).agg(F.first("text").alias("text"))
+    """A row a document: copies of a text repeat their hash."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.md5(F.col("text").cast("binary")).alias("file_hash"), "text")
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,9 +321,9 @@ def person_list(spark, sf_dir):
     return people.person_list(E.faces(spark, sf_dir)).withColumn("mean_quality", F.round("mean_quality", 6))
 
 
-@query(E.sql("SELECT person_id, n, round(centroid[1], 5) AS c0, round(centroid[64], 5) AS c63 FROM people", E.FACES, PEOPLE))
+@query(E.sql("SELECT person_id, n, unnest(range(0, 64))::INTEGER AS pos, round(unnest(centroid), 5) AS x FROM people", E.FACES, PEOPLE))
 def person_centroids(spark, sf_dir):
-    return people.person_centroids(E.faces(spark, sf_dir)).select("person_id", "n", F.round(F.get("centroid", F.lit(0)), 5).alias("c0"), F.round(F.get("centroid", F.lit(63)), 5).alias("c63"))
+    return people.person_centroids(E.faces(spark, sf_dir)).select("person_id", "n", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
 @query(E.sql("SELECT person_id, face_id, row_number() OVER (PARTITION BY person_id ORDER BY quality DESC, confidence DESC, face_id)::INTEGER AS rank FROM faces WHERE person_id IS NOT NULL QUALIFY rank <= 3", E.FACES))
@@ -347,16 +348,48 @@ def face_vote(spark, sf_dir):
     return out.select("face_id", "person_id", F.round("weight", 5).alias("weight"), F.round("similarity", 5).alias("similarity"))
 
 
-@query(E.sql("SELECT a.person_id AS a, b.person_id AS b, round(list_inner_product(a.centroid, b.centroid), 5) AS similarity FROM people a, people b WHERE a.person_id < b.person_id AND list_inner_product(a.centroid, b.centroid) >= -0.2 AND NOT (a.person_id < 3 AND b.person_id < 3) AND NOT (a.person_id = 4 AND b.person_id = 5)", E.FACES, PEOPLE))
+@query(
+    E.sql(
+        """SELECT CASE WHEN b.person_id > 6 THEN b.person_id ELSE a.person_id END AS a, CASE WHEN b.person_id > 6 THEN a.person_id ELSE b.person_id END AS b, round(list_inner_product(a.centroid, b.centroid), 5) AS similarity, a.person_id > 6 OR b.person_id > 6 AS named
+FROM people a, people b WHERE a.person_id < b.person_id AND list_inner_product(a.centroid, b.centroid) >= -0.2 AND NOT (a.person_id > 6 AND b.person_id > 6) AND NOT (a.person_id = 4 AND b.person_id = 5) ORDER BY list_inner_product(a.centroid, b.centroid) DESC, 1, 2 LIMIT 15""",
+        E.FACES,
+        PEOPLE,
+    )
+)
 def merge_suggestions(spark, sf_dir):
-    rows = people.person_centroids(E.faces(spark, sf_dir)).withColumn("name", F.when(F.col("person_id") < 3, F.concat(F.lit("person "), F.col("person_id").cast("string"))))
+    rows = people.person_centroids(E.faces(spark, sf_dir)).withColumn("name", F.when(F.col("person_id") > 6, F.concat(F.lit("person "), F.col("person_id").cast("string"))))
     dismissed = spark.range(1).select(F.lit(4).cast("long").alias("a"), F.lit(5).cast("long").alias("b"))
-    return people.suggestions(rows, dismissed, -0.2, 100).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return people.suggestions(rows, dismissed, -0.2, 15).withColumn("similarity", F.round("similarity", 5))
+
+
+def constraints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Faces (poor ones wait to be called), names, rejections and dismissed pairs of people."""
+    faces = E.faces(spark, sf_dir).withColumn("dormant", F.col("quality") < 0.2)
+    names = spark.range(10).select(F.col("id").alias("person_id"), F.when(F.col("id") > 6, F.concat(F.lit("person "), F.col("id").cast("string"))).alias("name"))
+    rejections = faces.where("person_id is null and face_id % 5 = 0").select("face_id", (F.col("face_id") % 10).alias("person_id"))
+    return faces, names, rejections, spark.range(1).select(F.lit(4).cast("long").alias("a"), F.lit(5).cast("long").alias("b"))
 
 
 @query()
 def cluster_plan(spark, sf_dir):
-    return people.cluster_plan(spark, E.faces(spark, sf_dir))
+    return people.cluster_plan(spark, *constraints(spark, sf_dir))
+
+
+@query(
+    E.sql(
+        """SELECT face_id, CASE WHEN coalesce(CASE WHEN person_id IS NULL AND face_id % 3 = 0 THEN 4 WHEN person_id IS NULL AND face_id % 3 = 1 THEN -(face_id % 7) - 1 ELSE person_id END, -99) = 8 THEN 2
+  ELSE CASE WHEN person_id IS NULL AND face_id % 3 = 0 THEN 4 WHEN person_id IS NULL AND face_id % 3 = 1 THEN -(face_id % 7) - 1 ELSE person_id END END AS person_id, person_id IS NULL AND face_id % 3 = 2 AS dormant FROM faces""",
+        E.FACES,
+    )
+)
+def plan_applied(spark, sf_dir):
+    """A plan for all faces, assigned ones too, that also merges person 8 into 2."""
+    faces = E.faces(spark, sf_dir)
+    action = F.element_at(F.array(F.lit("assign"), F.lit("create"), F.lit("dormant")), (F.col("face_id") % 3 + 1).cast("int"))
+    target = F.when(F.col("face_id") % 3 == 0, F.lit(4)).when(F.col("face_id") % 3 == 1, F.col("face_id") % 7).otherwise(-1)
+    plan = faces.select("face_id", action.alias("action"), target.cast("long").alias("target"))
+    gone = spark.range(1).select(F.lit(8).cast("long").alias("face_id"), F.lit("merge").alias("action"), F.lit(2).cast("long").alias("target"))
+    return people.apply_plan(faces, plan.unionByName(gone)).select("face_id", "person_id", "dormant")
 
 
 # ---------------------------------------------------------------- queue
@@ -583,31 +616,54 @@ def boxes(spark, sf_dir) -> DataFrame:
     return e.select(F.col("label").alias("image"), at(0).alias("x"), at(1).alias("y"), (at(2) + 0.05).alias("w"), (at(3) + 0.05).alias("h"), at(4).alias("confidence"), "vec_id")
 
 
-@query()
+BOXES = """bx AS (SELECT label AS image, vec_id, abs(embedding[1])::DOUBLE AS x, abs(embedding[2])::DOUBLE AS y, abs(embedding[3])::DOUBLE + 0.05 AS w, abs(embedding[4])::DOUBLE + 0.05 AS h, abs(embedding[5])::DOUBLE AS confidence FROM embeddings)"""
+#: Rows go one by one, best first; what is kept so far goes along as a list.
+GREEDY = """ordered AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, x, y) AS n FROM bx),
+walk AS (SELECT image, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, v BIGINT)[] AS kept FROM (SELECT DISTINCT image FROM bx)
+  UNION ALL SELECT o.image, o.n, CASE WHEN len(list_filter(walk.kept, lambda k: greatest(0, least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * greatest(0, least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y))
+      / (k.w * k.h + o.w * o.h - greatest(0, least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * greatest(0, least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)) + 1e-6) > 0.4)) > 0
+    THEN walk.kept ELSE list_append(walk.kept, {'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 'v': o.vec_id}) END FROM walk JOIN ordered o ON o.image = walk.image AND o.n = walk.n + 1)"""
+
+
+@query("WITH RECURSIVE " + BOXES + ",\n" + GREEDY + "\nSELECT bx.* FROM bx WHERE vec_id IN (SELECT unnest(kept).v FROM walk WHERE (image, n) IN (SELECT (image, max(n)) FROM ordered GROUP BY image))")
 def nms_boxes(spark, sf_dir):
     return M.suppressed(boxes(spark, sf_dir), "image")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT label AS line, vec_id AS step, embedding[1:27]::DOUBLE[] AS p FROM embeddings),
+b AS (SELECT line, step, list_position(p, list_max(p)) - 1 AS cls, CASE WHEN list_min(p) >= 0 AND abs(list_sum(p) - 1) < 1e-2 THEN list_max(p) ELSE 1 / list_sum(list_transform(p, lambda x: exp(x - list_max(p)))) END AS prob FROM p),
+t AS (SELECT *, lag(cls) OVER (PARTITION BY line ORDER BY step) AS before FROM b)
+SELECT line, coalesce(string_agg(chr((96 + cls)::INTEGER), '' ORDER BY step) FILTER (WHERE cls <> 0 AND cls IS DISTINCT FROM before), '') AS text, round(coalesce(avg(prob) FILTER (WHERE cls <> 0 AND cls IS DISTINCT FROM before), 0), 6) AS score FROM t GROUP BY line"""
+)
 def ctc_decode(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     steps = e.select(F.col("label").alias("line"), F.col("vec_id").alias("step"), F.slice("embedding", 1, 27).alias("probs"))
-    return M.ctc_decode(steps, "line", list("abcdefghijklmnopqrstuvwxyz"))
+    return M.ctc_decode(steps, "line", list("abcdefghijklmnopqrstuvwxyz")).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    """WITH pcm AS (SELECT vec_id, list_transform(embedding, lambda x: (round_even(greatest(-1, least(1, x::DOUBLE)) * 32767, 0)::INTEGER + 65536) % 65536) AS v FROM embeddings),
+hx AS (SELECT vec_id, 2 * len(v) AS n, array_to_string(list_transform(v, lambda x: format('{:02x}{:02x}', x % 256, x // 256)), '') AS h FROM pcm)
+SELECT vec_id, md5(unhex('52494646' || format('{:02x}{:02x}0000', (36 + n) % 256, (36 + n) // 256) || '57415645666d74201000000001000100803e0000007d0000020010006461746' || '1' || format('{:02x}{:02x}0000', n % 256, n // 256) || h)) AS digest, (44 + n)::INTEGER AS size FROM hx"""
+)
 def wav_pack(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", F.md5(M.wav_pack("embedding")).alias("digest"), F.octet_length(M.wav_pack("embedding")).alias("size"))
+    packed = e.select("vec_id", M.wav_pack("embedding").alias("wav"))
+    return packed.select("vec_id", F.md5("wav").alias("digest"), F.octet_length("wav").alias("size"))
 
 
-@query("WITH s AS (SELECT label, count(*) AS n, sum(sx) AS x, sum(sy) AS y, sum(sx*sx+sy*sy) AS q, sum(sx*dx+sy*dy) AS p, sum(sx*dy-sy*dx) AS r, sum(dx) AS u, sum(dy) AS v FROM (SELECT label, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, 2*embedding[1]::DOUBLE + 1 AS dx, 2*embedding[2]::DOUBLE - 3 AS dy FROM embeddings) GROUP BY label) SELECT label, round((p-(x*u+y*v)/n)/(q-(x*x+y*y)/n), 6) AS a, abs(round((r-(x*v-y*u)/n)/(q-(x*x+y*y)/n), 6)) AS b FROM s")
+@query(
+    """WITH s AS (SELECT label, count(*) AS n, sum(sx) AS x, sum(sy) AS y, sum(sx*sx+sy*sy) AS q, sum(sx*dx+sy*dy) AS p, sum(sx*dy-sy*dx) AS r, sum(dx) AS u, sum(dy) AS v FROM (SELECT label, sx, sy, 2*sx - 0.5*sy + 1 + e AS dx, 0.5*sx + 2*sy - 3 - e AS dy FROM (SELECT label, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, 0.1*embedding[3]::DOUBLE AS e FROM embeddings)) GROUP BY label),
+f AS (SELECT *, (p-(x*u+y*v)/n)/(q-(x*x+y*y)/n) AS a, (r-(x*v-y*u)/n)/(q-(x*x+y*y)/n) AS b FROM s) SELECT label, round(a, 5) AS a, round(b, 5) AS b, round((u - a*x + b*y)/n, 5) AS tx, round((v - b*x - a*y)/n, 5) AS ty FROM f"""
+)
 def similarity_fit(spark, sf_dir):
+    """Points turned, scaled and shifted, with a disturbance."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    x, y = F.get("embedding", F.lit(0)).cast("double"), F.get("embedding", F.lit(1)).cast("double")
-    pts = e.select("label", x.alias("sx"), y.alias("sy"), (2 * x + 1).alias("dx"), (2 * y - 3).alias("dy"))
-    return M.similarity_fit(pts, ["label"]).select("label", F.round("a", 6).alias("a"), F.abs(F.round("b", 6)).alias("b"))
-
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    x, y, off = at(0), at(1), 0.1 * at(2)
+    pts = e.select("label", x.alias("sx"), y.alias("sy"), (2 * x - 0.5 * y + 1 + off).alias("dx"), (0.5 * x + 2 * y - 3 - off).alias("dy"))
+    return M.similarity_fit(pts, ["label"]).select("label", *[F.round(c, 5).alias(c) for c in ("a", "b", "tx", "ty")])
 
 
 # ---------------------------------------------------------------- order-dependent steps, boxes, edits
@@ -631,11 +687,7 @@ def search_history(spark, sf_dir):
     return S.collapsed_history(c, "conv_id", "turn", "text")
 
 
-BOXES = """WITH bx AS (SELECT label AS image, vec_id, abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y, abs(embedding[3]::DOUBLE) + 0.05 AS w, abs(embedding[4]::DOUBLE) + 0.05 AS h FROM embeddings)
-"""
-
-
-@query(BOXES + "SELECT a.vec_id AS a, b.vec_id AS b, round(i / (a.w * a.h + b.w * b.h - i + 1e-6), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i FROM bx a JOIN bx b ON a.image = b.image AND b.vec_id = a.vec_id + 10) t")
+@query("WITH " + BOXES + " SELECT a.vec_id AS a, b.vec_id AS b, round(i / (a.w * a.h + b.w * b.h - i + 1e-6), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i FROM bx a JOIN bx b ON a.image = b.image AND b.vec_id = a.vec_id + 10) t")
 def box_overlap(spark, sf_dir):
     b = boxes(spark, sf_dir)
     one = b.select("image", "vec_id", F.struct("x", "y", "w", "h").alias("p"))
@@ -706,15 +758,129 @@ def changed_files(spark, sf_dir):
     return state.changed_files(m, listing).select("file_path")
 
 
-@query("WITH " + STATS + " SELECT count(*) AS n FROM samp")
+def pooled_stats(branch: str, own: str) -> str:
+    return f"""SELECT '{branch}' AS branch, any_value(g.n) AS n, round(any_value(g.mean), 6) AS mean, round(any_value(g.mad), 6) AS mad, count(*) FILTER (WHERE {PASSED}) AS passed FROM near, g_{own} g"""
+
+
+def pooled_parts(own: str, source: str) -> str:
+    return f"""m_{own} AS (SELECT count(*) AS n, avg(s) AS mean, stddev_pop(s) AS sd, list(s ORDER BY s)[count(*) // 2 + 1] AS median FROM {source}),
+g_{own} AS (SELECT any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd, any_value(median) AS median, list(abs(s - median) ORDER BY abs(s - median))[count(*) // 2 + 1] AS mad FROM {source}, m_{own})"""
+
+
+@query(
+    "WITH " + STATS + ", few AS (SELECT list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS s FROM embeddings WHERE vec_id < 9 UNION ALL SELECT s FROM samp),\n"
+    + pooled_parts("few", "few") + ",\n" + pooled_parts("all", "samp")
+    + ",\nnear AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 40)\n"
+    + pooled_stats("few", "few") + " UNION ALL " + pooled_stats("many", "all")
+)
 def gate_pooled(spark, sf_dir):
-    e = search.baseline(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
-    few = e.limit(0).withColumn("sample_id", F.col("sample_id"))
-    return search.pooled_sample(few, e).agg(F.count("*").alias("n"))
+    """A kind with nine vectors borrows the other's sample; one with enough of its own doesn't."""
+    e, q = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), vector_of(spark, sf_dir, 7)
+    many = search.baseline(e, "vec_id")
+    few, near = search.baseline(e.where("vec_id < 9"), "vec_id"), vectors.nearest(e, q, 40, ["vec_id"])
+    out = []
+    for branch, own in (("few", few), ("many", many)):
+        sample = search.pooled_sample(own, many)
+        passed = search.gated(near, sample, q).agg(F.count_if("passed").alias("passed"))
+        stats = search.gate_stats(sample, q).select(F.lit(branch).alias("branch"), "n", F.round("mean", 6).alias("mean"), F.round("mad", 6).alias("mad"))
+        out.append(stats.crossJoin(F.broadcast(passed)))  # one row each
+    return out[0].unionByName(out[1])
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + BOXES + """,
+good AS (SELECT image, x, y * 300 + h / 2 AS centre, trim(' w' || vec_id) AS text FROM bx WHERE confidence * 4 >= 0.5),
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY centre, x) AS n FROM good),
+walk AS (SELECT image, n, centre AS start, 0 AS line, x, text FROM o WHERE n = 1
+  UNION ALL SELECT o.image, o.n, CASE WHEN o.centre - walk.start >= 10 THEN o.centre ELSE walk.start END, CASE WHEN o.centre - walk.start >= 10 THEN walk.line + 1 ELSE walk.line END, o.x, o.text FROM walk JOIN o ON o.image = walk.image AND o.n = walk.n + 1)
+SELECT image, string_agg(text, chr(10) ORDER BY line, x) AS text, count(*) AS lines FROM walk GROUP BY image"""
+)
 def recognised_lines(spark, sf_dir):
     b = boxes(spark, sf_dir)
     text = F.concat(F.lit(" w"), F.col("vec_id").cast("string"))
     return S.lines_text(b.select("image", "x", (F.col("y") * 300).alias("y"), "w", "h", text.alias("text"), (F.col("confidence") * 4).alias("score")), "image")
+
+
+# ---------------------------------------------------------------- further operators
+
+NOTHING = FUSED.replace(QV, "[0.0 for i in range(64)]::DOUBLE[]").replace("IMG!_1", "zzqqxx").replace("IMG_1", "zzqqxx")
+
+
+@query(E.sql("SELECT file_hash, id, kind, round(score, 6) AS score, matched_by, start_ms, end_ms, low_confidence, rank FROM fin WHERE rank < 12", E.MEDIA, REPS, E.VECTORS, E.SEGMENTS, TEXTS, NOTHING))
+def low_confidence_search(spark, sf_dir):
+    """Nothing stands out in any channel: the nearest hits come back, marked."""
+    out = search.search(library(spark, sf_dir), search.Query("zzqqxx", [0.0] * 64, 30))
+    return out.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(E.sql("SELECT task_type, count(*) AS n FROM tasks WHERE NOT (status = 'error' AND task_type = 'embed') GROUP BY task_type", E.TASKS))
+def recoverable_errors(spark, sf_dir):
+    t = E.tasks(spark, sf_dir)
+    said = F.when((F.col("status") == "error") & (F.col("task_type") == "embed"), F.concat(F.lit(queue.NOT_READY + ": "), F.col("id").cast("string"))).otherwise(F.col("error_msg"))
+    return queue.without_recoverable_errors(t.withColumn("error_msg", said)).groupBy("task_type").agg(F.count("*").alias("n"))
+
+
+@query(E.sql("""SELECT '{"id":' || id || ',"file_hash":"' || file_hash || '","copies":' || copies || '}' AS value FROM reps""", E.MEDIA, REPS))
+def json_output(spark, sf_dir):
+    return tables.json_lines(browse.representatives(E.media(spark, sf_dir)).select("id", "file_hash", "copies"))
+
+
+@query("""WITH p AS (SELECT n_name AS name, n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey % 8 <= 4 OR n_nationkey * 150000 >= 2000000 OR n_regionkey = 0),
+pts AS (SELECT name, i, round(k * 3.14159 + i // 2 * 0.01, 3) AS lng, round(k * 1.6180339 - i // 3 * 0.02, 3) AS lat FROM p, (SELECT unnest(range(0, 8)) AS i)),
+kept AS (SELECT *, lag(lng) OVER (PARTITION BY name ORDER BY i) AS a, lag(lat) OVER (PARTITION BY name ORDER BY i) AS b FROM pts)
+SELECT name, count(*)::INTEGER AS points, round(sum(lng), 3) AS lng, round(sum(lat), 3) AS lat FROM kept WHERE a IS NULL OR lng <> a OR lat <> b GROUP BY name""")
+def basemap_places(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k = F.col("n_nationkey").cast("double")
+    ring = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((k * 3.14159 + F.floor(i / 2) * 0.01).alias("lng"), (k * 1.6180339 - F.floor(i / 3) * 0.02).alias("lat")))
+    places = n.select(F.col("n_name").alias("name"), (k % 8).alias("scalerank"), (k * 150_000).alias("pop"), (F.col("n_regionkey") == 0).alias("capital"), ring.alias("ring"))
+    total = lambda c: F.round(F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c]), 3)
+    return tables.basemap(places).select("name", F.size("ring").alias("points"), total("lng").alias("lng"), total("lat").alias("lat"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN starts_with(trim(text), 'task:') THEN trim(text) ELSE 'task: search query | text: ' || trim(text) END AS prompt FROM conversations")
+def query_prefix(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select("conv_id", "turn", T.prefixed(F.col("text")).alias("prompt"))
+
+
+@query("""WITH l AS (SELECT vec_id, embedding[(y - 1) * 8 + x + 1]::DOUBLE + embedding[(y + 1) * 8 + x + 1]::DOUBLE + embedding[y * 8 + x]::DOUBLE + embedding[y * 8 + x + 2]::DOUBLE - 4 * embedding[y * 8 + x + 1]::DOUBLE AS v
+  FROM embeddings, (SELECT unnest(range(1, 6)) AS y), (SELECT unnest(range(1, 6)) AS x)) SELECT vec_id, round(avg(v * v) - avg(v) * avg(v), 5) AS sharpness FROM l GROUP BY vec_id""")
+def image_sharpness(spark, sf_dir):
+    return images(spark, sf_dir).select("vec_id", F.round(M.sharpness(F.col("pixels")), 5).alias("sharpness"))
+
+
+def images(spark: SparkSession, sf_dir: str, value=lambda x: x.cast("double")) -> DataFrame:
+    """Each vector as an image of 8 x 8 pixels."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.slice("embedding", y * 8 + 1, F.lit(8)), value)).alias("pixels"))
+
+
+@query(
+    """WITH RECURSIVE cell AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(1.0, abs(embedding[i + 1]::DOUBLE) * 6) AS p FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE least(1.0, abs(embedding[i + 1]::DOUBLE) * 6) > 0.3),
+reach AS (SELECT vec_id, y * 8 + x AS root, y, x FROM cell
+  UNION SELECT c.vec_id, r.root, c.y, c.x FROM reach r JOIN cell c ON c.vec_id = r.vec_id AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+own AS (SELECT vec_id, y, x, min(root) AS region FROM reach GROUP BY vec_id, y, x),
+box AS (SELECT vec_id, region, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(p) AS score FROM own JOIN cell USING (vec_id, y, x) GROUP BY vec_id, region),
+good AS (SELECT *, (x1 - x0 + 1) * (y1 - y0 + 1) * 1.5 / (2 * (x1 - x0 + 1 + y1 - y0 + 1)) AS grow FROM box WHERE least(x1 - x0, y1 - y0) >= 2 AND score >= 0.6)
+SELECT vec_id, round(greatest(0, x0 - grow), 5) AS x, round(greatest(0, y0 - grow), 5) AS y, round(least(8, x1 + 1 + grow) - greatest(0, x0 - grow), 5) AS w, round(least(8, y1 + 1 + grow) - greatest(0, y0 - grow), 5) AS h, round(score, 5) AS score FROM good"""
+)
+def text_boxes(spark, sf_dir):
+    maps = images(spark, sf_dir, lambda x: F.least(F.lit(1.0), F.abs(x.cast("double")) * 6))
+    return M.box_rows(maps, "vec_id", "pixels").select("vec_id", *[F.round(c, 5).alias(c) for c in ("x", "y", "w", "h", "score")])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN h ELSE w END AS width, CASE WHEN event_id % 3 = 0 THEN w ELSE h END AS height FROM (SELECT event_id, 100 + event_id % 4000 AS w, 100 + event_id * 7 % 3000 AS h FROM events)")
+def size_parse(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.concat(F.lit("Stream #0:0: Video: h264, yuv420p, "), (100 + i % 4000).cast("string"), F.lit("x"), (100 + i * 7 % 3000).cast("string"), F.lit(", 25 fps"), F.when(i % 3 == 0, " rotate : 90").otherwise(""))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.parsed_size(said).alias("s")).select("event_id", "s.width", "s.height")
+
+
+@query(E.sql("SELECT CASE WHEN id % 3 = 0 THEN file_path ELSE '/lib/' || folder END AS file_path FROM media WHERE id % 3 = 0 OR id % 5 = 0", E.MEDIA))
+def known_paths(spark, sf_dir):
+    m = E.media(spark, sf_dir)
+    folder = F.concat(F.lit("/lib/"), F.col("folder"))
+    other = F.when(F.col("id") % 5 == 0, folder).otherwise(F.concat(folder, F.lit("/../x")))
+    asked = m.select(F.when(F.col("id") % 3 == 0, F.col("file_path")).otherwise(other).alias("file_path"))
+    return state.known_paths(asked, m, m.select(folder.alias("path")).distinct())

@@ -283,7 +283,7 @@ A, B, C = identity(11), identity(22), identity(33)
 
 
 def plan(pending, dormant=(), persons=(), rejected=None, dismissed=()):
-    return people.plan_clusters(pending, list(dormant), list(persons), rejected or {}, set(dismissed))
+    return people.plan_clusters(pending, [(*f, 0.3)[:3] for f in dormant], list(persons), rejected or {}, set(dismissed))
 
 
 def test_clustering_groups_identities():
@@ -448,3 +448,35 @@ def test_doctor_sees_plans(spark):
     a, b = spark.range(3), spark.range(3).withColumnRenamed("id", "j")
     assert "nested loop join" in doctor.plan_warnings(a.join(b, a.id < b.j)) or "cartesian product" in doctor.plan_warnings(a.join(b, a.id < b.j))
     assert doctor.plan_warnings(a.where("id > 1")) == []
+
+
+def test_one_tokeniser_for_texts_and_queries(spark):
+    from framelake.operators.textsearch import bm25
+
+    docs = spark.createDataFrame([("a", "我们今天去图书馆看书"), ("b", "今天天气很好"), ("c", "Die Bücher im Regal"), ("a", "我们今天去图书馆看书"), ("d", None), ("e", "plain words")], "file_hash string, text string")
+    asked = spark.createDataFrame([(1, "图书馆"), (2, "天气"), (3, "bucher"), (4, "plain"), (5, "没有")], "query_id int, text string")
+    got = {(r.query_id, r.file_hash) for r in bm25(docs, asked, 5).collect()}
+    assert got == {(1, "a"), (2, "b"), (3, "c"), (4, "e")}
+
+
+def test_copies_of_a_text_count_once(spark):
+    from framelake.operators.textsearch import bm25
+
+    texts = [(f"h{i}", f"red {'blue ' * (i % 4)}tail{i}") for i in range(30)]
+    asked = spark.createDataFrame([(1, "blue tail7")], "query_id int, text string")
+    rank = lambda rows: [(r.file_hash, round(r.score, 9)) for r in bm25(spark.createDataFrame(rows, "file_hash string, text string"), asked, 50).orderBy("rank").collect()]
+    assert rank(texts) == rank(texts + texts[3:9] * 4) and len(rank(texts)) == 22
+
+
+def test_aligned_square_is_a_bilinear_sample():
+    r = np.random.default_rng(2)
+    pixels = r.integers(0, 256, (20, 30, 3)).astype(np.uint8)
+    assert (M.aligned(pixels, (1, 0, 3, 2), 10) == pixels[2:12, 3:13]).all()
+    assert (M.aligned(pixels, (1, 0, 3, 2), 10, mirror=True) == pixels[2:12, 3:13][:, ::-1]).all()
+    half = M.aligned(pixels, (1, 0, 3.5, 2), 10)
+    assert (half == np.floor((pixels[2:12, 3:13].astype(float) + pixels[2:12, 4:14]) / 2 + 0.5)).all()
+    turned = M.aligned(pixels, (0, 1, 15, 3), 6)  # x = 15 - v, y = 3 + u
+    assert all((turned[v, u] == pixels[3 + u, 15 - v]).all() for v in range(6) for u in range(6))
+    assert not M.aligned(pixels, (1, 0, 500, 0), 8).any()
+    edge = M.aligned(pixels, (1, 0, 28.5, 0), 3)  # beyond the last column counts as 0
+    assert (edge[:, 1] == np.floor(pixels[:3, 29] / 2 + 0.5)).all() and not edge[:, 2].any()
