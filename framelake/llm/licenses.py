@@ -95,7 +95,6 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     every = sorted({h for r in known for h in r.t})
     classes = {c: sorted({h for r in known if r.cls == c for h in r.t}) for c in sorted({r.cls for r in known})}
     texts = _shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").drop("text")
-    texts = texts.where(F.arrays_overlap("sh", F.lit(every).cast("array<bigint>")))
     marked = F.transform("sh", lambda x, i: F.when(x.isin(every), F.struct(x.alias("x"), i.alias("i"))))
     texts = _once(texts, F.filter(marked, lambda o: o.isNotNull()), "own").where(F.size("own") > 0)
     have = F.array_distinct(F.transform("own", lambda o: o["x"]))
