@@ -23,6 +23,15 @@ def lags(rows: DataFrame, key: str, order: str, expected_ms: float) -> DataFrame
     return rows.withColumn("lag_ms", F.greatest(F.lit(0.0), late / 1000.0 - expected_ms))
 
 
+def stalled(rows: DataFrame, key: str, order: str, done: str, checks: int = 20) -> DataFrame:
+    """Whether so many checks in a row before this one found the same number of finished tasks; a change starts anew."""
+    w = Window.partitionBy(key).orderBy(order)
+    fresh = (~F.col(done).eqNullSafe(F.lag(done).over(w)) | F.lag(order).over(w).isNull()).cast("int")
+    spell = rows.withColumn("_fresh", fresh).withColumn("_spell", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    n = F.row_number().over(Window.partitionBy(key, "_spell").orderBy(order))
+    return spell.withColumn("stalled", n > checks).drop("_spell")
+
+
 def collapsed_history(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Recent searches: white space normalised, empty ones left out.
 

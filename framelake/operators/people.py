@@ -277,7 +277,7 @@ def apply_plan(faces: DataFrame, plan: DataFrame) -> DataFrame:
 
 def merged(faces: DataFrame, mapping: DataFrame) -> DataFrame:
     """Faces after people were merged: mapping (from_id, into_id)."""
-    out = faces.join(F.broadcast(mapping) if mapping.count() <= 100_000 else mapping, faces.person_id == mapping.from_id, "left")
+    out = faces.join(mapping, faces.person_id == mapping.from_id, "left")
     return out.withColumn("person_id", F.coalesce("into_id", "person_id")).drop("from_id", "into_id")
 
 

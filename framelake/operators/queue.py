@@ -46,6 +46,12 @@ def next_task(tasks: DataFrame, kind: str | None = None) -> DataFrame:
     return (rows.where(F.col("task_type") == kind) if kind else rows).orderBy(F.desc("priority"), "id").limit(1)
 
 
+def schedule(tasks: DataFrame, paused: list[str], urgent: str = "urgent", limit: int = 50) -> DataFrame:
+    """What runs next: pending tasks of kinds that aren't paused; urgent ones (a boolean column) jump ahead of all others."""
+    rows = tasks.where((F.col("status") == "pending") & ~F.col("task_type").isin(paused))
+    return rows.orderBy(F.desc(F.coalesce(F.col(urgent), F.lit(False))), F.desc("priority"), "id").limit(limit)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Latest state of each task from a log of (id, status, error_msg, ts, seq); retries are counted."""
     last = F.max_by(F.struct("status", "error_msg"), F.struct("ts", "seq"))

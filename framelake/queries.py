@@ -884,3 +884,19 @@ def known_paths(spark, sf_dir):
     other = F.when(F.col("id") % 5 == 0, folder).otherwise(F.concat(folder, F.lit("/../x")))
     asked = m.select(F.when(F.col("id") % 3 == 0, F.col("file_path")).otherwise(other).alias("file_path"))
     return state.known_paths(asked, m, m.select(folder.alias("path")).distinct())
+
+
+@query(
+    """WITH f AS (SELECT event_id, event_type, event_id // 700 AS done, CASE WHEN event_id // 700 IS DISTINCT FROM lag(event_id // 700) OVER (PARTITION BY event_type ORDER BY event_id) THEN 1 ELSE 0 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY event_id) AS spell FROM f)
+SELECT event_id, row_number() OVER (PARTITION BY event_type, spell ORDER BY event_id) > 20 AS stalled FROM g"""
+)
+def stall_watch(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.floor(F.col("event_id") / 700).alias("done"))
+    return S.stalled(e, "event_type", "event_id", "done").select("event_id", "stalled")
+
+
+@query(E.sql("SELECT id, task_type, priority FROM tasks WHERE status = 'pending' AND task_type NOT IN ('thumbnail', 'ocr') ORDER BY (task_type = 'face' AND id % 7 = 0) DESC, priority DESC, id LIMIT 40", E.TASKS))
+def urgent_first(spark, sf_dir):
+    t = E.tasks(spark, sf_dir).withColumn("urgent", (F.col("task_type") == "face") & (F.col("id") % 7 == 0))
+    return queue.schedule(t, ["thumbnail", "ocr"], limit=40).select("id", "task_type", "priority")
