@@ -35,8 +35,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 CHUNK = 4096
 LEFT = 2
-#: Sources up to this number are joined by broadcast; beyond, by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: Sources whose names and numbers take up to so many bytes are joined by broadcast; beyond, by a shuffle.
+BROADCAST_BYTES = 16 << 20
 UNIT = "u string, size long, p double, reserve boolean"
 #: Units of a source, of those no larger than its mean, that only the landing decides (all of a small source's).
 RESERVE = 512
@@ -184,8 +184,9 @@ def _decided(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame
     and the hint that a join with the sources takes. rows: source, s, u, size.
     """
     goal = stage(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))).withColumn("s", _key(F.col("source"))), "targets")
-    n_sources, largest = goal.agg(F.count("*"), F.max("n_docs")).first()
-    hint = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
+    width = 2 * F.coalesce(F.octet_length("source"), F.lit(0)) + 64  # a name stands in two columns
+    n_bytes, largest = goal.agg(F.sum(width), F.max("n_docs")).first()
+    hint = F.broadcast if (n_bytes or 0) <= BROADCAST_BYTES else lambda x: x
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shared = rows.where("size > 0").groupBy("s", "u").agg(F.first("size").alias("size"), F.count("*").alias("n"))
     shared = shared.join(hint(goal.select("s", "n_docs", "source_size", ratio.alias("ratio"))), "s").withColumn("giant", F.col("size") * GIANT > F.col("source_size"))
