@@ -191,7 +191,7 @@ def before_features(text: str, start: int) -> tuple[str, ...]:
     out = [f"cue={CUE_OF[w.lower()]}" for w in LETTERS.findall(before)[-3:] if w.lower() in CUE_OF]
     if ("=" in before or ":" in before) and ASSIGNED.search(before):
         out.append("assigned")
-    if start and (text[start - 1].isalnum() or text[start - 1] in "+@_%"):
+    if start and (text[start - 1].isalnum() or text[start - 1] in "+@_%" or text[start - 1] in ".-" and text[max(0, start - 2) : start - 1].isalnum()):
         out.append("cut-left")
     return tuple(out)
 
@@ -395,16 +395,28 @@ def _entity(rng: random.Random) -> tuple[str, str, str]:
         a, b, c = digits(3), digits(3), digits(4)
         return kind, cue, rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"{a} {b} {c}" if cue else f"({a}) {b} {c}"))
     if rng.random() < 0.4:
-        return kind, "", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        signs = letters + rng.choice(("", "234567"))  # a key may have no digit
+        return kind, "", "AKIA" + "".join(rng.choice(signs) for _ in range(16))
     code = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((12, 18, 32, 40))))
     return kind, rng.choice(CUES["secret"][:6]) + rng.choice(("=", " = ", ": ", ' = "', '="')), code
 
 
+def _unchecked(rng: random.Random) -> str:
+    """A number of a card's length and grouping whose check digit is wrong."""
+    number = "".join(rng.choice("0123456789") for _ in range(rng.choice((13, 14, 15, 16, 16, 16))))
+    if luhn(number):
+        number = number[:-1] + str((int(number[-1]) + rng.randint(1, 9)) % 10)
+    mark = rng.choice(("", "", " ", "-"))
+    return mark.join(number[i : i + 4] for i in range(0, len(number), 4))
+
+
 def _plain(rng: random.Random) -> str:
     """Numbers, codes and names that are nobody's data."""
     n = rng.randint
     return rng.choice(
         (
+            _unchecked(rng), _unchecked(rng),
             f"version {n(1, 9)}.{n(0, 9)}", f"{n(1900, 2030)}", f"{n(1, 999)}.{n(10, 99)}", f"{n(2000, 2030)}-{n(10, 12)}-{n(10, 28)}", f"{n(10, 23)}:{n(10, 59)}:{n(10, 59)}",
             f"{n(1, 9)},{n(100, 999)},{n(100, 999)}", f"{n(300, 999)}.{n(300, 999)}.{n(300, 999)}.{n(300, 999)}", f"{n(10**9, 10**10)}", f"{n(10**12, 10**13)}00", f"{n(1, 99)} of {n(100, 999)}",
             f"{n(1900, 1960)}-{n(1970, 2020)}", f"{n(1, 9)}.{n(1, 9)}.{n(100, 999)}", f"the key {_word(rng)}", f"token {_word(rng)} {_word(rng)}", f"{n(100, 999)}, {n(100, 999)}, {n(1000, 9999)}", f"@{_word(rng)}", f"{n(100, 999)}%", f"{n(10000, 99999)} {_word(rng)}",

@@ -118,6 +118,16 @@ def test_every_trained_form_is_found_alone_in_prose():
     assert not wrong["key"] and sum(wrong.values()) <= 0.03 * 1500
 
 
+def test_numbers_with_a_wrong_check_digit_are_no_cards():
+    r, field, found = random.Random(8), pii.train(), 0
+    for _ in range(1000):
+        for form in (pii._unchecked(r), pii._plain(r)):
+            text = f"ti erlo an {form} quear os"
+            base, every = pii.find(field, text)
+            found += len(every) > len(base)
+    assert found <= 10
+
+
 def test_the_field_generalises():
     field, wrong = pii.train(), 0
     made = pii.sentences(120, 77)
