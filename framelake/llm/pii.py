@@ -19,9 +19,12 @@ any length, with or without spaces: work is linear in the text, as a segment's l
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
-from functools import lru_cache
+from collections import deque
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -206,25 +209,33 @@ class Region:
     """A stretch of text with its candidate segments: pairs of atom numbers."""
 
     def __init__(self, text: str, atoms: list[tuple[int, int]], walls: frozenset = frozenset()):
-        self.text, self.atoms = text, atoms
-        self.segments: list[tuple[int, int]] = []
-        n = len(atoms)
-        head = [text[s] for s, _ in atoms]
-        wall = [s in walls for s, _ in atoms]
-        shown = [not h.isspace() and not w for h, w in zip(head, wall)]
-        strong = [not w and (h.isdigit() or h == "@" or e - s >= 10 or text[s:e].lower() == "at") for h, w, (s, e) in zip(head, wall, atoms)]
-        ends = [v and (h.isalnum() or h in "=+/_") for v, h in zip(shown, head)]
+        self.text, self.atoms, self.walls = text, atoms, walls
+
+    def candidates(self) -> Iterator[tuple[int, int]]:
+        """Segments by start, then by end; only the flags of the next SEGMENT atoms are held."""
+        text, atoms, walls, n = self.text, self.atoms, self.walls, len(self.atoms)
+        flags: deque[tuple[bool, bool, bool, bool]] = deque()  # wall, shown, strong, may end a segment
         for i in range(n):
-            if not shown[i]:
-                continue
-            good, start = False, atoms[i][0]
-            for j in range(i, min(n, i + SEGMENT)):
-                length = atoms[j][1] - start
-                if wall[j] or length > LONGEST:
-                    break
-                good = good or strong[j]
-                if good and length >= 7 and ends[j]:
-                    self.segments.append((i, j + 1))
+            while len(flags) < SEGMENT and i + len(flags) < n:
+                s, e = atoms[i + len(flags)]
+                head, wall = text[s], s in walls
+                shown = not head.isspace() and not wall
+                strong = not wall and (head.isdigit() or head == "@" or e - s >= 10 or text[s:e].lower() == "at")
+                flags.append((wall, shown, strong, shown and (head.isalnum() or head in "=+/_")))
+            if flags[0][1]:
+                good, start = False, atoms[i][0]
+                for j, (wall, _, strong, ends) in enumerate(flags, i):
+                    length = atoms[j][1] - start
+                    if wall or length > LONGEST:
+                        break
+                    good = good or strong
+                    if good and length >= 7 and ends:
+                        yield i, j + 1
+            flags.popleft()
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int]]:
+        return list(self.candidates())
 
     def features(self, segment: tuple[int, int]) -> tuple[str, ...]:
         s, e = self.atoms[segment[0]][0], self.atoms[segment[1] - 1][1]
@@ -248,24 +259,26 @@ class Field:
             found = self.sums[features] = sum((self.weights.get(f, self.zero) for f in features), self.zero)
         return found
 
-    def scores(self, region: Region) -> list[np.ndarray]:
+    def scores(self, region: Region) -> Iterator[np.ndarray]:
+        """By kind, for each candidate in order; what a start or an end adds is held while candidates share it."""
         text, atoms, total, bias = region.text, region.atoms, self.total, self.weights["bias"]
-        before, after, out = {}, {}, []
-        for i, j in region.segments:
-            if i not in before:
-                before[i] = bias + total(before_features(text, atoms[i][0]))
+        at, before, after = -1, bias, {}
+        for i, j in region.candidates():
+            if i != at:
+                for k in range(at + 1, i + 1):
+                    after.pop(k, None)
+                at, before = i, bias + total(before_features(text, atoms[i][0]))
             if j not in after:
                 after[j] = total(after_features(text, atoms[j - 1][1]))
-            out.append(total(span_features(text[atoms[i][0] : atoms[j - 1][1]])) + before[i] + after[j])
-        return out
+            yield total(span_features(text[atoms[i][0] : atoms[j - 1][1]])) + before + after[j]
 
     def best(self, region: Region) -> list[tuple[int, int, str]]:
-        """Viterbi over segments: the spans of the best segmentation."""
+        """Viterbi over segments: the spans of the best segmentation. Only segments with a positive score are held."""
         ending: dict[int, list] = {}
-        for (i, j), score in zip(region.segments, self.scores(region)):
-            k = int(np.argmax(score))
+        for (i, j), score in zip(region.candidates(), self.scores(region)):
+            k = score.argmax()
             if score[k] > 0:
-                ending.setdefault(j, []).append((i, float(score[k]), k))
+                ending.setdefault(j, []).append((i, float(score[k]), int(k)))
         best, back = [0.0], [None]
         for j in range(1, len(region.atoms) + 1):
             top, how = best[j - 1], None
@@ -285,28 +298,27 @@ class Field:
         return out[::-1]
 
 
-def triggers(text: str) -> list[re.Match]:
+def triggers(text: str) -> Iterator[re.Match]:
     """What no entity of any kind can do without, in order; the rarer patterns run only where their words occur.
 
     Spaced addresses may have short numbers only, and access keys neither digits nor a word before them.
     """
-    found = list(NUMBER_OR_AT.finditer(text))
-    found += DOTTED.finditer(text)
+    found = [NUMBER_OR_AT.finditer(text), DOTTED.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
-        found += KEY_LIKE.finditer(text)
+        found.append(KEY_LIKE.finditer(text))
     low = text.lower()
     if "at)" in low or "at]" in low:
-        found += SPELLED_AT.finditer(text)
+        found.append(SPELLED_AT.finditer(text))
     if any(w in low for w in SECRET_WORDS):
-        found += SECRET.finditer(text)
-    return sorted(found, key=lambda m: m.start())
+        found.append(SECRET.finditer(text))
+    return heapq.merge(*found, key=lambda m: m.start())
 
 
 RUN = re.compile(r"[A-Za-z0-9]*")
 
 
-def regions(text: str, base: list[tuple[int, int, str]]) -> list[Region]:
-    """Disjoint stretches around triggers that base spans leave over; base spans are walls no segment crosses."""
+def regions(text: str, base: list[tuple[int, int, str]]) -> Iterator[Region]:
+    """One after the other: disjoint stretches around triggers that base spans leave over; base spans are walls no segment crosses."""
     inside = joined(base)
     stretches: list[list[int]] = []
     at = 0
@@ -320,7 +332,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> list[Region]:
             stretches[-1][1] = max(stretches[-1][1], e)
         else:
             stretches.append([s, e])
-    out, past, at = [], 0, 0
+    past, at = 0, 0
     for s, e in stretches:
         least = max(past, s - 200)
         while s > least and not text[s].isspace():
@@ -338,8 +350,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> list[Region]:
                 near += 1
             if near < len(inside) and inside[near][0] < b:
                 walls.add(a)
-        out.append(Region(text, atoms, frozenset(walls)))
-    return out
+        yield Region(text, atoms, frozenset(walls))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:

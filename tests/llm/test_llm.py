@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -730,6 +731,34 @@ def test_personal_data_in_long_texts_without_spaces_takes_linear_time():
     assert len(pii.find(field, many)[1]) == 2000
 
 
+def test_personal_data_in_dense_numbers_takes_bounded_memory():
+    import tracemalloc
+
+    r, field = random.Random(6), pii.train()
+    text = " ".join(str(r.randint(1, 99999)) for _ in range(12_000))
+    region = next(iter(pii.regions(text, [])))
+    pii.span_features.cache_clear()
+    tracemalloc.start()
+    field.best(region)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pii.span_features.cache_clear()
+    assert len(region.atoms) > 20_000 and peak < 20e6, peak  # the cache of features takes most of it, however long the text
+
+
+def test_candidates_by_definition():
+    for region, _ in pii.sentences(30, 12):
+        text, atoms = region.text, region.atoms
+        want = []
+        for i, j in itertools.combinations(range(len(atoms) + 1), 2):
+            parts = [text[s:e] for s, e in atoms[i:j]]
+            long = j - i > pii.SEGMENT or not 7 <= atoms[j - 1][1] - atoms[i][0] <= pii.LONGEST
+            strong = any(p[0].isdigit() or p == "@" or len(p) >= 10 or p.lower() == "at" for p in parts)
+            if not long and strong and not parts[0].isspace() and (parts[-1][0].isalnum() or parts[-1] in "=+/_"):
+                want.append((i, j))
+        assert region.segments == want
+
+
 def test_licenses_in_long_texts_take_linear_time(spark):
     import time
 
