@@ -18,9 +18,18 @@ TOKEN_SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256
 #: ASCII characters that are no letters become spaces.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
+#: A step of the CRC-32 for each byte, as a DuckDB list in a table of one row.
+CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i::BIGINT)) AS crc_steps)"
+
 _local_dirs: dict[str, str] = {}
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of a text's UTF-8 bytes, where CRC_TABLE is in FROM."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda x, y: xor(crc_steps[(xor(x, y) & 255) + 1], x >> 8), 4294967295::BIGINT), 4294967295)"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 

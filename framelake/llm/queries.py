@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontam, langid, licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity
+from framelake.llm import conversations, curve, decontam, langid, licenses, mixing, names, pii, quality, simhash, substring, token_counts, toxicity
 from framelake.llm.common import documents
 
 
@@ -51,6 +51,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, documents(spark, sf_dir))
 
 
+def op11_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, vendors = spark.read.parquet(f"{sf_dir}/clients.parquet"), spark.read.parquet(f"{sf_dir}/vendors.parquet")
+    misspelt = vendors.select("vendor_id", names.compared(names.misspelt(F.col("name"), F.col("vendor_id"))).alias("name"))
+    return names.matches(clients.select("client_id", names.compared(F.col("name")).alias("name")), misspelt).drop("compared_name")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(spark, conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.plan(spark, documents(spark, sf_dir))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can express."""
     return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -66,7 +80,7 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
 
 
-OPERATORS = (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality)
+OPERATORS = (op1_pii, op2_simhash, op3_licenses, op4_toxicity, op5_substring_dedup, op6_mixing, op7_decontamination, op8_token_counts, op9_language_id, op10_quality, op11_name_join, op12_conversations, op13_sharding)
 QUERIES = {f.__name__: f for f in (*OPERATORS, pii_base_counts, mixing_targets, quality_base_counts)}
 
 BASE_COUNTS = r"""
@@ -111,4 +125,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
   coalesce(spans, '') AS spans
 FROM docs LEFT JOIN cut USING (r)"""
 
-ORACLE_SQL = {"op3_licenses": licenses.oracle(), "op5_substring_dedup": SUBSTRINGS, "pii_base_counts": BASE_COUNTS, "mixing_targets": TARGETS, "quality_base_counts": QUALITY_COUNTS}
+ORACLE_SQL = {"op3_licenses": licenses.oracle(), "op5_substring_dedup": SUBSTRINGS, "pii_base_counts": BASE_COUNTS, "mixing_targets": TARGETS, "quality_base_counts": QUALITY_COUNTS, "op11_name_join": names.ORACLE, "op12_conversations": conversations.ORACLE, "op13_sharding": curve.ORACLE}
