@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and the letters they fold to.
-MARKED = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with one mark, and the letters they are made of, by their Unicode decomposition.
+_MADE = {chr(c): d for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and d[0].isascii() and d[0].islower()}
+MARKED, PLAIN = "".join(_MADE), "".join(d[0] for d in _MADE.values())
+#: Marks that stand by themselves.
+COMBINING = r"[\x{300}-\x{36F}]"
 TOKEN = r"[\p{L}\p{N}]+"
 #: Characters and words that have a meaning in a full-text query.
 QUERY_MARKS = r'["()*+:<>{}^~\-]'
@@ -17,8 +20,8 @@ QUERY_WORDS = r"(?i)^(NEAR|AND|OR|NOT)$"
 
 
 def folded_tokens(text: Column) -> Column:
-    """Index tokens: lower case, marks folded, runs of letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
+    """Index tokens: lower case, marks folded or dropped, runs of letters and digits."""
+    return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(text), COMBINING, ""), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
 
 
 CJK = r"[\x{4E00}-\x{9FFF}]"

@@ -74,12 +74,14 @@ def tags(channels: Column, names: tuple[str, ...] = CHANNELS) -> Column:
 
 @dataclass
 class Library:
-    """media (see plans.entities), vectors (file_hash, embedding), segments, texts (file_hash, text; copies may repeat)."""
+    """media (see plans.entities), vectors (file_hash, embedding), segments, texts (file_hash, text; copies may repeat), and the
+    texts' index if there is one."""
 
     media: DataFrame
     vectors: DataFrame
     segments: DataFrame
     texts: DataFrame
+    index: textsearch.TextIndex | None = None
 
 
 @dataclass
@@ -116,7 +118,8 @@ def channels(lib: Library, q: Query) -> DataFrame:
     always = F.lit(True).alias("passed")
     if q.kind != "audio":
         one = lib.texts.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(q.text).alias("text"))
-        parts.append(textsearch.bm25(lib.texts, one, wide).select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
+        found = lib.index.search(one, wide) if lib.index else textsearch.bm25(lib.texts, one, wide)
+        parts.append(found.select(F.lit(2).alias("channel"), "file_hash", "rank", always, *span))
     named = textsearch.by_file_name(lib.media, q.text, wide)
     rank = F.row_number().over(Window.orderBy("id")) - 1
     parts.append(named.select(F.lit(3).alias("channel"), "file_hash", rank.alias("rank"), always, *span))
@@ -126,6 +129,11 @@ def channels(lib: Library, q: Query) -> DataFrame:
     return out
 
 
+def _of_hits(media: DataFrame, hits: DataFrame) -> DataFrame:
+    """Representatives of the contents found (a few hundred at most, so they are broadcast), not of the whole catalogue."""
+    return representatives(media.join(F.broadcast(hits.select("file_hash")), "file_hash", "left_semi"))
+
+
 def search(lib: Library, q: Query) -> DataFrame:
     """Fused results: file_hash, id, kind, score (1 for the best before filters), matched_by, start_ms, end_ms, low_confidence, rank.
 
@@ -144,7 +152,7 @@ def search(lib: Library, q: Query) -> DataFrame:
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy("rank")) - 1)
     extra = (F.collect_set("channel").alias("set"), F.max("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("low_confidence").alias("low_confidence"))
     fused = rrf(found, extra=extra).withColumn("score", F.col("score") / F.max("score").over(everything))
-    out = fused.join(representatives(lib.media).select("file_hash", "id", "kind", "video_id", "taken_at"), "file_hash")
+    out = fused.join(_of_hits(lib.media, fused).select("file_hash", "id", "kind", "video_id", "taken_at"), "file_hash")
     if q.folder_id is not None:
         inside = lib.media.where(~F.col("deleted") & (F.col("folder_id") == q.folder_id)).select("file_hash")
         out = out.join(inside, "file_hash", "left_semi")
@@ -172,7 +180,7 @@ def _browse(lib: Library, q: Query) -> DataFrame:
 def similar(lib: Library, query: list[float], skip_hash: str, limit: int = 12, least: float = SIMILAR_FLOOR) -> DataFrame:
     """Contents at least that close to a given one, live, one row a video; 3 * limit candidates, so filters may under-fill."""
     near = V.nearest(lib.vectors, query, 3 * limit + 1, ["file_hash"]).where((F.col("file_hash") != skip_hash) & (F.col("cosine") >= least))
-    out = near.join(representatives(lib.media).select("file_hash", "id", "kind", "video_id"), "file_hash")
+    out = near.join(_of_hits(lib.media, near).select("file_hash", "id", "kind", "video_id"), "file_hash")
     owner = F.coalesce(F.concat(F.lit("v"), F.col("video_id").cast("string")), F.concat(F.lit("h"), F.col("file_hash")))
     out = out.withColumn("turn", F.row_number().over(Window.partitionBy(owner).orderBy("rank"))).where("turn = 1")
     return out.orderBy("rank").limit(limit).select("file_hash", "id", "kind", "cosine")

@@ -185,7 +185,7 @@ def vector_functions(spark, sf_dir):
 
 
 def library(spark, sf_dir) -> search.Library:
-    return search.Library(E.media(spark, sf_dir), E.vectors(spark, sf_dir), E.video_segments(spark, sf_dir), texts(spark, sf_dir))
+    return search.Library(E.media(spark, sf_dir), E.vectors(spark, sf_dir), E.video_segments(spark, sf_dir), texts(spark, sf_dir), indexed(spark, sf_dir))
 
 
 SIMILAR = "near AS (SELECT file_hash, list_inner_product(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS cosine FROM vectors ORDER BY cosine DESC, file_hash LIMIT 61)"
@@ -242,20 +242,46 @@ def fts_query_terms(spark, sf_dir):
     return b.select("item_id", T.fts_query(F.col("text")).alias("fts"))
 
 
-FOLD = f"translate(lower({{}}), '{T.MARKED}', '{T.PLAIN}')"
+FOLD = f"translate(regexp_replace(lower({{}}), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]', '', 'g'), '{T.MARKED}', '{T.PLAIN}')"
+#: Terms by the query builder; a term's tokens are a phrase. Places of a phrase are those of its first token.
 BM25 = f"""tok AS (SELECT file_hash, regexp_extract_all({FOLD.format("text")}, '[\\p{{L}}\\p{{N}}]+') AS t FROM texts),
 st AS (SELECT count(*) AS n, avg(len(t)) AS mean_len FROM tok),
-q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all({FOLD.format("text")}, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM asked),
-post AS (SELECT file_hash, len, term, count(*) AS tf FROM (SELECT file_hash, len(t) AS len, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-w AS (SELECT term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), st),
-scored AS (SELECT query_id, file_hash, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS score FROM q JOIN post USING (term) JOIN w USING (term), st GROUP BY ALL),
+words AS (SELECT query_id, trim(regexp_replace(regexp_replace(w, '["()*+:<>{{}}^~\\-]', '', 'g'), '^(NEAR|AND|OR|NOT)$', '', 'i')) AS w FROM (SELECT query_id, unnest(string_split_regex(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '\\s+')) AS w FROM asked)),
+q AS (SELECT query_id, ph, count(*) AS times FROM (SELECT query_id, regexp_extract_all({FOLD.format("w")}, '[\\p{{L}}\\p{{N}}]+') AS ph FROM words) WHERE len(ph) > 0 GROUP BY ALL),
+each AS (SELECT file_hash, len, i, t[i] AS term, t FROM (SELECT file_hash, len(t) AS len, t, unnest(range(1, len(t) + 1)) AS i FROM tok)),
+post AS (SELECT file_hash, len, ph, count(*) AS tf FROM (SELECT DISTINCT ph FROM q) JOIN each ON each.term = ph[1] WHERE len(ph) = 1 OR t[i:i + len(ph) - 1] = ph GROUP BY ALL),
+w AS (SELECT ph, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM (SELECT ph, count(*) AS df FROM post GROUP BY ph), st),
+scored AS (SELECT query_id, file_hash, sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS score FROM q JOIN post USING (ph) JOIN w USING (ph), st GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_hash) - 1 AS rank FROM scored)"""
+ASKED_BENCHMARK = "asked AS (SELECT item_id AS query_id, 'AND ' || text || ' or NOT -near-' AS text FROM benchmark)"
+#: Words of each document in terms of two and three, whose tokens must follow each other.
+ASKED_PHRASES = """asked AS (SELECT doc_id AS query_id, w[2] || '.' || w[3] || ' AND ' || w[5] || chr(39) || w[6] || '_' || w[7] AS text FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) > 8)"""
 
 
-@query(E.sql("SELECT query_id, file_hash, round(score, 5) AS score, rank FROM bm WHERE rank < 10", TEXTS, "asked AS (SELECT item_id AS query_id, text FROM benchmark)", BM25))
+def indexed(spark: SparkSession, sf_dir: str) -> textsearch.TextIndex:
+    """The index of the documents' texts: opened if the session has built it for this table, else built."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stamp = hash(tuple(sorted(source.inputFiles()))) & 0xFFFFFFFF
+    index = textsearch.TextIndex(spark, f"{tables.shared_folder(spark)}/text-index-{spark.sparkContext.applicationId}-{stamp:08x}")
+    if not index.versions.latest():
+        index.upsert(texts(spark, sf_dir))
+    return index
+
+
+@query(E.sql("SELECT query_id, file_hash, round(score, 5) AS score, rank FROM bm WHERE rank < 10", TEXTS, ASKED_BENCHMARK, BM25))
 def bm25_search(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return textsearch.bm25(texts(spark, sf_dir), asked, 10).select("query_id", "file_hash", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Operator words in the queries are no words to search for."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.lit("AND "), "text", F.lit(" or NOT -near-")).alias("text"))
+    return indexed(spark, sf_dir).search(asked, 10).select("query_id", "file_hash", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(E.sql("SELECT query_id, file_hash, round(score, 5) AS score, rank FROM bm WHERE rank < 5", TEXTS, ASKED_PHRASES, BM25))
+def phrase_search(spark, sf_dir):
+    """Every document's second and third word, and its fifth to seventh, each as one term with marks inside."""
+    w = F.split("text", " ")
+    term = F.concat(F.get(w, F.lit(1)), F.lit("."), F.get(w, F.lit(2)), F.lit(" AND "), F.get(w, F.lit(4)), F.lit("'"), F.get(w, F.lit(5)), F.lit("_"), F.get(w, F.lit(6)))
+    asked = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.size(w) > 8).select(F.col("doc_id").alias("query_id"), term.alias("text"))
+    return indexed(spark, sf_dir).search(asked, 5).select("query_id", "file_hash", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- fusion and search

@@ -33,12 +33,9 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """A table written to the folder that all executors share (``spark.checkpoint.dir``), and read again.
-
-    What is used several times is computed once, and a lost executor costs no recomputation. Only a single-process session
-    (``local[...]``) may leave the setting unset; it gets a folder of its own.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``). Only a single-process session (``local[...]``) may leave
+    the setting unset; it gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -46,7 +43,13 @@ def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _local.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="framelake-")
         _local[spark.sparkContext.applicationId] = folder
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """A table written to the shared folder, and read again: what is used several times is computed once, and a lost executor
+    costs no recomputation."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
