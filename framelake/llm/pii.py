@@ -10,7 +10,8 @@ The weights are trained here, by maximum likelihood with forward-backward over s
 seeded generator; nothing is learnt from the corpus.
 
 The field sees AHEAD characters before a trigger and BEHIND after it, and the whole run of letters and digits that
-this cuts; an entity has at most SEGMENT atoms and LONGEST characters, longer forms are left to the base patterns.
+this cuts; an entity has at most SEGMENT atoms and LONGEST characters, or is one long token: what follows = or : without a
+space, or a signed token of three parts. Such a token is an atom of any length, whatever marks are inside.
 
 Edge cases: null and empty texts have no spans; repeated rows and null ids are handled row by row; texts may be of
 any length, with or without spaces: work is linear in the text, as a segment's length is bounded.
@@ -34,7 +35,7 @@ from framelake.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Most atoms and characters in one entity that the field finds.
+#: Most atoms and characters in one entity that the field finds, long tokens apart.
 SEGMENT, LONGEST = 24, 80
 #: Characters that the field sees before and after a trigger.
 AHEAD, BEHIND = 48, 64
@@ -144,6 +145,10 @@ NO_DIGIT = re.compile(r"[^0-9]+")
 MAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
 KEY_LIKE = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
 CODE = re.compile(r"[A-Za-z0-9_+/=-]{10,}")
+#: Tokens of more than LONGEST characters after an assignment; three parts that begin as an encoded JSON object does.
+ASSIGNED_LONG = re.compile(r"[=:][ \t]*[\"']?(?P<token>[A-Za-z0-9][A-Za-z0-9_+/=.~-]{80,})")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(?P<token>eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)")
+CODE_ONLY = re.compile(r"[^A-Za-z0-9]+")
 GROUPED_PHONE = re.compile(r"(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}")
 GROUPED_CARD = re.compile(r"[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}")
 
@@ -208,8 +213,8 @@ def after_features(text: str, end: int) -> tuple[str, ...]:
 class Region:
     """A stretch of text with its candidate segments: pairs of atom numbers."""
 
-    def __init__(self, text: str, atoms: list[tuple[int, int]], walls: frozenset = frozenset()):
-        self.text, self.atoms, self.walls = text, atoms, walls
+    def __init__(self, text: str, atoms: list[tuple[int, int]], walls: frozenset = frozenset(), long: frozenset = frozenset()):
+        self.text, self.atoms, self.walls, self.long = text, atoms, walls, long  # long: starts of long tokens
 
     def candidates(self) -> Iterator[tuple[int, int]]:
         """Segments by start, then by end; only the flags of the next SEGMENT atoms are held."""
@@ -226,7 +231,7 @@ class Region:
                 good, start = False, atoms[i][0]
                 for j, (wall, _, strong, ends) in enumerate(flags, i):
                     length = atoms[j][1] - start
-                    if wall or length > LONGEST:
+                    if wall or length > LONGEST and not (j == i and start in self.long):
                         break
                     good = good or strong
                     if good and length >= 7 and ends:
@@ -239,7 +244,16 @@ class Region:
 
     def features(self, segment: tuple[int, int]) -> tuple[str, ...]:
         s, e = self.atoms[segment[0]][0], self.atoms[segment[1] - 1][1]
-        return span_features(self.text[s:e]) + before_features(self.text, s) + after_features(self.text, e)
+        return self.shape(*segment) + before_features(self.text, s) + after_features(self.text, e)
+
+
+    def shape(self, i: int, j: int) -> tuple[str, ...]:
+        """Features of a segment's span; a long token's are those of its first letters and digits."""
+        s, e = self.atoms[i][0], self.atoms[j - 1][1]
+        if s not in self.long or j != i + 1:
+            return span_features(self.text[s:e])
+        signed = ("access-key",) if SIGNED.fullmatch(self.text, s, e) else ()
+        return span_features(CODE_ONLY.sub("", self.text[s : s + LONGEST])[:40]) + signed
 
 
 class Field:
@@ -270,7 +284,7 @@ class Field:
                 at, before = i, bias + total(before_features(text, atoms[i][0]))
             if j not in after:
                 after[j] = total(after_features(text, atoms[j - 1][1]))
-            yield total(span_features(text[atoms[i][0] : atoms[j - 1][1]])) + before + after[j]
+            yield total(region.shape(i, j)) + before + after[j]
 
     def best(self, region: Region) -> list[tuple[int, int, str]]:
         """Viterbi over segments: the spans of the best segmentation. Only segments with a positive score are held."""
@@ -317,27 +331,46 @@ def triggers(text: str) -> Iterator[re.Match]:
 RUN = re.compile(r"[A-Za-z0-9]*")
 
 
+def long_tokens(text: str) -> list[tuple[int, int]]:
+    """Disjoint, in order; marks that end a sentence or a line are no part of a token."""
+    out: list[tuple[int, int]] = []
+    for m in heapq.merge(ASSIGNED_LONG.finditer(text), SIGNED.finditer(text) if "eyJ" in text else (), key=lambda m: m.start("token")):
+        s = m.start("token")
+        e = s + len(m["token"].rstrip(".~-"))
+        if e - s > (0 if m.re is SIGNED else LONGEST) and (not out or s >= out[-1][1]):
+            out.append((s, e))
+    return out
+
+
 def regions(text: str, base: list[tuple[int, int, str]]) -> Iterator[Region]:
     """One after the other: disjoint stretches around triggers that base spans leave over; base spans are walls no segment crosses."""
-    inside = joined(base)
+    inside, tokens = joined(base), long_tokens(text)
     stretches: list[list[int]] = []
     at = 0
-    for m in triggers(text):
-        while at < len(inside) and inside[at][1] <= m.start():
+    for start, end in heapq.merge(((m.start(), m.end()) for m in triggers(text)), tokens):
+        while at < len(inside) and inside[at][1] <= start:
             at += 1
-        if at < len(inside) and inside[at][0] <= m.start():
+        if at < len(inside) and inside[at][0] <= start:
             continue
-        s, e = max(0, m.start() - AHEAD), min(len(text), m.end() + BEHIND)
+        s, e = max(0, start - AHEAD), min(len(text), end + BEHIND)
         if stretches and s <= stretches[-1][1]:
             stretches[-1][1] = max(stretches[-1][1], e)
         else:
             stretches.append([s, e])
-    past, at = 0, 0
+    past, at, turn = 0, 0, 0
     for s, e in stretches:
         least = max(past, s - 200)
         while s > least and not text[s].isspace():
             s -= 1
-        atoms = [(m.start(), m.end()) for m in ATOM.finditer(text, s, e)]
+        atoms, begin, long = [], s, set()
+        while turn < len(tokens) and tokens[turn][0] < e:
+            a, b = tokens[turn]
+            turn += 1
+            if a >= begin and b <= e:
+                atoms += [(m.start(), m.end()) for m in ATOM.finditer(text, begin, a)] + [(a, b)]
+                long.add(a)
+                begin = b
+        atoms += [(m.start(), m.end()) for m in ATOM.finditer(text, begin, e)]
         if atoms and e < len(text) and text[e - 1].isalnum():
             atoms[-1] = (atoms[-1][0], RUN.match(text, atoms[-1][1], atoms[-1][1] + 200).end())
         past = max(e, atoms[-1][1]) if atoms else e
@@ -350,7 +383,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> Iterator[Region]:
                 near += 1
             if near < len(inside) and inside[near][0] < b:
                 walls.add(a)
-        yield Region(text, atoms, frozenset(walls))
+        yield Region(text, atoms, frozenset(walls), frozenset(long))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
