@@ -257,7 +257,8 @@ def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
     are taken as often as their source's whole turns.
     """
     name = "copy"
-    while name in docs.columns:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), "text", _unit(docs).alias("u"))
     rows = packed.select("row", _key(F.col("source")).alias("s"), "u")

@@ -253,3 +253,61 @@ def test_the_plan_is_free_of_python(spark):
 
     plan = queries.QUERIES["op13_sharding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# ---------------------------------------------------------------- long secrets, names that differ by case
+
+
+def test_secrets_of_any_length_are_found_whole():
+    import base64
+
+    from framelake.llm import pii
+
+    field, rng = pii.train(), random.Random(3)
+    prose = "the quick on reserve que le chat and so it goes "
+    coded = lambda n: base64.urlsafe_b64encode(bytes(rng.randrange(256) for _ in range(n))).decode().rstrip("=")
+    for n in (80, 81, 100, 128, 200, 1000, 4096):
+        code = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        for cue in ("api_key = ", "token: ", 'password="', "secret="):
+            text = prose + cue + code + '" ' + prose
+            assert [(text[s:e], k) for s, e, k in pii.find(field, text)[1]] == [(code, "secret")], (n, cue)
+    for n in (10, 20, 60, 300):
+        signed = f"eyJ{coded(20)}.{coded(n)}.{coded(32)}"
+        for cue in ("Authorization: Bearer ", "", "token=", "see "):
+            text = prose + cue + signed + ". " + prose
+            assert [(text[s:e], k) for s, e, k in pii.find(field, text)[1]] == [(signed, "secret")], (n, cue)
+    marked = coded(90) + "_" + coded(90) + "-" + coded(20) + "." + coded(9)
+    text = "x key: " + marked + ". " + prose
+    assert [text[s:e] for s, e, _ in pii.find(field, text)[1]] == [marked]
+    assert pii.find(field, "see https://example.org/" + "path-to-some/page-2024/" * 8 + " and " + prose)[1] == []
+
+
+def test_masking_leaves_nothing_of_a_long_secret(spark):
+    from framelake.llm import pii
+
+    code = "9f" * 200
+    df = spark.createDataFrame([(1, f"api_key = {code} and more", None, None)], "doc_id long, text string, source string, lang string")
+    assert "9f9f" not in pii.redact(spark, df).first().text
+
+
+@pytest.mark.parametrize("unit", ["key=" + "a1b2" * 50 + " ", "=a", "a-", "eyJ", "eyJabcdef.a.", "a.b="])
+def test_long_tokens_take_linear_time(unit):
+    import time
+
+    from framelake.llm import pii
+
+    field, took = pii.train(), []
+    for n in (200_000, 800_000):
+        began = time.perf_counter()
+        pii.find(field, unit * (n // len(unit)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_the_mix_keeps_a_column_that_differs_from_copy_by_case(spark, tmp_path):
+    from framelake.llm import mixing
+
+    df = spark.createDataFrame([(i, "one two three", f"s{i % 2}", "en", "mine") for i in range(20)], "doc_id long, text string, source string, lang string, COPY string")
+    out = mixing.apply(spark, df)
+    out.write.parquet(str(tmp_path / "mixed"))
+    assert out.columns == [*df.columns, "copy_"] and {r.COPY for r in out.collect()} == {"mine"}
