@@ -43,10 +43,22 @@ def known_paths(asked: DataFrame, media: DataFrame, folders: DataFrame) -> DataF
     return asked.join(known, "file_path", "left_semi")
 
 
-def changed_files(media: DataFrame, listing: DataFrame) -> DataFrame:
-    """Listed files (file_path, file_size, ...) that are new or whose size differs."""
-    known = media.where("not deleted").select("file_path", "file_size")
-    return listing.join(known, ["file_path", "file_size"], "left_anti")
+def changed_files(media: DataFrame, listing: DataFrame, thumbnails: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """Listed files (file_path, file_size, mtime, folder_id, ...) that need work: those without a live row that agrees in all of
+    path, size, time of change and folder, and has a hash.
+
+    With ``thumbnails`` (file_hash) and ``tasks`` (subject_id, task_type, status) a known file also needs work if its content
+    has no thumbnail and no task for one is open or has failed; a failed one waits for its user.
+    """
+    known = media.where(~F.col("deleted") & F.col("file_hash").isNotNull())
+    if thumbnails is not None and tasks is not None:
+        waiting = tasks.where((F.col("task_type") == "thumbnail") & F.col("status").isin("pending", "processing", "error")).select(F.col("subject_id").alias("id"))
+        done = known.join(thumbnails.select("file_hash"), "file_hash", "left_semi").select("id").unionByName(known.join(waiting, "id", "left_semi").select("id"))
+        known = known.join(done, "id", "left_semi")
+    same = ["file_path", "file_size", "mtime", "folder_id"]
+    k = known.select(*[F.col(c).alias(f"k_{c}") for c in same])
+    agree = [F.col("file_path") == F.col("k_file_path"), F.col("file_size") == F.col("k_file_size"), F.col("mtime") == F.col("k_mtime"), F.col("folder_id").eqNullSafe(F.col("k_folder_id"))]
+    return listing.join(k, agree, "left_anti")
 
 
 def orphans(media: DataFrame, folder_id: int) -> DataFrame:
@@ -63,6 +75,28 @@ def folder_removed(media: DataFrame, tasks: DataFrame, folder_id: int) -> tuple[
     return media.where((F.col("folder_id") != folder_id) | F.col("folder_id").isNull()), photo_tasks.unionByName(tasks.where("task_type = 'extract_frames'")), orphans(media, folder_id)
 
 
+def folder_videos_removed(videos: DataFrame, segments: DataFrame, tasks: DataFrame, folder_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Videos, segments with their vectors, and tasks after a folder is removed: its videos go with their segments and frame tasks;
+    a task of another type with an equal number stays."""
+    gone = videos.where(F.col("folder_id") == folder_id).select(F.col("id").alias("video"))
+    left = videos.where((F.col("folder_id") != folder_id) | F.col("folder_id").isNull())
+    mine = (F.col("task_type") == "extract_frames") & (F.col("subject_id") == F.col("video"))
+    return left, segments.join(gone, F.col("video_id") == F.col("video"), "left_anti"), tasks.join(gone, mine, "left_anti")
+
+
+def repaired_vectors(media: DataFrame, mapped: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Media with their status and the map of hashes to vectors, made to agree with the vectors that exist.
+
+    Map rows (file_hash, vec_id) without a vector or without a live file go; live rows whose content then has no map row go back
+    from ``done`` to ``pending``, and copies of a content that has one become ``done``.
+    """
+    live = media.where(~F.col("deleted")).select("file_hash").distinct()
+    kept = mapped.join(vectors.select("vec_id"), "vec_id", "left_semi").join(live, "file_hash", "left_semi").select(mapped.columns)
+    has = kept.select("file_hash", F.lit(True).alias("has")).distinct()
+    status = F.when(F.col("deleted"), F.col("status")).when(F.col("has"), "done").when(F.col("status") == "done", "pending").otherwise(F.col("status"))
+    return media.join(has, "file_hash", "left").withColumn("status", status).select(media.columns), kept
+
+
 def collected(content: DataFrame, media: DataFrame) -> DataFrame:
     """Content rows (vectors, texts, faces; keyed by file_hash) that a live row still refers to."""
     return content.join(media.where("not deleted").select("file_hash"), "file_hash", "left_semi").select(content.columns)

@@ -777,11 +777,42 @@ def face_rescan(spark, sf_dir):
     return state.rescan(E.media(spark, sf_dir), E.faces(spark, sf_dir), names)
 
 
-@query(E.sql("SELECT file_path FROM media WHERE folder_id <> 3 AND (deleted OR file_size > 2000)", E.MEDIA))
+@query(
+    E.sql(
+        """SELECT l.file_path FROM (SELECT id, file_path, file_hash, deleted, CASE WHEN id % 11 = 0 THEN file_size + 1 ELSE file_size END AS size, CASE WHEN id % 7 = 0 THEN epoch_us(created_at) + 1 ELSE epoch_us(created_at) END AS mtime, CASE WHEN id % 13 = 0 THEN 99 ELSE folder_id END AS folder,
+  file_size, epoch_us(created_at) AS was, folder_id FROM media WHERE id % 5 <> 3) l
+WHERE deleted OR size <> file_size OR mtime <> was OR folder <> folder_id OR (file_hash NOT IN (SELECT file_hash FROM vectors) AND id NOT IN (SELECT subject_id FROM tasks WHERE task_type = 'thumbnail' AND status IN ('pending', 'processing', 'error')))""",
+        E.MEDIA, E.VECTORS, E.TASKS,
+    )
+)
 def changed_files(spark, sf_dir):
-    m = E.media(spark, sf_dir)
-    listing = m.where("folder_id <> 3").select("file_path", F.when(F.col("file_size") > 2000, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"))
-    return state.changed_files(m, listing).select("file_path")
+    """Files of another size, of equal size and newer, in another folder, and those whose thumbnail is missing and not under way."""
+    m = E.media(spark, sf_dir).withColumn("mtime", F.unix_micros(F.col("created_at").cast("timestamp")))
+    edit = lambda c, every, to: F.when(F.col("id") % every == 0, to).otherwise(F.col(c)).alias(c)
+    listing = m.where("id % 5 <> 3").select("file_path", edit("file_size", 11, F.col("file_size") + 1), edit("mtime", 7, F.col("mtime") + 1), edit("folder_id", 13, F.lit(99)))
+    return state.changed_files(m, listing, E.vectors(spark, sf_dir).select("file_hash"), E.tasks(spark, sf_dir)).select("file_path")
+
+
+@query(E.sql("SELECT 'segment' AS what, count(*) AS n, sum(segment_id)::BIGINT AS ids FROM segments WHERE video_id NOT IN (SELECT id FROM videos WHERE folder_id = 2) UNION ALL SELECT 'task', count(*), sum(id)::BIGINT FROM tasks WHERE NOT (task_type = 'extract_frames' AND subject_id IN (SELECT id FROM videos WHERE folder_id = 2)) UNION ALL SELECT 'video', count(*), sum(id)::BIGINT FROM videos WHERE folder_id <> 2", E.MEDIA, VIDEOS, E.SEGMENTS, E.TASKS))
+def folder_videos_removed(spark, sf_dir):
+    left, segments, tasks_ = state.folder_videos_removed(videos(spark, sf_dir), E.video_segments(spark, sf_dir), E.tasks(spark, sf_dir), 2)
+    total = lambda df, what, id: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"), F.sum(id).alias("ids"))
+    return total(segments, "segment", "segment_id").unionByName(total(tasks_, "task", "id")).unionByName(total(left, "video", "id"))
+
+
+@query(
+    E.sql(
+        """SELECT status, count(*) AS n, (SELECT count(*) FROM vectors WHERE vec_id % 4 <> 0 AND file_hash IN (SELECT file_hash FROM media WHERE NOT deleted)) AS mapped
+FROM (SELECT CASE WHEN deleted THEN st WHEN file_hash IN (SELECT file_hash FROM vectors WHERE vec_id % 4 <> 0) THEN 'done' WHEN st = 'done' THEN 'pending' ELSE st END AS status FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'done' WHEN id % 3 = 1 THEN 'pending' ELSE 'error' END AS st FROM media)) GROUP BY status""",
+        E.MEDIA, E.VECTORS,
+    )
+)
+def repaired_vectors(spark, sf_dir):
+    """A quarter of the vectors is lost; map and states are made to agree with those left."""
+    m = E.media(spark, sf_dir).withColumn("status", F.when(F.col("id") % 3 == 0, "done").when(F.col("id") % 3 == 1, "pending").otherwise("error"))
+    v = E.vectors(spark, sf_dir)
+    media, kept = state.repaired_vectors(m, v.select("file_hash", "vec_id"), v.where("vec_id % 4 <> 0"))
+    return media.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("mapped"))))  # one row
 
 
 def pooled_stats(branch: str, own: str) -> str:

@@ -8,18 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.media import kind_of
-from framelake.functions.text import base_name
+from framelake.sources import files
 
 _local: dict[str, str | None] = {}
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Supported files below a folder: file_path, file_name, file_size, mtime, kind, file_hash. Hidden folders are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.col("path")
-    rows = files.where(~path.rlike(r"/\.[^/]+|/node_modules/")).withColumn("kind", kind_of(path)).where("kind is not null")
-    return rows.select(path.alias("file_path"), base_name(path).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), "kind", F.md5("content").alias("file_hash"))
+    """Supported files below a folder; see ``files``. Of videos and sounds only the ends are read."""
+    return files.listing(spark, folder)
 
 
 def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
