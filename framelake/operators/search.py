@@ -24,6 +24,25 @@ def baseline(vectors: DataFrame, id: str) -> DataFrame:
     return vectors.select(F.col(id).alias("sample_id"), "embedding").orderBy(F.md5(F.col(id).cast("string").cast("binary")), id).limit(SAMPLE)
 
 
+def sketch(vectors: DataFrame, id: str) -> DataFrame:
+    """The sample with what its upkeep needs: (sample_id, embedding, h, n): the SAMPLE least hashes of n vectors."""
+    h = F.md5(F.col(id).cast("string").cast("binary"))
+    one = vectors.select(F.col(id).cast("string").alias("sample_id"), "embedding", h.alias("h")).orderBy("h", "sample_id").limit(SAMPLE)
+    return one.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n"))))  # one row
+
+
+def merged_sketches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sketch of two disjoint sets of vectors from theirs; no vector but the samples' is read."""
+    n = a.select("n").limit(1).unionByName(b.select("n").limit(1)).agg(F.sum("n").alias("n"))
+    both = a.drop("n").unionByName(b.drop("n")).orderBy("h", "sample_id").limit(SAMPLE)
+    return both.crossJoin(F.broadcast(n))  # one row
+
+
+def stale(sketched: int, now: int) -> bool:
+    """Whether a sketch of that many vectors no longer stands for the present number."""
+    return abs(now - sketched) > max(10, 0.1 * sketched)
+
+
 def gate_stats(sample: DataFrame, query: list[float]) -> DataFrame:
     """One row: n, mean, sd (population), median (upper), mad of the cosines of a sample of at most SAMPLE vectors."""
     sims = F.sort_array(F.collect_list("s"))

@@ -589,6 +589,19 @@ def idle_batches(spark, sf_dir):
     return ingest.idle_batches(E.tasks(spark, sf_dir), "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "task_type", "n", "first_id")
 
 
+@query(
+    E.sql(
+        """SELECT min(ts) AS start, max(ts) AS "end", task_type, count(*) AS n, arg_min(id, (ts, id)) AS first_id FROM (SELECT *, (row_number() OVER (PARTITION BY task_type, s ORDER BY ts, id) - 1) // 20 AS cut FROM
+  (SELECT *, sum(fresh) OVER (PARTITION BY task_type ORDER BY ts, id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY task_type ORDER BY ts, id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM tasks))) GROUP BY task_type, s, cut""",
+        E.TASKS,
+    )
+)
+def closed_batches(spark, sf_dir):
+    """Batches that 20 rows or two idle hours close: the events are minutes apart."""
+    out = ingest.closed_batches(E.tasks(spark, sf_dir), 20, "2 hours")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "task_type", "n", "first_id")
+
+
 @query("SELECT time_bucket(INTERVAL '32 seconds', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def tumbling_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "id")
