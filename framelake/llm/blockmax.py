@@ -1,8 +1,9 @@
 """Block-max inverted index over a bounded set of entries (labelled examples, test items).
 
-Entries are dealt to blocks of BLOCK consecutive entries. For each term the index holds the largest weight in
-each block; a query's upper bound for a block is the sum of those maxima. Blocks are scored exactly in
-descending order of their bounds until no remaining bound can matter, so results equal exhaustive scoring.
+Entries are dealt to blocks of consecutive entries. A term's postings lie in runs, one for each block that holds
+the term, with the largest weight of the run; a query's upper bound for a block is the sum of the maxima of its runs there.
+Blocks are scored exactly in descending order of their bounds until no remaining bound can matter, so results equal
+exhaustive scoring. Memory is linear in the postings: a rare term costs the few runs that it has.
 """
 
 from __future__ import annotations
@@ -10,45 +11,65 @@ from __future__ import annotations
 import numpy as np
 
 
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (first, length), one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+
+
 class BlockMaxIndex:
     def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n_entries: int, n_terms: int, block: int):
         """Postings as three parallel arrays; (entry, term) pairs are distinct and weights positive."""
-        self.n_entries, self.n_terms, self.block = n_entries, n_terms, block
+        self.n_entries, self.block = n_entries, block
         self.n_blocks = max(1, -(-n_entries // block))
-        key = (entry // block).astype(np.int64) * n_terms + term
+        key = term.astype(np.int64) * self.n_blocks + entry // block
         order = np.lexsort((entry, key))
         key, self.entry, self.weight = key[order], entry[order].astype(np.int32), weight[order].astype(np.float64)
-        self.start = np.searchsorted(key, np.arange(self.n_blocks * n_terms + 1)).astype(np.int32)
+        runs, first = np.unique(key, return_index=True)
+        self.run_start = np.append(first, len(key)).astype(np.int64)
+        self.run_block = (runs % self.n_blocks).astype(np.int32)
         # rounded up, so that the bounds hold for the sums of the exact weights
-        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
-        np.maximum.at(self.most, (term, entry // block), np.nextafter(weight.astype(np.float32), np.float32(np.inf)) * np.float32(1 + 1e-6))
+        most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.run_most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+        self.term_start = np.searchsorted(runs, np.arange(n_terms + 1, dtype=np.int64) * self.n_blocks)
+
+    def _runs(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the query's terms, with the query's weight of each."""
+        first = self.term_start[terms]
+        n = self.term_start[terms + 1] - first
+        return spread(first, n), np.repeat(np.asarray(weights, float), n)
+
+    def _bounds(self, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.run_block[runs], self.run_most[runs] * weights, minlength=self.n_blocks) * (1 + 1e-9)
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Upper bound of the score of any entry, by block."""
-        return (weights.astype(np.float32) @ self.most[terms]) * np.float32(1 + 1e-5) if len(terms) else np.zeros(self.n_blocks, np.float32)
+        return self._bounds(*self._runs(terms, weights))
 
-    def _score(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _score(self, blocks: np.ndarray, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Exact scores of all entries of the blocks, in an array over all entries."""
-        at = (blocks[:, None].astype(np.int64) * self.n_terms + terms[None, :]).ravel()
-        first, n = self.start[at], self.start[at + 1] - self.start[at]
-        has = n > 0
-        first, n, w = first[has], n[has], np.tile(weights, len(blocks))[has]
-        ends = np.cumsum(n)
-        rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
-        return np.bincount(self.entry[rows], self.weight[rows] * np.repeat(w, n), minlength=self.n_entries)
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[blocks] = True
+        has = wanted[self.run_block[runs]]
+        first = self.run_start[runs[has]]
+        n = self.run_start[runs[has] + 1] - first
+        rows = spread(first, n)
+        return np.bincount(self.entry[rows], self.weight[rows] * np.repeat(weights[has], n), minlength=self.n_entries)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, at_once: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of largest positive score, ties by entry number; exact."""
-        ub = self.bounds(terms, weights)
+        """The k entries of largest positive score, ties by entry number; exact. Each round scores twice the blocks of the last."""
+        runs, w = self._runs(terms, weights)
+        ub = self._bounds(runs, w)
         order = np.argsort(-ub, kind="stable")
-        best, scores = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, len(order), at_once):
-            blocks = order[i : i + at_once]
+        best, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
+        while at < len(order):
+            blocks = order[at : at + at_once]
+            at, at_once = at + at_once, 2 * at_once
             floor = scores[-1] if len(best) == k else 0.0
             blocks = blocks[(ub[blocks] >= floor) & (ub[blocks] > 0)]
             if not len(blocks):
                 break
-            found = self._score(blocks, terms, weights)
+            found = self._score(blocks, runs, w)
             ids = np.flatnonzero(found > floor) if len(best) < k else np.flatnonzero(found >= floor)
             ids = ids[found[ids] > 0]
             best, scores = np.concatenate([best, ids]), np.concatenate([scores, found[ids]])
@@ -58,10 +79,11 @@ class BlockMaxIndex:
 
     def above(self, terms: np.ndarray, weights: np.ndarray, floors: np.ndarray, block_floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All entries whose score reaches their own floor; block_floor is the least floor in each block."""
-        blocks = np.flatnonzero(self.bounds(terms, weights) >= block_floor)
+        runs, w = self._runs(terms, weights)
+        blocks = np.flatnonzero(self._bounds(runs, w) >= block_floor)
         if not len(blocks):
             return np.zeros(0, np.int64), np.zeros(0)
-        found = self._score(blocks, terms, weights)
+        found = self._score(blocks, runs, w)
         ids = np.flatnonzero(found >= floors)
         return ids, found[ids]
 

@@ -1,16 +1,17 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms.
 
 Terms are the lower-cased words of a text and their first PREFIX letters. At most PER_LABEL examples of each label
-(outside fold 0, in hash order of their ids, one for each distinct text) are learnt from. Their cosine is taken over
-the terms whose presence depends on the label (chi-square); a text's length is that of all its terms, those that no
-example has included, so a text with little of what is indexed is far from every example. The examples form a block-max
+(outside fold 0, in hash order of their ids, one for each distinct text) are learnt from. Every term of every example is
+indexed. A term weighs (1 + ln of its count) times its inverse document frequency times 1 + boost * phi², where phi² (0 to 1)
+tells how far its presence depends on the label among the examples; with a boost of 0 that is plain TF-IDF. Texts are
+vectors of length 1 over all their terms, those that no example has included. The examples form a block-max
 inverted index that is broadcast; every document of the corpus is a query for its K nearest. Their votes, weighted by
 squared cosine, give a raw score, which a logistic curve calibrates. The nearest examples are the evidence.
 
-The chi-square bound, K and the weight of doubt are chosen, and the curve is fitted, on votes that each learning fold gets from the others:
-vocabulary, weights and neighbours come from those other folds. Rows of fold 0 decide nothing.
+The boost, K and the weight of doubt are chosen, and the curve is fitted, on votes that each learning fold gets from the others:
+weights and neighbours come from those other folds. Rows of fold 0 decide nothing.
 
-Edge cases: null and empty texts, and texts that share no indexed term with any example, get the calibrated score of a
+Edge cases: null and empty texts, and texts that share no term with any example, get the calibrated score of a
 vote without evidence; ties go to the example that was indexed first (by label, then id); an empty table gives
 an empty result; without both labels to learn from every score is the share of the label seen, 0 if none; of several
 texts with one id, that of the smallest hash is learnt from; an id with both labels counts as toxic.
@@ -32,8 +33,8 @@ from framelake.llm.common import held_out, slices, tokens
 PER_LABEL = 1500
 PREFIX = 5
 BLOCK = 50
-#: What is chosen among: least chi-square of an indexed term, number of neighbours, weight of a vote against.
-BOUNDS = (15.0, 30.0, 60.0)
+#: What is chosen among: weight of a term's dependence on the label, number of neighbours, weight of a vote against.
+BOOSTS = (0.0, 100.0, 1000.0)
 NEIGHBOURS = (15, 51)
 DOUBTS = (0.01, 0.1)
 #: An example: label, id, term counts.
@@ -52,9 +53,8 @@ def term_counts(text: str | None) -> Counter:
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]  # indexed terms
-    idf: dict[bytes, float]  # of all terms of the examples
-    unseen: float  # idf of all other terms
+    vocabulary: dict[bytes, int]  # all terms of the examples
+    strength: np.ndarray  # of a term, by number; the last one is that of all other terms
     index: BlockMaxIndex | None
     ids: np.ndarray
     labels: np.ndarray
@@ -63,14 +63,14 @@ class Model:
     slope: float = 4.0
     offset: float = 0.0
     default: float = 0.0
+    boost: float = 0.0
 
     def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """The indexed part of a text's TF-IDF vector, whose length over all terms is 1."""
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * np.fromiter((self.idf.get(t, self.unseen) for t in counts), float, len(counts))
-        length = np.sqrt(w @ w) or 1.0
+        """The known terms of a text's vector, whose length over all terms is 1."""
         at = np.fromiter((self.vocabulary.get(t, -1) for t in counts), np.int64, len(counts))
-        known = at >= 0
-        return at[known], w[known] / length
+        w = damped(np.fromiter(counts.values(), float, len(counts))) * self.strength[at]
+        length = np.sqrt(w @ w) or 1.0
+        return at[at >= 0], w[at >= 0] / length
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic among the neighbours, weighted by squared cosine; less where all neighbours are far."""
@@ -87,37 +87,74 @@ class Model:
         return self.calibrated(self.vote(near, cosine)), self.ids[near[:3]].tolist(), cosine[:3].tolist()
 
 
-def chi_squares(examples: list[Example], df: Counter) -> dict[bytes, float]:
-    """By term, how far its presence depends on the label: chi-square with continuity correction."""
-    n, n_toxic = len(examples), sum(e[0] for e in examples)
-    toxic = Counter(t for e in examples if e[0] for t in e[2])
-    out = {}
-    for t, d in df.items():
-        if 2 < d < n:
-            off = max(0.0, abs(toxic[t] * (n - n_toxic) - (d - toxic[t]) * n_toxic) - n / 2)
-            out[t] = n * off * off / (d * (n - d) * n_toxic * (n - n_toxic))
-    return out
+def damped(n: np.ndarray) -> np.ndarray:
+    """How often a term occurs in a text, as a weight."""
+    return 1 + np.log(n)
 
 
-def indexed(examples: list[Example], bounds: tuple[float, ...]) -> list[Model]:
-    """A model without calibration for each of the chi-square bounds."""
-    labels, ids = np.array([e[0] for e in examples], float), np.array([e[1] for e in examples], np.int64)
-    df = Counter(t for e in examples for t in e[2])
-    idf = {t: float(np.log((1 + len(examples)) / (1 + d))) for t, d in df.items()}
-    chi, out = chi_squares(examples, df), []
-    for bound in bounds:
-        vocabulary = {t: i for i, t in enumerate(sorted(t for t, x in chi.items() if x >= bound))}
-        model = Model(vocabulary, idf, float(np.log(1 + len(examples))), None, ids, labels)
-        queries = [model.query(e[2]) for e in examples]
-        entry = np.concatenate([np.full(len(at), i) for i, (at, _) in enumerate(queries)])
-        term, weight = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
-        has = weight > 0
-        model.index = BlockMaxIndex(entry[has], term[has], weight[has], len(examples), max(1, len(vocabulary)), BLOCK)
-        out.append(model)
-    return out
+@dataclass
+class Postings:
+    """Terms of the examples by number: (entry, term, damped count) in the order of the entries."""
+
+    vocabulary: dict[bytes, int]
+    entry: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, examples: list[Example]) -> Postings:
+        vocabulary = {t: i for i, t in enumerate(sorted({t for e in examples for t in e[2]}))}
+        n = [len(e[2]) for e in examples]
+        term = np.fromiter((vocabulary[t] for e in examples for t in e[2]), np.int64, sum(n))
+        tf = damped(np.fromiter((c for e in examples for c in e[2].values()), float, sum(n)))
+        return cls(vocabulary, np.repeat(np.arange(len(examples)), n), term, tf, np.array([e[0] for e in examples], float))
+
+    def strengths(self, learnt: np.ndarray, boosts: tuple[float, ...]) -> list[np.ndarray]:
+        """By boost, the strengths of all terms (one more at the end: of a term not known) as the examples marked in ``learnt`` have them."""
+        n, n_toxic, size = int(learnt.sum()), self.labels[learnt].sum(), len(self.vocabulary) + 1
+        rows = learnt[self.entry]
+        df = np.bincount(self.term[rows], minlength=size)
+        toxic = np.bincount(self.term[rows], self.labels[self.entry[rows]], minlength=size)
+        # chi-square with continuity correction, as a share of its largest value
+        off = np.maximum(0.0, np.abs(toxic * (n - n_toxic) - (df - toxic) * n_toxic) - n / 2)
+        phi = off**2 / np.maximum(1, df * (n - df) * n_toxic * (n - n_toxic))
+        return [np.log((1 + n) / (1 + df)) * (1 + b * phi) for b in boosts]
+
+    def vectors(self, strength: np.ndarray) -> np.ndarray:
+        """The weights of all postings, each entry's vector of length 1."""
+        w = self.tf * strength[self.term]
+        length = np.sqrt(np.bincount(self.entry, w * w, minlength=len(self.labels)))
+        return w / np.where(length > 0, length, 1.0)[self.entry]
+
+    def index(self, vectors: np.ndarray, learnt: np.ndarray) -> BlockMaxIndex:
+        """Of the examples marked in ``learnt``, numbered anew in their order."""
+        number = np.cumsum(learnt) - 1
+        rows = learnt[self.entry] & (vectors > 0)
+        return BlockMaxIndex(number[self.entry[rows]], self.term[rows], vectors[rows], int(learnt.sum()), len(self.vocabulary), BLOCK)
+
+
+def votes_across(postings: Postings, fold: np.ndarray, boosts: tuple[float, ...], neighbours: tuple[int, ...], doubts: tuple[float, ...]) -> dict[tuple, np.ndarray]:
+    """By setting, the vote that each example gets from the examples of the other folds."""
+    labels, votes = postings.labels, {(b, k, d): np.zeros(len(fold)) for b in boosts for k in neighbours for d in doubts}
+    ends = np.searchsorted(postings.entry, np.arange(len(fold) + 1))
+    for f in np.unique(fold):
+        others = fold != f
+        if len(set(labels[others].tolist())) < 2:
+            continue  # nothing to learn from: votes without evidence
+        for boost, strength in zip(boosts, postings.strengths(others, boosts)):
+            vectors = postings.vectors(strength)
+            model = Model({}, strength, postings.index(vectors, others), np.zeros(0), labels[others])
+            for i in np.flatnonzero(fold == f):
+                own = slice(ends[i], ends[i + 1])
+                near, cosine = model.index.top(postings.term[own], vectors[own], max(neighbours))
+                for k in neighbours:
+                    for model.doubt in doubts:
+                        votes[boost, k, model.doubt][i] = model.vote(near[:k], cosine[:k])
+    return votes
 
 
-def fit(examples: list[Example], share: float | None = None, folds: list[int] | None = None, bounds: tuple[float, ...] = BOUNDS, neighbours: tuple[int, ...] = NEIGHBOURS, doubts: tuple[float, ...] = DOUBTS) -> Model:
+def fit(examples: list[Example], share: float | None = None, folds: list[int] | None = None, boosts: tuple[float, ...] = BOOSTS, neighbours: tuple[int, ...] = NEIGHBOURS, doubts: tuple[float, ...] = DOUBTS) -> Model:
     """share: of toxic among all that is labelled (None: as in the examples); folds: those of the ids by default.
 
     With each setting every example gets the vote of the folds that it isn't in. The setting whose calibrated votes have
@@ -128,25 +165,16 @@ def fit(examples: list[Example], share: float | None = None, folds: list[int] |
     examples = [examples[i] for i in order]
     labels = np.array([e[0] for e in examples], float)
     if len(set(labels.tolist())) < 2:
-        return Model({}, {}, 0.0, None, np.zeros(0, np.int64), labels, default=float(labels.mean()) if len(labels) else 0.0)
+        return Model({}, np.zeros(1), None, np.zeros(0, np.int64), labels, default=float(labels.mean()) if len(labels) else 0.0)
     share = labels.mean() if share is None else share
-    settings = [(b, k, d) for b in bounds for k in neighbours for d in doubts]
-    votes = {s: np.zeros(len(examples)) for s in settings}
-    for f in sorted(set(fold.tolist())):
-        others = [e for e, g in zip(examples, fold) if g != f]
-        if len({e[0] for e in others}) < 2:
-            continue  # nothing to learn from: votes without evidence
-        for bound, model in zip(bounds, indexed(others, bounds)):
-            for i in np.flatnonzero(fold == f):
-                near, cosine = model.index.top(*model.query(examples[i][2]), max(neighbours))
-                for k in neighbours:
-                    for model.doubt in doubts:
-                        votes[bound, k, model.doubt][i] = model.vote(near[:k], cosine[:k])
-    curves = {s: logistic(votes[s], labels, share) for s in settings}
-    best = min(settings, key=lambda s: (round(curves[s][2], 9), -s[0], s[1:]))
-    model = indexed(examples, best[:1])[0]
-    (_, model.k, model.doubt), (model.slope, model.offset, _) = best, curves[best]
-    return model
+    postings = Postings.of(examples)
+    votes = votes_across(postings, fold, boosts, neighbours, doubts)
+    curves = {s: logistic(x, labels, share) for s, x in votes.items()}
+    best = min(votes, key=lambda s: (round(curves[s][2], 9), s))
+    everyone = np.ones(len(examples), bool)
+    strength = postings.strengths(everyone, best[:1])[0]
+    index = postings.index(postings.vectors(strength), everyone)
+    return Model(postings.vocabulary, strength, index, np.array([e[1] for e in examples], np.int64), labels, best[1], best[2], *curves[best][:2], boost=best[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float, float]:

@@ -857,7 +857,7 @@ def test_many_rows_without_an_id_are_one_join(spark):
 
 
 def test_toxicity_scores_by_brute_force(spark):
-    """Neighbours, votes and scores from raw texts, without any index; the settings are those that were learnt."""
+    """Neighbours, votes and scores from raw texts, over all terms and without any index; the settings are those that were learnt."""
     bad, rows, labels = ["grumf", "blarg", "snirk"], [], []
     for i in range(260):
         toxic = i % 4 == 0
@@ -889,13 +889,21 @@ def test_toxicity_scores_by_brute_force(spark):
     assert model.ids.tolist() == ids
     counts = {i: terms(texts[i]) for i in ids}
     df = collections.Counter(t for c in counts.values() for t in c)
-    idf = lambda t: np.log((1 + len(ids)) / (1 + df[t]))
+    toxic_df = collections.Counter(t for i, c in counts.items() if truth[i] for t in c)
+    n, n_toxic = len(ids), sum(truth[i] for i in ids)
+
+    def strength(t):
+        d, x = df[t], toxic_df[t]
+        off = max(0.0, abs(x * (n - n_toxic) - (d - x) * n_toxic) - n / 2)
+        phi = off**2 / (d * (n - d) * n_toxic * (n - n_toxic)) if 0 < d < n else 0.0
+        return np.log((1 + n) / (1 + d)) * (1 + model.boost * phi)
 
     def unit(c):
-        w = {t: (1 + np.log(n)) * idf(t) for t, n in c.items()}
+        w = {t: (1 + np.log(n)) * strength(t) for t, n in c.items()}
         length = np.sqrt(sum(x * x for x in w.values())) or 1.0
-        return {t: x / length for t, x in w.items() if t in model.vocabulary}
+        return {t: x / length for t, x in w.items()}
 
+    assert set(model.vocabulary) == set(df)
     units = {i: unit(c) for i, c in counts.items()}
     for r in toxicity.predict(spark, docs, model).collect():
         q = unit(terms(texts.get(r.doc_id)))
@@ -907,13 +915,40 @@ def test_toxicity_scores_by_brute_force(spark):
         assert len(r.evidence) == min(3, len(near))
     # the settings have the least loss of all, and only the learning folds decide them
     examples = [(truth[i], i, counts[i]) for i in ids]
-    one = {(b, k, d): toxicity.fit(examples, model_share(truth, fold), None, (b,), (k,), (d,)) for b in toxicity.BOUNDS for k in toxicity.NEIGHBOURS for d in toxicity.DOUBTS}
-    assert any((m.k, m.doubt, len(m.vocabulary)) == (model.k, model.doubt, len(model.vocabulary)) and m.slope == pytest.approx(model.slope) for m in one.values())
+    postings = toxicity.Postings.of(examples)
+    folds = np.array([fold(i) for i in ids])
+    votes = toxicity.votes_across(postings, folds, toxicity.BOOSTS, toxicity.NEIGHBOURS, toxicity.DOUBTS)
+    losses = {s: toxicity.logistic(v, postings.labels, model_share(truth, fold))[2] for s, v in votes.items()}
+    assert len(losses) == 12 and losses[model.boost, model.k, model.doubt] == pytest.approx(min(losses.values()))
     flipped = spark.createDataFrame([(i, q, 1 - t if fold(i) == 0 else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     other = toxicity.train(spark, docs, flipped)
     assert (other.slope, other.offset, other.ids.tolist(), other.vocabulary) == (model.slope, model.offset, model.ids.tolist(), model.vocabulary)
 
 
+def test_toxicity_votes_come_from_other_folds():
+    """An example's vote is that of a model fitted on the other folds alone; every text with a known term has evidence."""
+    r = np.random.default_rng(4)
+    examples = [(int(i % 3 == 0), i, collections.Counter(r.choice([b"w%d" % n for n in range(40)], 12).tolist() + [b"bad"] * (i % 3 == 0))) for i in range(60)]
+    examples.sort(key=lambda e: (e[0], e[1]))
+    fold = np.array([e[1] % 4 for e in examples])
+    votes = toxicity.votes_across(toxicity.Postings.of(examples), fold, (0.0, 100.0), (7,), (0.1,))
+    for f in range(4):
+        for boost in (0.0, 100.0):
+            model = toxicity.fit([e for e, g in zip(examples, fold) if g != f], None, None, (boost,), (7,), (0.1,))
+            for n in np.flatnonzero(fold == f):
+                near, cosine = model.index.top(*model.query(examples[n][2]), 7)
+                assert votes[boost, 7, 0.1][n] == pytest.approx(model.vote(near, cosine)) and len(near) == 7
+
+
+def test_block_max_index_is_linear_in_its_postings():
+    """Half a million terms of one posting each in 100,000 entries: no table of terms by blocks."""
+    n = 500_000
+    index = blockmax.BlockMaxIndex(np.arange(n) // 5, np.arange(n), np.ones(n), n // 5, n, 50)
+    assert sum(getattr(index, a).nbytes for a in ("entry", "weight", "run_start", "run_block", "run_most", "term_start")) < 40 * n
+    near, scores = index.top(np.array([7, 8, 400_000]), np.ones(3), 5)
+    assert near.tolist() == [1, 80_000] and scores.tolist() == [2.0, 1.0]
+
+
 def model_share(truth, fold):
     learn = [t for i, t in truth.items() if fold(i)]
     return sum(learn) / len(learn)
