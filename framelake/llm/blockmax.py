@@ -18,10 +18,17 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n_entries: int, n_terms: int, block: int):
-        """Postings as three parallel arrays; (entry, term) pairs are distinct and weights positive."""
+    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n_entries: int, n_terms: int, block: int, order: np.ndarray | None = None):
+        """Postings as three parallel arrays; (entry, term) pairs are distinct and weights positive.
+
+        order: the entries in the order in which ``top`` deals them to blocks (entries of like weights together make
+        tighter bounds); results don't depend on it. ``above`` is for indexes in the order of the entries.
+        """
         self.n_entries, self.block = n_entries, block
         self.n_blocks = max(1, -(-n_entries // block))
+        self.number = np.arange(n_entries) if order is None else order
+        if order is not None:
+            entry = np.argsort(order)[entry]
         key = term.astype(np.int64) * self.n_blocks + entry // block
         order = np.lexsort((entry, key))
         key, self.entry, self.weight = key[order], entry[order].astype(np.int32), weight[order].astype(np.float64)
@@ -73,9 +80,9 @@ class BlockMaxIndex:
             ids = np.flatnonzero(found > floor) if len(best) < k else np.flatnonzero(found >= floor)
             ids = ids[found[ids] > 0]
             best, scores = np.concatenate([best, ids]), np.concatenate([scores, found[ids]])
-            keep = np.lexsort((best, -scores))[:k]
+            keep = np.lexsort((self.number[best], -scores))[:k]
             best, scores = best[keep], scores[keep]
-        return best, scores
+        return self.number[best], scores
 
     def above(self, terms: np.ndarray, weights: np.ndarray, floors: np.ndarray, block_floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All entries whose score reaches their own floor; block_floor is the least floor in each block."""

@@ -32,7 +32,7 @@ from framelake.llm.common import held_out, slices, tokens
 
 PER_LABEL = 1500
 PREFIX = 5
-BLOCK = 50
+BLOCK = 100
 #: What is chosen among: weight of a term's dependence on the label, number of neighbours, weight of a vote against.
 BOOSTS = (0.0, 100.0, 1000.0)
 NEIGHBOURS = (15, 51)
@@ -128,10 +128,11 @@ class Postings:
         return w / np.where(length > 0, length, 1.0)[self.entry]
 
     def index(self, vectors: np.ndarray, learnt: np.ndarray) -> BlockMaxIndex:
-        """Of the examples marked in ``learnt``, numbered anew in their order."""
+        """Of the examples marked in ``learnt``, numbered anew in their order; texts of one label and like length share a block."""
         number = np.cumsum(learnt) - 1
+        by_length = np.lexsort((np.bincount(self.entry, minlength=len(learnt))[learnt], self.labels[learnt]))
         rows = learnt[self.entry] & (vectors > 0)
-        return BlockMaxIndex(number[self.entry[rows]], self.term[rows], vectors[rows], int(learnt.sum()), len(self.vocabulary), BLOCK)
+        return BlockMaxIndex(number[self.entry[rows]], self.term[rows], vectors[rows], int(learnt.sum()), len(self.vocabulary), BLOCK, by_length)
 
 
 def votes_across(postings: Postings, fold: np.ndarray, boosts: tuple[float, ...], neighbours: tuple[int, ...], doubts: tuple[float, ...]) -> dict[tuple, np.ndarray]:
