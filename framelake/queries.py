@@ -15,7 +15,7 @@ from framelake.functions import media as M
 from framelake.functions import sequence as S
 from framelake.functions import text as T
 from framelake.functions import vector as X
-from framelake.operators import browse, doctor, people, queue, search, state, textsearch, vectors
+from framelake.operators import browse, doctor, ordered, people, queue, search, state, textsearch, vectors
 from framelake.plans import entities as E
 from framelake.sources import tables
 from framelake.streaming import ingest
@@ -560,7 +560,7 @@ def backup_expired(spark, sf_dir):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS mean_last FROM events")
 def eta_moving_mean(spark, sf_dir):
-    rows = browse.moving_mean(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value")
+    rows = ordered.moving_mean(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value")
     return rows.select("event_id", F.round("mean_last", 6).alias("mean_last"))
 
 
@@ -711,13 +711,13 @@ def similarity_fit(spark, sf_dir):
 @query("SELECT event_id, last_value(CASE WHEN value < 50 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS value FROM events")
 def forward_fill(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.when(F.col("value") < 50, F.col("value")).alias("value"))
-    return S.forward_filled(e, "event_type", "event_id", "value").select("event_id", "value")
+    return ordered.forward_filled(e, "event_type", "event_id", "value").select("event_id", "value")
 
 
 @query("SELECT event_id, round(greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000.0 - 1000), 3)::DOUBLE AS lag_ms FROM events")
 def loop_lag(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "id")
-    return S.lags(e, "user_id", "ts", 1000.0).select(F.col("id").alias("event_id"), F.round("lag_ms", 3).alias("lag_ms"))
+    return ordered.lags(e, "user_id", "ts", 1000.0).select(F.col("id").alias("event_id"), F.round("lag_ms", 3).alias("lag_ms"))
 
 
 @query("WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) SELECT conv_id, turn, text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM c WHERE text <> '') WHERE after IS NULL OR NOT (starts_with(after, text) OR starts_with(text, after)) QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn DESC) = 1")
