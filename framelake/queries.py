@@ -15,7 +15,7 @@ from framelake.functions import media as M
 from framelake.functions import sequence as S
 from framelake.functions import text as T
 from framelake.functions import vector as X
-from framelake.operators import browse, doctor, ordered, people, queue, search, state, textsearch, vectors
+from framelake.operators import browse, doctor, markers, ordered, people, queue, search, state, textsearch, vectors
 from framelake.plans import entities as E
 from framelake.sources import tables
 from framelake.streaming import ingest
@@ -148,6 +148,25 @@ def gps_grid(spark, sf_dir):
     return browse.grid(E.media(spark, sf_dir), 2)
 
 
+@query(
+    "WITH RECURSIVE "
+    + E.MEDIA
+    + ",\n"
+    + REPS
+    + """,
+pos AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS k, (lng + 180) / 360 * 1024 AS x, (0.5 - ln(tan(radians(greatest(-85.0511287798, least(85.0511287798, lat)))) + 1 / cos(radians(greatest(-85.0511287798, least(85.0511287798, lat))))) / (2 * pi())) * 1024 AS y
+  FROM (SELECT lat::DOUBLE AS lat, lng::DOUBLE AS lng, min(id) AS id, count(*) AS n FROM reps WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY ALL)),
+walk AS (SELECT 0::BIGINT AS k, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS chosen
+  UNION ALL SELECT p.k, CASE WHEN len(list_filter(chosen, lambda m: round((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y), 6) <= 3600)) = 0 THEN list_append(chosen, {'id': p.id, 'x': p.x, 'y': p.y}) ELSE chosen END FROM walk JOIN pos p ON p.k = walk.k + 1),
+marks AS (SELECT unnest(chosen, recursive := true) FROM (SELECT chosen FROM walk ORDER BY k DESC LIMIT 1)),
+own AS (SELECT p.n, arg_min(m.id, (round((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y), 6), m.id)) AS marker_id FROM pos p, marks m GROUP BY p.id, p.n)
+SELECT marker_id AS id, p.lat, p.lng, sum(own.n)::BIGINT AS n, count(*) AS places FROM own JOIN pos p ON p.id = marker_id GROUP BY ALL"""
+)
+def map_markers(spark, sf_dir):
+    """All located contents at zoom 2, behind markers 60 pixels apart."""
+    return markers.markers(markers.clustered(spark, browse.located(E.media(spark, sf_dir)).select("id", "lat", "lng"), 2))
+
+
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE lang WHEN 'de' THEN 'video' WHEN 'es' THEN 'audio' ELSE 'image' END AS kind FROM documents) GROUP BY kind")
 def composition(spark, sf_dir):
     return browse.composition(E.media(spark, sf_dir).withColumn("kind", M.kind_of(F.col("file_path"))))
