@@ -6,6 +6,7 @@ defaults, or nothing would come back.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from framelake.functions import media as M
 from framelake.functions import sequence as S
 from framelake.functions import text as T
 from framelake.functions import vector as X
-from framelake.operators import browse, doctor, markers, ordered, people, queue, search, state, textsearch, vectors
+from framelake.operators import browse, doctor, markers, ordered, people, peoplestate, queue, search, state, textsearch, vectors
 from framelake.plans import entities as E
 from framelake.sources import tables
 from framelake.streaming import ingest
@@ -790,6 +791,28 @@ def people_edits(spark, sf_dir):
     return faces.select("face_id", "person_id")
 
 
+@query(
+    E.sql(
+        "SELECT people.person_id, n, cover_face_id, unnest(range(0, 64))::INTEGER AS pos, round(unnest(centroid), 5) AS x FROM people JOIN (SELECT person_id, arg_max(face_id, (quality, confidence, -face_id)) AS cover_face_id FROM faces WHERE person_id IS NOT NULL GROUP BY person_id) USING (person_id)",
+        E.FACES.replace("faces AS", "stored AS", 1),
+        """faces AS (SELECT face_id, quality, confidence, embedding, CASE WHEN person_id = 8 THEN 7 ELSE person_id END AS person_id
+  FROM (SELECT * REPLACE (CASE WHEN person_id = 3 AND quality < 0.7 THEN 4 WHEN person_id IS NULL AND face_id % 5 = 0 THEN 1 ELSE person_id END AS person_id) FROM stored WHERE face_id % 7 <> 0 AND NOT coalesce(person_id = 9, false)))""",
+        PEOPLE,
+    )
+)
+def people_kept_up(spark, sf_dir):
+    """People after deletions, moves, new faces and a merge, from their state before and the faces that changed."""
+    faces = E.faces(spark, sf_dir)
+    p, i = F.col("person_id"), F.col("face_id")
+    after = F.when((i % 7 == 0) | F.coalesce(p == 9, F.lit(False)), None).when((p == 3) & (F.col("quality") < 0.7), 4).when(p.isNull() & (i % 5 == 0), 1).otherwise(p).cast("long")
+    changes = faces.select("face_id", p.alias("before"), after.alias("after"), "quality", "confidence", "embedding").where("not (before <=> after)")
+    store = peoplestate.PeopleState(spark, f"{tables.shared_folder(spark)}/people-{uuid.uuid4().hex}", 16)
+    store.build(faces)
+    store.change(changes, faces.withColumn("person_id", after))
+    store.merge(spark.range(1).select(F.lit(8).cast("long").alias("from_id"), F.lit(7).cast("long").alias("into_id")))
+    return store.people().select("person_id", "n", "cover_face_id", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
 @query(E.sql("SELECT id, slot, round((slot + 0.5::DOUBLE) / 12 * duration_ms, 3) AS at_ms FROM videos, (SELECT unnest(range(0, 12)) AS slot)", E.MEDIA, VIDEOS))
 def sprite_slots(spark, sf_dir):
     v = videos(spark, sf_dir).select("id", F.posexplode(M.sprite_times(F.col("duration_ms"))).alias("slot", "at"))
