@@ -84,6 +84,29 @@ def folder_videos_removed(videos: DataFrame, segments: DataFrame, tasks: DataFra
     return left, segments.join(gone, F.col("video_id") == F.col("video"), "left_anti"), tasks.join(gone, mine, "left_anti")
 
 
+def saved_vectors(media: DataFrame, mapped: DataFrame, vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Media, map (file_hash, vec_id) and vectors (vec_id, embedding) with the vectors ``new`` (file_hash, vec_id, embedding; one row
+    a hash): a hash that is mapped keeps its number, whose vector is replaced; all live rows of the hashes become ``done``.
+
+    The three belong together: write them as one version (``Versions.write``).
+    """
+    known = mapped.withColumnRenamed("vec_id", "known")
+    placed = new.join(known, "file_hash", "left").select("file_hash", F.coalesce("known", "vec_id").alias("vec_id"), "embedding")
+    fresh = placed.join(mapped.select("file_hash"), "file_hash", "left_anti").select(mapped.columns)
+    has = new.select("file_hash", F.lit(True).alias("has"))
+    status = F.when(F.col("has") & ~F.col("deleted"), "done").otherwise(F.col("status"))
+    out = media.join(has, "file_hash", "left").withColumn("status", status).select(media.columns)
+    return out, mapped.unionByName(fresh), upsert(vectors, placed.select("vec_id", "embedding"), ["vec_id"])
+
+
+def saved_segments(segments: DataFrame, mapped: DataFrame, vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, map (segment_id, vec_id) and vectors (vec_id, embedding) with ``new`` (the columns of segments, vec_id, embedding; one
+    row a segment). Segments of known numbers are replaced and keep their vector's number. To be written as one version too."""
+    placed = new.join(mapped.withColumnRenamed("vec_id", "known"), "segment_id", "left").withColumn("vec_id", F.coalesce("known", "vec_id"))
+    fresh = placed.join(mapped.select("segment_id"), "segment_id", "left_anti").select(mapped.columns)
+    return upsert(segments, new.select(segments.columns), ["segment_id"]), mapped.unionByName(fresh), upsert(vectors, placed.select("vec_id", "embedding"), ["vec_id"])
+
+
 def repaired_vectors(media: DataFrame, mapped: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Media with their status and the map of hashes to vectors, made to agree with the vectors that exist.
 

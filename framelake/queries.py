@@ -19,6 +19,7 @@ from framelake.functions import vector as X
 from framelake.operators import browse, doctor, markers, ordered, people, peoplestate, queue, search, state, textsearch, vectors
 from framelake.plans import entities as E
 from framelake.sources import tables
+from framelake.sources.versions import Versions
 from framelake.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -870,6 +871,46 @@ def repaired_vectors(spark, sf_dir):
     return media.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("mapped"))))  # one row
 
 
+@query(
+    E.sql(
+        """SELECT id, CASE WHEN NOT deleted AND w.file_hash IS NOT NULL THEN 'done' ELSE 'pending' END AS status,
+  v.vec_id, round(CASE WHEN w.file_hash IS NOT NULL THEN -v.embedding[1] WHEN v.vec_id % 3 = 0 THEN v.embedding[1] END, 6) AS x
+FROM media LEFT JOIN (SELECT * FROM vectors WHERE vec_id % 3 = 0 OR vec_id % 2 = 0) v USING (file_hash) LEFT JOIN (SELECT file_hash FROM vectors WHERE vec_id % 2 = 0) w USING (file_hash)""",
+        E.MEDIA, E.VECTORS,
+    )
+)
+def vectors_saved(spark, sf_dir):
+    """A third of the contents has a vector, half of them get one, some a second time; status, map and vectors are one version."""
+    m = E.media(spark, sf_dir).select("id", "file_hash", "deleted", F.lit("pending").alias("status"))
+    v = E.vectors(spark, sf_dir).select("file_hash", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    first = v.where("vec_id % 3 = 0")
+    store = Versions(spark, f"{tables.shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    base = store.write(0, {"media": m, "map": first.select("file_hash", "vec_id"), "vectors": first.select("vec_id", "embedding")})
+    more = v.where("vec_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    saved = state.saved_vectors(*(store.table(t, base) for t in ("media", "map", "vectors")), more.withColumn("vec_id", F.col("vec_id").cast("long")))
+    now = store.write(base, dict(zip(("media", "map", "vectors"), saved)))
+    rows = store.table("media", now).join(store.table("map", now), "file_hash", "left").join(store.table("vectors", now), "vec_id", "left")
+    return rows.select("id", "status", "vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("x"))
+
+
+@query(E.sql("SELECT segment_id, video_id, start_ms, CASE WHEN segment_id % 4 = 0 THEN end_ms - 1 ELSE end_ms END AS end_ms, segment_id AS vec_id, round(CASE WHEN segment_id % 4 = 0 THEN -embedding[1] ELSE embedding[1] END, 6) AS x FROM segments WHERE segment_id % 2 = 0 OR segment_id % 3 = 0", E.SEGMENTS))
+def segments_saved(spark, sf_dir):
+    """Half of the segments are stored; those of every third number come, and every fourth is written again, shorter."""
+    s = E.video_segments(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    own = ("segment_id", "video_id", "start_ms", "end_ms")
+    had = s.where("segment_id % 2 = 0")
+    store = Versions(spark, f"{tables.shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    vec = F.col("segment_id").alias("vec_id")
+    base = store.write(0, {"segments": had.select(*own), "map": had.select("segment_id", vec), "vectors": had.select(vec, "embedding")})
+    again = F.col("segment_id") % 4 == 0
+    new = s.where((F.col("segment_id") % 3 == 0) & (F.col("segment_id") % 2 != 0) | again)
+    new = new.select("segment_id", "video_id", "start_ms", F.when(again, F.col("end_ms") - 1).otherwise(F.col("end_ms")).alias("end_ms"), F.when(again, -1 - F.col("segment_id")).otherwise(F.col("segment_id")).alias("vec_id"), F.when(again, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding"))
+    saved = state.saved_segments(*(store.table(t, base) for t in ("segments", "map", "vectors")), new)
+    now = store.write(base, dict(zip(("segments", "map", "vectors"), saved)))
+    rows = store.table("segments", now).join(store.table("map", now), "segment_id", "left").join(store.table("vectors", now), "vec_id", "left")
+    return rows.select(*own, "vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("x"))
+
+
 def pooled_stats(branch: str, own: str) -> str:
     return f"""SELECT '{branch}' AS branch, any_value(g.n) AS n, round(any_value(g.mean), 6) AS mean, round(any_value(g.mad), 6) AS mad, count(*) FILTER (WHERE {PASSED}) AS passed FROM near, g_{own} g"""
 
