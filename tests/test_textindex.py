@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from framelake import queries as Q
 from framelake.operators import search, textsearch
 from framelake.sources.versions import Conflict, Versions
 
@@ -152,3 +153,10 @@ def test_the_catalogue_search_uses_its_index(spark, tmp_path):
     index.upsert(t)
     rows = [search.search(search.Library(media, *empty, t, i), search.Query("sunset NEAR 2", limit=3)).orderBy("rank").collect() for i in (None, index)]
     assert rows[0] == rows[1] and rows[0][0].file_hash == "h2"
+
+
+@pytest.mark.parametrize("name", ["empty_query_browses"])
+def test_a_single_query_builds_no_index(spark, tmp_path, monkeypatch, name):
+    (tmp_path / "sf").symlink_to("/root/testdata/sf0.001")
+    monkeypatch.setattr(textsearch.TextIndex, "upsert", lambda *a, **b: pytest.fail("an index was built"))
+    assert Q.QUERIES[name](spark, str(tmp_path / "sf")).count() > 0
