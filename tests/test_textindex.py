@@ -155,8 +155,23 @@ def test_the_catalogue_search_uses_its_index(spark, tmp_path):
     assert rows[0] == rows[1] and rows[0][0].file_hash == "h2"
 
 
-@pytest.mark.parametrize("name", ["empty_query_browses", "low_confidence_search"])
+@pytest.mark.parametrize("name", ["empty_query_browses", "low_confidence_search", "bm25_search"])
 def test_a_single_query_builds_no_index(spark, tmp_path, monkeypatch, name):
     (tmp_path / "sf").symlink_to("/root/testdata/sf0.001")
     monkeypatch.setattr(textsearch.TextIndex, "upsert", lambda *a, **b: pytest.fail("an index was built"))
     assert Q.QUERIES[name](spark, str(tmp_path / "sf")).count() > 0
+
+
+@pytest.mark.parametrize("shared", [100_000, 0])
+def test_many_phrases_are_answered_as_few_are(spark, monkeypatch, shared):
+    rng = random.Random(8)
+    rows = [(i, random_text(rng)) for i in range(80)]
+    rows += [(f"t{i}", "salt pepper") for i in range(9)] + rng.sample(rows, 20) + [(7, dict(rows)[7])] * 3  # ties and copies
+    asks = [*QUERIES, "the.salt red.blue.green", "blue.blue pepper.the", "the.salt red.blue.green", "red red the.salt", "salt.pepper", "nowhere"]
+    few = textsearch.bm25(texts(spark, rows), asked(spark, *asks), 4)
+    want = found(few)
+    monkeypatch.setattr(textsearch, "LITERALS", 0)
+    monkeypatch.setattr(textsearch, "SHARED", shared)
+    monkeypatch.setattr(textsearch, "PIECE", 7)
+    monkeypatch.setattr(textsearch, "CELLS", 64)
+    assert found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 4)) == want and len(want) > 40
