@@ -48,13 +48,14 @@ def collapsed_history(rows: DataFrame, key: str, order: str, text: str) -> DataF
 def lines_text(boxes: DataFrame, image: str, least: float = 0.5, band: float = 10.0) -> DataFrame:
     """Recognised lines (image, x, y, w, h, text, score) as one text: good lines in reading order, joined by line breaks.
 
-    Lines whose centres are within a band of the line that began it are one row, left to right.
+    Lines whose centres are within a band of the line that began it are one row, left to right. Lines that share a row and x
+    go by centre, y and text, whatever order they arrive in.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         good = pdf[(pdf.score >= least) & (pdf.text.fillna("").str.strip() != "")].copy()
         good["centre"] = good.y + good.h / 2
-        good = good.sort_values(["centre", "x"], kind="stable")
+        good = good.sort_values(["centre", "x", "y", "text"], kind="stable")
         row, start, number = [], None, -1
         for c in good.centre:
             if start is None or c - start >= band:

@@ -405,6 +405,14 @@ def test_reading_order(spark):
     assert S.lines_text(df, "image").first().text == "a\nb\nc"
 
 
+def test_reading_order_of_ties_does_not_follow_arrival(spark):
+    from framelake.functions import sequence as S
+
+    rows = [("i", 1.0, 5.0, 1.0, 4.0, t, 0.9) for t in "dbca"] + [("i", 1.0, 3.0, 1.0, 4.0, "z", 0.9)]
+    read = lambda some: S.lines_text(spark.createDataFrame(some, "image string, x double, y double, w double, h double, text string, score double").coalesce(1), "image").first().text
+    assert read(rows) == read(rows[::-1]) == "z\na\nb\nc\nd"
+
+
 def test_history_and_forward_fill(spark):
     from framelake.functions import sequence as S
 
