@@ -155,7 +155,7 @@ def test_the_catalogue_search_uses_its_index(spark, tmp_path):
     assert rows[0] == rows[1] and rows[0][0].file_hash == "h2"
 
 
-@pytest.mark.parametrize("name", ["empty_query_browses", "low_confidence_search", "bm25_search", "similar_items"])
+@pytest.mark.parametrize("name", ["empty_query_browses", "low_confidence_search", "bm25_search", "similar_items", "phrase_search"])
 def test_a_single_query_builds_no_index(spark, tmp_path, monkeypatch, name):
     (tmp_path / "sf").symlink_to("/root/testdata/sf0.001")
     monkeypatch.setattr(textsearch.TextIndex, "upsert", lambda *a, **b: pytest.fail("an index was built"))
