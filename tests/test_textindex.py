@@ -175,3 +175,33 @@ def test_many_phrases_are_answered_as_few_are(spark, monkeypatch, shared):
     monkeypatch.setattr(textsearch, "PIECE", 7)
     monkeypatch.setattr(textsearch, "CELLS", 64)
     assert found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 4)) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("common,bits,entries", [(5000, 16, 1 << 18), (20, 6, 8), (4, 10, 3)])
+def test_common_and_other_phrases_are_answered_as_few_are(spark, monkeypatch, common, bits, entries):
+    rng = random.Random(5)
+    rows = [(i, random_text(rng, 60)) for i in range(300)] + [(f"c{i}", "red blue " + random_text(rng, 9)) for i in range(40)]
+    rows += rng.sample(rows, 60)  # copies
+    asks = [f"{a}.{b} {c}.{d}.{e} {f}" for a, b, c, d, e, f in (rng.choices(WORDS[:8], k=6) for _ in range(60))]
+    want = found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 3))
+    for name, value in {"LITERALS": 0, "SHARED": 0, "COMMON": common, "LEAST_BITS": bits, "MOST_BITS": bits, "ENTRIES": entries, "CELLS": 64}.items():
+        monkeypatch.setattr(textsearch, name, value)
+    assert found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 3)) == want and len(want) == 180
+
+
+def test_hits_of_common_phrases_are_not_dealt(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(WORDS[:8], k=200))) for i in range(1500)]
+    asks = [f"{a}.{b} {c}.{d}" for a, b, c, d in (rng.choices(WORDS[:8], k=4) for _ in range(300))]
+    monkeypatch.setattr(textsearch, "LITERALS", 0)
+    monkeypatch.setattr(textsearch, "SHARED", 0)
+    core = spark.sparkContext._jsc.sc()
+
+    def written():
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert textsearch.bm25(texts(spark, rows), asked(spark, *asks), 3).count() == 900
+    moved = written() - before
+    assert moved < sum(len(t) for _, t in rows)  # 64 phrases in each of 1,500 texts
