@@ -184,7 +184,7 @@ def test_common_and_other_phrases_are_answered_as_few_are(spark, monkeypatch, co
     rows += rng.sample(rows, 60)  # copies
     asks = [f"{a}.{b} {c}.{d}.{e} {f}" for a, b, c, d, e, f in (rng.choices(WORDS[:8], k=6) for _ in range(60))]
     want = found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 3))
-    for name, value in {"LITERALS": 0, "SHARED": 0, "COMMON": common, "LEAST_BITS": bits, "MOST_BITS": bits, "ENTRIES": entries, "CELLS": 64}.items():
+    for name, value in {"LITERALS": 0, "SHARED": 0, "COMMON": common, "LEAST_BITS": bits, "MOST_BITS": bits, "ENTRIES": entries, "CELLS": 64, "PARTS": 4}.items():
         monkeypatch.setattr(textsearch, name, value)
     assert found(textsearch.bm25(texts(spark, rows), asked(spark, *asks), 3)) == want and len(want) == 180
 
